@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.tokens import parts
-from lodestone.llm.words import joined, per_text, pieces, slices
+from lodestone.llm.words import carried, joined, per_text, pieces, slices
 
 #: The training sample, a bound whatever the corpus: rows of each language, characters of each row, characters of each
 #: language that its automaton holds, and languages (the most frequent ones).
@@ -90,10 +90,10 @@ def _letters(text: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in text.lower()).split()
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], *, carry: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, phrases) of every whole text; ``samples``: text for each language, of equal lengths.
 
-    Takes columns ``doc_id`` and ``text`` only. Each word, in lower case and between blanks, is parsed from left to right into
+    Takes columns ``doc_id`` and ``text``; ``carry`` also passes each whole row on, as the struct ``row``. Each word, in lower case and between blanks, is parsed from left to right into
     longest matches with each language's sample. The language with the fewest phrases for each letter wins (ties: the
     smaller name); ``score`` is the share of phrases that it saves against the next one (1 if there is no other). A text
     that is null or has no letter is ``und`` with score 0; a null ``doc_id`` stays null; repeated rows are judged each;
@@ -141,6 +141,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 else:
                     best, score, least = np.zeros(len(letters), dtype=np.int64), np.zeros(len(letters)), np.zeros(len(letters))
                 pred = [names[b] if s else UNDETERMINED for b, s in zip(best.tolist(), sure.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pred, type=pa.string()), pa.array(np.where(sure, score, 0.0)), pa.array(np.where(sure, least, 0).astype(np.int64))], names=["doc_id", "lang_pred", "score", "phrases"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pred, type=pa.string()), pa.array(np.where(sure, score, 0.0)), pa.array(np.where(sure, least, 0).astype(np.int64)), *some.columns[2:]], names=["doc_id", "lang_pred", "score", "phrases", *["row"] * carry])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, lang_pred string, score double, phrases long")
+    own, schema = carried(docs, "doc_id long, lang_pred string, score double, phrases long", carry)
+    return own.mapInArrow(run, schema)

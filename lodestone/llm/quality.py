@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import Words, per_text, slices
+from lodestone.llm.words import Words, carried, per_text, slices
 
 #: Words of a window that counts as repeated, and the bound of repeated words and of few words in the base rule.
 WINDOW, REPEATED_PERCENT, FEWEST_WORDS = 8, 30, 20
@@ -188,10 +188,10 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS,
     return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by, kept) of each row.
 
-    Takes columns ``doc_id`` and ``text``; others are not read. The base rule comes first; of its survivors each rule sees only
+    Takes columns ``doc_id`` and ``text``; ``carry`` also passes each whole row on, as the struct ``row``. The base rule comes first; of its survivors each rule sees only
     what the rules before it have let through, in the order of rejections per cost on a sample. The order decides the cost
     and ``rejected_by`` (the first rule that rejects), never ``kept``. A null or empty text has no words and fails the
     base rule; a null ``doc_id`` stays null; repeated rows are judged each; an empty table gives no rows.
@@ -218,7 +218,9 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     bad = bad | hit
                 longs = [pa.array(x.astype(np.int64)) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)]
                 rejected = pa.array(by.tolist(), type=pa.string())
-                yield pa.RecordBatch.from_arrays([some.column(0), *longs, pa.array(f.base_failed), rejected, rejected.is_null()], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"])
+                yield pa.RecordBatch.from_arrays([some.column(0), *longs, pa.array(f.base_failed), rejected, rejected.is_null(), *some.columns[2:]], names=names)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, rejected_by string, kept boolean"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    names = [f.split()[0] for f in schema.split(", ")] + ["row"] * carry
+    own, schema = carried(docs, schema, carry)
+    return own.mapInArrow(run, schema)

@@ -20,6 +20,7 @@ from lodestone.llm.nearest import nearest
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import apply_rules
 from lodestone.llm.shared import new_path
+from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.token_store import read_store, write_store
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, and what reading the formatted text back gives."""
     control = "</s>[INST] ok [/INST]"
@@ -92,6 +98,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, training_text(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language)}
 
 ORACLE: dict[str, str] = {}

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time; one longer text makes a slice of its own.
 SLICE_BYTES = 8 << 20
@@ -21,6 +23,15 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SOLID = bytes(0 if b in BLANKS else 1 for b in range(256))
 
 
+def carried(docs: DataFrame, schema: str, carry: bool) -> tuple[DataFrame, str]:
+    """(doc_id, text) of ``docs`` and the schema of what is made of them; with ``carry`` both end with each whole row as ``row``."""
+    own = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"]]
+    if not carry:
+        return docs.select(*own), schema
+    row = F.struct(*(docs[c] for c in docs.columns))
+    return docs.select(*own, row.alias("row")), f"{schema}, row {docs.schema.simpleString()}"
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold at most ``limit`` bytes together (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
