@@ -199,10 +199,12 @@ def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, percent: int)
     rows = copies.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "n", "regs")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
-    def compare(x: int, y: int, members: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(x: int, y: int, members: list[tuple]) -> list[tuple[np.ndarray, ...]]:
+        """For each member the later ones that may be similar by the number of equal registers: (ids, counts, registers) twice."""
         ids = np.array([m[1] for m in members])
         block, comp, n = (np.array([m[k] for m in members]) for k in (0, 2, 3))
         regs = np.frombuffer(b"".join(m[4] for m in members), dtype="<u2").reshape(len(members), REGISTERS)
+        out = []
         for i in range(len(members) - 1):
             rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
             if x != y:
@@ -210,25 +212,31 @@ def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, percent: int)
             if len(rest):
                 rest = rest[(regs[rest] == regs[i]).sum(1) >= REGISTERS * (percent / 100 - 0.25)]
             if len(rest):
-                rest = rest[likely(np.broadcast_to(regs[i], (len(rest), REGISTERS)), regs[rest], np.full(len(rest), n[i]), n[rest], percent / 100)]
-            yield from ((int(ids[i]), int(j)) for j in ids[rest])
+                same = np.full(len(rest), i)
+                out.append((ids[same], ids[rest], n[same], n[rest], regs[same], regs[rest]))
+        return out
+
+    def sifted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, n_a, n_b, regs_a, regs_b = (np.concatenate(c) for c in zip(*found, strict=True))
+        ok = likely(regs_a, regs_b, n_a, n_b, percent / 100)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
+        key, held, found = None, [], []
         for batch in batches:
             for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (k, x, y):
                     if len(held) > 1:
-                        out += compare(key[1], key[2], held)
+                        found += compare(key[1], key[2], held)
                     key, held = (k, x, y), []
+                    if sum(len(f[0]) for f in found) > 1 << 14:
+                        yield sifted(found)
+                        found = []
                 held.append(tuple(row))
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
-                out = []
-        if len(held) > 1 and (out := list(compare(key[1], key[2], held))):
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+        if len(held) > 1:
+            found += compare(key[1], key[2], held)
+        if found:
+            yield sifted(found)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -239,8 +247,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> Da
 
     Takes ``doc_id`` and ``text``; others are not read. Words are runs without white space, A-Z lower-cased; a text of fewer
     words is one shingle; a null text or one without words has the empty set and is linked with nothing. Rows of one set
-    are a class (``class_id``, its smallest doc_id) and only classes go on. A class proposes itself with a pivot in each of
-    its buckets, one that changes by band; links change components; then members of a bucket that are still in
+    are a class (``class_id``, its smallest doc_id) and only classes go on. A class proposes itself with the pivot of each of
+    its buckets, the member of least hash, which many buckets share; links change components; then members of a bucket that are still in
     different components are compared by registers, in blocks, and what may be similar is confirmed, so that no link
     that shares a band is lost to the choice of pivots and no bucket emits its pairs. Rows with a null doc_id keep their counts and have a
     null component; rows of one doc_id count as linked; an empty table gives no rows.
@@ -248,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> Da
     sketched = written(_sketched(docs, words), "sketches")
     classes = written(sketched.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "sketch-classes")
     bands = _banded(classes)
-    pivot = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("p.id").alias("pivot"))
+    pivot = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("p.id").alias("pivot"))
     met = written(bands.join(pivot, "key"), "bands")  # buckets of one member end here
     pairs = met.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = written(_confirmed(pairs, classes, docs, words, percent), "links")
