@@ -208,7 +208,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = 400, gram: int = GRAM, spa
     judged = written(blocks.join(cores, "core").join(hulls, "hull", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "judged")
     open_cores = judged.filter("not whole").select("core").distinct()
     # of blocks with the same repeated hull one is enough to repeat the windows of those that are open
-    helpers = judged.filter("whole").join(open_cores, "core", "left_semi").groupBy("core", "hull").agg(F.min(F.struct("digest", "lo", "hi")).alias("b")).select("b.*")
+    helpers = judged.filter("whole").groupBy("core", "hull").agg(F.min(F.struct("digest", "lo", "hi")).alias("b")).join(open_cores, "core", "left_semi").select("b.*")
     fine = judged.filter("not whole").select("digest", "lo", "hi").unionByName(helpers).groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     windows = written(_windows(texts.select("digest", "text").join(fine, "digest"), length), "windows")
     single = windows.join(_twice(windows.select("name")), "name").select("digest", F.col("at").alias("lo"), F.col("at").alias("hi"))
