@@ -20,8 +20,9 @@ ROWS, BANDS = 5, 40
 REGISTERS = ROWS * BANDS
 #: The base of the registers' exponential scale, and their greatest value.
 BASE, TOP = 1.02, (1 << 16) - 1
-#: A pair goes on to the full sets unless its registers are so unlikely at the threshold: twice the log-likelihood ratio.
-SIFT = 32.0
+#: A pair goes on to the full sets unless its registers are so unlikely at the threshold: twice the log-likelihood ratio;
+#: a pair at the threshold fails this with a chance of 1.1e-5.
+SIFT = 18.0
 #: Members of a bucket that a task compares at a time.
 BLOCK = 1024
 
@@ -199,18 +200,22 @@ def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, percent: int)
     rows = copies.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "n", "regs")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
-    def compare(x: int, y: int, members: list[tuple]) -> list[tuple[np.ndarray, ...]]:
-        """For each member the later ones that may be similar by the number of equal registers: (ids, counts, registers) twice."""
+    def compare(key: int, x: int, y: int, members: list[tuple]) -> list[tuple[np.ndarray, ...]]:
+        """For each member the later ones that may be similar by the number of equal registers: (ids, counts, registers) twice.
+        Of the buckets that two members share, only that of their first common band reports the pair."""
         ids = np.array([m[1] for m in members])
         block, comp, n = (np.array([m[k] for m in members]) for k in (0, 2, 3))
         regs = np.frombuffer(b"".join(m[4] for m in members), dtype="<u2").reshape(len(members), REGISTERS)
+        band = int(np.flatnonzero(band_keys(regs[:1])[0] == key)[0])
         out = []
         for i in range(len(members) - 1):
             rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
             if x != y:
                 rest = rest[block[rest] != block[i]]
             if len(rest):
-                rest = rest[(regs[rest] == regs[i]).sum(1) >= REGISTERS * (percent / 100 - 0.25)]
+                equal = regs[rest] == regs[i]
+                equal, rest = (v[equal.sum(1) >= REGISTERS * (percent / 100 - 0.2)] for v in (equal, rest))
+                rest = rest[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
             if len(rest):
                 same = np.full(len(rest), i)
                 out.append((ids[same], ids[rest], n[same], n[rest], regs[same], regs[rest]))
@@ -227,18 +232,18 @@ def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, percent: int)
             for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (k, x, y):
                     if len(held) > 1:
-                        found += compare(key[1], key[2], held)
+                        found += compare(*key, held)
                     key, held = (k, x, y), []
                     if sum(len(f[0]) for f in found) > 1 << 14:
                         yield sifted(found)
                         found = []
                 held.append(tuple(row))
         if len(held) > 1:
-            found += compare(key[1], key[2], held)
+            found += compare(*key, held)
         if found:
             yield sifted(found)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> DataFrame:
