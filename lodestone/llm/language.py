@@ -131,7 +131,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, carry: bool = False) -
                 table = np.array(counts, dtype=np.int64).reshape(-1, len(names) + 1)
                 codes, first = coded.indices.to_numpy(), np.searchsorted(starts, at)
                 sums = [per_text(table[:, k][codes], first) for k in range(len(names) + 1)]
-                letters, phrases = sums[0], np.array(sums[1:]).reshape(len(names), len(letters))
+                letters, phrases = sums[0], np.array(sums[1:]).reshape(len(names), some.num_rows)
                 sure = (letters > 0) & bool(names)
                 if names:
                     best = np.argmin(phrases, axis=0)  # names are sorted, so ties go to the smaller one
