@@ -33,7 +33,7 @@ def _byte_of_char() -> dict[str, int]:
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE file of the ``tokenizers`` library. ``cache``: pieces whose ids are kept."""
 
-    def __init__(self, vocabulary: str, cache: int = 3 << 18) -> None:
+    def __init__(self, vocabulary: str, cache: int = 3 << 17) -> None:
         from tokenizers import Tokenizer
 
         file = json.loads(vocabulary)
@@ -108,7 +108,7 @@ class ByteBPE:
             ids.append(token)
             n -= len(self.bytes_of[token])
         ids.reverse()
-        if len(fits) > 1 << 21:
+        if len(fits) > 1 << 20:
             fits.clear()
         return ids
 
@@ -208,7 +208,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(vocabulary.value)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=4 << 20):
                 ids, at = bpe.encode(some.column(1))
                 ends = at.tolist()
                 every = ids.tolist()
