@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
 from lodestone.llm.shared import written
-from lodestone.llm.words import Words, slices
+from lodestone.llm.words import Words, gather, slices
 
 #: Registers in bands of ROWS: two sets of Jaccard similarity 0.8 share a band with 1 - (1 - 0.8^5)^40 > 1 - 2e-7.
 ROWS, BANDS = 5, 40
@@ -23,8 +23,8 @@ BASE, TOP = 1.02, (1 << 16) - 1
 #: A pair goes on to the full sets unless its registers are so unlikely at the threshold: twice the log-likelihood ratio;
 #: a pair at the threshold fails this with a chance of 1.1e-5.
 SIFT = 18.0
-#: Members of a bucket that a task compares at a time.
-BLOCK = 1024
+#: Members of a bucket in a block, and shingles of their sets; a task compares two blocks at a time.
+BLOCK, NAMES = 1024, 1 << 21
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -71,6 +71,10 @@ class Shingler:
         return out
 
 
+def _digest(names: np.ndarray) -> bytes:
+    return hashlib.blake2b(names.tobytes(), digest_size=16).digest()
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """(len(sets), REGISTERS) of 16-bit registers floor(1 - log_b(h)), h the least of the elements' exponential hash values:
     exponentially spaced, truncated minima. The register-wise maximum is that of the union."""
@@ -138,8 +142,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
             for some in slices(batch):
                 sets = shingler.sets(some.column(1))
                 regs = registers(sets)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array([r.tobytes() for r in regs], type=pa.binary())], names=["doc_id", "n", "digest", "regs"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array([r.tobytes() for r in regs], type=pa.binary())], names=["doc_id", "n", "digest", "regs"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
 
@@ -150,9 +153,9 @@ def _banded(classes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(batch.num_rows, REGISTERS)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), keys], names=["id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys], names=["id", "n", "keys"])
 
-    return classes.select("id", "regs").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    return classes.select("id", "regs", "n").mapInArrow(run, "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -187,65 +190,157 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return rows.select("a", "b", "text_a", "text_b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in different components and may be similar by their registers.
+def _pairs(key: int, x: int, y: int, ids: np.ndarray, block: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later members) of two blocks of a bucket that are in different components and may be similar by the number of equal
+    registers. Of the buckets that two members share, only that of their first common band reports the pair."""
+    band = int(np.flatnonzero(band_keys(regs[:1])[0] == key)[0])
+    for i in range(len(ids) - 1):
+        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        if x != y:
+            rest = rest[block[rest] != block[i]]
+        if len(rest):
+            equal = regs[rest] == regs[i]
+            equal, rest = (v[equal.sum(1) >= REGISTERS * (percent / 100 - 0.2)] for v in (equal, rest))
+            rest = rest[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+        if len(rest):
+            yield i, rest
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows, over batches, whose first ``width`` columns are alike, where they have two rows or more."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != row[:width]:
+                if len(held) > 1:
+                    yield key, held
+                key, held = row[:width], []
+            held.append(row[width:])
+    if len(held) > 1:
+        yield key, held
+
+
+def _table(regs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(regs), dtype="<u2").reshape(-1, REGISTERS)
+
+
+def _suspects(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, x, y, block, id) of each member that may be similar, by its registers, to another of the two blocks: a row a
+    member, however many such partners it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []  # pairs of many buckets, whose likelihood is computed together
+        marked: dict[tuple, set[tuple[int, int]]] = {}
+
+        def sift() -> None:
+            where, a, b, n_a, n_b, regs_a, regs_b = zip(*found, strict=True)
+            counts = [len(v) for v in b]
+            repeated = lambda v: np.repeat(np.array(v), counts, axis=0)
+            ok = likely(repeated(regs_a), np.concatenate(regs_b), repeated(n_a), np.concatenate(n_b), percent / 100)
+            at = 0
+            for group, left, right, c in zip(where, a, b, counts, strict=True):
+                if (hits := ok[at : at + c]).any():
+                    marked.setdefault(group, set()).update([left, *map(tuple, right[hits].tolist())])
+                at += c
+            found.clear()
+
+        def told() -> pa.RecordBatch:
+            out = [(*group, *m) for group, members in marked.items() for m in members]
+            marked.clear()
+            return pa.RecordBatch.from_pylist([dict(zip(("key", "x", "y", "block", "id"), r, strict=True)) for r in out], schema=pa.schema([("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("block", pa.int32()), ("id", pa.int64())]))
+
+        total = 0
+        for group, members in _groups(batches, 3):
+            block, ids, comp, n = (np.array([m[k] for m in members]) for k in range(4))
+            regs, named = _table([m[4] for m in members]), np.stack([block, ids], axis=1)
+            for i, rest in _pairs(*group, ids, block, comp, n, regs, percent):
+                found.append((group, (int(block[i]), int(ids[i])), named[rest], n[i], n[rest], regs[i], regs[rest]))
+                total += len(rest)
+                if total > 1 << 14:
+                    sift()
+                    total = 0
+            if sum(map(len, marked.values())) > 1 << 14:
+                if found:
+                    sift()
+                    total = 0
+                yield told()
+        if found:
+            sift()
+        if marked:
+            yield told()
+
+    return rows.mapInArrow(run, "key long, x int, y int, block int, id long")
 
-    A bucket of c members is dealt to ceil(c / BLOCK) blocks by hash; each task compares two blocks at a time.
-    """
-    placed = bands.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "c")
-    members = placed.join(mixed, "key").join(classes.select("id", "regs", "n"), "id")
-    dealt = members.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    copies = dealt.select("key", "id", "component", "regs", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = copies.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "n", "regs")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-
-    def compare(key: int, x: int, y: int, members: list[tuple]) -> list[tuple[np.ndarray, ...]]:
-        """For each member the later ones that may be similar by the number of equal registers: (ids, counts, registers) twice.
-        Of the buckets that two members share, only that of their first common band reports the pair."""
-        ids = np.array([m[1] for m in members])
-        block, comp, n = (np.array([m[k] for m in members]) for k in (0, 2, 3))
-        regs = np.frombuffer(b"".join(m[4] for m in members), dtype="<u2").reshape(len(members), REGISTERS)
-        band = int(np.flatnonzero(band_keys(regs[:1])[0] == key)[0])
-        out = []
-        for i in range(len(members) - 1):
-            rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
-            if x != y:
-                rest = rest[block[rest] != block[i]]
-            if len(rest):
-                equal = regs[rest] == regs[i]
-                equal, rest = (v[equal.sum(1) >= REGISTERS * (percent / 100 - 0.2)] for v in (equal, rest))
-                rest = rest[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
-            if len(rest):
-                same = np.full(len(rest), i)
-                out.append((ids[same], ids[rest], n[same], n[rest], regs[same], regs[rest]))
-        return out
 
-    def sifted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b, n_a, n_b, regs_a, regs_b = (np.concatenate(c) for c in zip(*found, strict=True))
-        ok = likely(regs_a, regs_b, n_a, n_b, percent / 100)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["a", "b"])
+def _named_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, digest, names) of each different set of an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, [], []
+        shingler = Shingler(words)
         for batch in batches:
-            for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (k, x, y):
-                    if len(held) > 1:
-                        found += compare(*key, held)
-                    key, held = (k, x, y), []
-                    if sum(len(f[0]) for f in found) > 1 << 14:
-                        yield sifted(found)
-                        found = []
-                held.append(tuple(row))
-        if len(held) > 1:
-            found += compare(*key, held)
-        if found:
-            yield sifted(found)
+            for some in slices(batch):
+                sets = shingler.sets(some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "digest", "names"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, digest binary, names binary").dropDuplicates(["id", "digest"])
+
+
+def _joining(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold on the full sets, of each two blocks only those that join what was apart: fewer than members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, members in _groups(batches, 3):
+            block, ids, comp = (np.array([m[k] for m in members]) for k in range(3))
+            regs = _table([m[3] for m in members])
+            every = [np.frombuffer(m[4], dtype=np.uint64) for m in members]
+            offsets = np.zeros(len(every) + 1, dtype=np.int64)
+            n = np.array([len(v) for v in every])
+            np.cumsum(n, out=offsets[1:])
+            names, codes = np.unique(np.concatenate(every), return_inverse=True)
+            del members, every
+            mark, left, right = np.zeros(len(names), dtype=bool), [], []
+            for i, rest in _pairs(*group, ids, block, comp, n, regs, percent):  # comp changes as links are found
+                rest = rest[likely(np.broadcast_to(regs[i], (len(rest), REGISTERS)), regs[rest], np.full(len(rest), n[i]), n[rest], percent / 100)]
+                own = codes[offsets[i] : offsets[i + 1]]
+                mark[own] = True
+                for begin in range(0, len(rest), 64):
+                    some = rest[begin : begin + 64]
+                    some = some[comp[some] != comp[i]]
+                    if not len(some):
+                        continue
+                    ends = np.cumsum(n[some])
+                    both = np.add.reduceat(mark[gather(codes, offsets, some)].astype(np.int64), ends - n[some])
+                    for j in some[100 * both >= percent * (n[some] + n[i] - both)].tolist():
+                        if comp[j] != comp[i]:
+                            left.append(min(ids[i], ids[j]))
+                            right.append(max(ids[i], ids[j]))
+                            comp[comp == comp[j]] = comp[i]
+                mark[own] = False
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b), true on the full sets, that join all components of which members share a bucket and are similar.
+
+    A bucket of c members is dealt by hash to blocks of about BLOCK members and NAMES shingles; a task compares two blocks at a
+    time, first by registers, then those that may be similar by their sets. It returns members or joining links, not pairs.
+    """
+    placed = bands.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("names"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("names") / NAMES)).cast("int").alias("blocks"))
+    dealt = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    copies = dealt.select("key", "id", "component", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = copies.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "n")
+    together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    suspects = written(_suspects(together(rows.join(classes.select("id", "regs"), "id").select("key", "x", "y", "block", "id", "component", "n", "regs")), percent), "suspects")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(suspects.select("id").distinct(), "id", "left_semi")
+    sets = written(_named_sets(texts, words), "sets")
+    known = suspects.join(parts, "id", "left").join(classes.select("id", "digest", "regs"), "id").join(sets, ["id", "digest"])
+    return _joining(together(known.select("key", "x", "y", "block", "id", F.coalesce("component", "id").alias("component"), "regs", "names")), percent)
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) of each row: documents whose sets of distinct word shingles hold
     100 * intersection >= percent * union are linked; a component is all that links reach.
@@ -254,8 +349,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> Da
     words is one shingle; a null text or one without words has the empty set and is linked with nothing. Rows of one set
     are a class (``class_id``, its smallest doc_id) and only classes go on. A class proposes itself with the pivot of each of
     its buckets, the member of least hash, which many buckets share; links change components; then members of a bucket that are still in
-    different components are compared by registers, in blocks, and what may be similar is confirmed, so that no link
-    that shares a band is lost to the choice of pivots and no bucket emits its pairs. Rows with a null doc_id keep their counts and have a
+    different components are compared in blocks, by registers and then, where these leave it open, on their sets, and only
+    links that join components are returned, so that no component is lost to the choice of pivots and no bucket emits its pairs. Rows with a null doc_id keep their counts and have a
     null component; rows of one doc_id count as linked; an empty table gives no rows.
     """
     sketched = written(_sketched(docs, words), "sketches")
@@ -266,9 +361,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> Da
     pairs = met.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = written(_confirmed(pairs, classes, docs, words, percent), "links")
     parts = components(links)
-    missed = written(_apart(met.select("key", "id"), parts, classes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not missed.isEmpty():
-        more = written(_confirmed(missed, classes, docs, words, percent), "links")
+    more = written(_apart(met.select("key", "id", "n"), parts, classes, docs, words, percent), "links")
+    if not more.isEmpty():
         parts = components(links.unionByName(more))
     members = classes.select("digest", F.col("id").alias("class_id")).join(parts.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     known = sketched.select("doc_id", "n", "digest").join(members, "digest", "left")

@@ -230,14 +230,17 @@ def test_buckets_of_many_blocks_lose_no_pair(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sketched = near_duplicates._sketched(df, 4)
-    classes = sketched.select(F.col("doc_id").alias("id"), "n", "regs")
+    classes = sketched.select(F.col("doc_id").alias("id"), "digest", "n", "regs")
     none = spark.createDataFrame([], "id long, component long")
-    pairs = near_duplicates._apart(near_duplicates._banded(classes), none, classes, 60)
-    want = set()
+    links = near_duplicates._apart(near_duplicates._banded(classes), none, classes, df, 4, 60).collect()
     grams = {i: {tuple(t.split()[k : k + 4]) for k in range(117)} for i, t in rows}
-    for i in grams:
-        want |= {(j, i) for j in range(i) if 100 * len(grams[i] & grams[j]) >= 72 * len(grams[i] | grams[j])}
-    assert want <= {(r["a"], r["b"]) for r in pairs.collect()}
+    similar = lambda a, b, percent: 100 * len(grams[a] & grams[b]) >= percent * len(grams[a] | grams[b])
+    part = {i: i for i in grams}
+    for r in links:
+        assert similar(r["a"], r["b"], 60)
+        old, new = part[r["a"]], part[r["b"]]
+        part = {i: new if p == old else p for i, p in part.items()}
+    assert all(part[i] == part[j] for i in grams for j in range(i) if similar(i, j, 72))
 
 
 def test_registers_merge_and_estimate():
