@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import agents, catalog, classification, judges, retrieval, safety, statistics, structured, text, vision
+from lodestone.operators import agents, catalog, classification, exact_tests, judges, retrieval, safety, statistics, structured, text, vision
 from lodestone.streaming.rates import windowed_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,6 +231,23 @@ def _(spark, d):  # noqa: ANN001, ANN202
 
 query("bootstrap_accuracy")(lambda s, d: statistics.bootstrap_accuracy(observations(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "t", "p"), "t", "p", replicates=50))
 
+def _one(spark: SparkSession, numbers: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame([tuple(float(v) for v in numbers.values())], ", ".join(f"{k} double" for k in numbers))
+
+
+query("fisher_exact", "select cast(sum(clean * noisy) as bigint) as a, cast(sum(clean * (1 - noisy)) as bigint) as b, cast(sum((1 - clean) * noisy) as bigint) as c, cast(sum((1 - clean) * (1 - noisy)) as bigint) as d, round(cast(sum(clean * noisy) as double) * sum((1 - clean) * (1 - noisy)) / (cast(sum(clean * (1 - noisy)) as double) * sum((1 - clean) * noisy)), 6) as odds_ratio from obs")(lambda s, d: exact_tests.two_by_two(observations(s, d), "clean", "noisy"))
+_MID = "rank() over ({part} order by {v}) + (count(*) over ({also}) - 1) / 2e0"
+_PLACED = ", ".join(_MID.format(part="", v=v, also=f"partition by {v}") + " - (" + _MID.format(part="partition by t", v=v, also=f"partition by t, {v}") + f") as m{v}" for v in ("a", "b"))
+query("delong_test", f", s as (select t, prob as a, score as b from obs), r as (select t, {_PLACED} from s), k as (select cast(sum(t) as double) as n1, cast(sum(1 - t) as double) as n0 from s), v as (select t, n0, n1, case when t = 1 then ma / n0 else 1 - ma / n1 end as va, case when t = 1 then mb / n0 else 1 - mb / n1 end as vb from r, k) select round(avg(va) filter (where t = 1), 6) as auc_a, round(avg(vb) filter (where t = 1), 6) as auc_b, round(avg(va - vb) filter (where t = 1), 6) as difference, round(1e6 * (var_samp(va - vb) filter (where t = 1) / max(n1) + var_samp(va - vb) filter (where t = 0) / max(n0)), 3) as variance_millionths from v")(
+    lambda s, d: exact_tests.delong_difference(observations(s, d), "t", "prob", "score").select("auc_a", "auc_b", "difference", F.round(F.col("variance") * 1e6, 3).alias("variance_millionths"))
+)
+_RIVALS = {"first": "p", "second": "succeeded", "third": "harmful"}
+query("compare_models", " union all ".join(f"select '{m}' as model, round(avg(cast({c} = t as int)), 6) as accuracy, round(avg(cast({c} = t as int)) - avg(cast(p = t as int)), 6) as difference, count(*) filter (where p = t and {c} <> t) as b, count(*) filter (where p <> t and {c} = t) as c from obs" for m, c in _RIVALS.items()))(lambda s, d: exact_tests.compare_counts(observations(s, d), "t", _RIVALS, "first"))
+query("shapiro_wilk")(lambda s, d: _one(s, exact_tests.shapiro_wilk(s.read.parquet(f"{d}/supplier.parquet"), "s_acctbal")))
+query("mann_whitney_p")(lambda s, d: _one(s, exact_tests.mann_whitney_test(observations(s, d), "l_quantity", "l_returnflag", "N", "R")))
+query("wilcoxon_p")(lambda s, d: _one(s, exact_tests.wilcoxon_test(observations(s, d), "l_linenumber", "turn")))
+query("bootstrap_accuracy_bca")(lambda s, d: _one(s, exact_tests.bootstrap_accuracy_bca(observations(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t", "p"), "t", "p")))
+
 _SIMILAR = "v as (select vec_id, label, e from (select vec_id, label, embedding as e from embeddings)), pairs as (select q.vec_id as query, d.vec_id as doc, q.label as ql, d.label as dl, round(list_dot_product(cast(q.e as double[]), cast(d.e as double[])) / sqrt(list_dot_product(cast(q.e as double[]), cast(q.e as double[])) * list_dot_product(cast(d.e as double[]), cast(d.e as double[]))), 9) as sim from v q, v d where q.vec_id % 25 = 0 and q.vec_id <> d.vec_id), run as (select * from (select query, doc, ql, dl, row_number() over (partition by query order by sim desc, doc) as rank from pairs) where rank <= 20), qrels as (select q.vec_id as query, d.vec_id as doc, 1 + d.vec_id % 3 as grade from v q, v d where q.vec_id % 25 = 0 and q.vec_id <> d.vec_id and q.label = d.label)"
 
 
