@@ -9,6 +9,7 @@ import string
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,12 +135,28 @@ def bleu(df: DataFrame, reference: str = "reference", prediction: str = "predict
     return sums.select(formula(*BLEU_COLUMNS).alias("bleu"))
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Clipped matches of two multisets."""
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def chrf_statistics(reference: str, prediction: str, order: int = 6) -> list[float]:
+    """Matches and totals of the character n-grams of whole texts; an n-gram is one integer, renumbered before it overflows."""
     r, p = ("".join(s.split()) for s in (reference, prediction))
+    known, letters = np.unique(np.frombuffer((r + p).encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_inverse=True)
+    letters = letters.astype(np.int64)
+    grams, base, span = letters, max(len(known), 1), max(len(known), 1)
     out: list[float] = []
     for n in range(1, order + 1):
-        a, b = (Counter(s[i : i + n] for i in range(len(s) - n + 1)) for s in (p, r))
-        out += [sum((a & b).values()), sum(a.values()), sum(b.values())]
+        if n > 1:
+            if span > (1 << 62) // base:
+                some, grams = np.unique(grams, return_inverse=True)
+                span = max(len(some), 1)
+            grams, span = grams[:-1] * base + letters[n - 1 :], span * base
+        a, b = max(len(r) - n + 1, 0), max(len(p) - n + 1, 0)
+        out += [_common(grams[:a], grams[len(r) : len(r) + b]), b, a]
     return out
 
 
@@ -155,21 +172,39 @@ def chrf_from(stats: Sequence[float], beta: float = 2.0) -> float:
     return 100 * (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
 
 
+def _places(words: Sequence[str]) -> dict[str, int]:
+    """For each word the bits of its places."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
 def _edits(a: Sequence[str], b: Sequence[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance; the differences of a row are the bits of two integers, so memory is linear in ``a``."""
+    if not a or not b:
+        return len(a) + len(b)
+    places, last, full, score = _places(a), len(a) - 1, (1 << len(a)) - 1, len(a)
+    up, down = full, 0
+    for y in b:
+        same = places.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ((across | up) & full ^ full), up & across
+        score += (more >> last & 1) - (less >> last & 1)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        same |= down
+        up, down = less | ((same | more) & full ^ full), more & same
+    return score
 
 
 def translation_edits(reference: str, prediction: str, longest: int = 10, furthest: int = 50) -> list[float]:
     """(edits with block shifts, reference words): shifts are taken greedily while one lowers the edit distance by more than
-    itself costs."""
+    itself costs. No order of the words has fewer edits than the longer side has words without a partner, so the search
+    ends where that bound leaves no room; each candidate shift costs an edit distance of the whole texts."""
     ref, hyp, shifts = reference.lower().split(), prediction.lower().split(), 0
     best = _edits(hyp, ref)
-    while best:
+    least = max(len(hyp), len(ref)) - sum((Counter(hyp) & Counter(ref)).values())
+    while best > least + 1:
         found = None
         places: dict[tuple, list[int]] = {}
         for n in range(1, min(longest, len(ref)) + 1):
@@ -194,12 +229,13 @@ def translation_edits(reference: str, prediction: str, longest: int = 10, furthe
 
 
 def lcs(a: Sequence[str], b: Sequence[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence; a row is the bits of one integer."""
+    places, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(reference: str, prediction: str) -> list[float]:
@@ -216,8 +252,9 @@ def meteor(reference: str, prediction: str, alpha: float = 0.9, beta: float = 3.
     pairs: dict[int, int] = {}
     for form in (str, stem):
         free: dict[str, list[int]] = {}
+        taken = set(pairs.values())
         for j, w in enumerate(r):
-            if j not in set(pairs.values()):
+            if j not in taken:
                 free.setdefault(form(w), []).append(j)
         for i in range(len(p) - 1, -1, -1):
             if i not in pairs and free.get(form(p[i])):
