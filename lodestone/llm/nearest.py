@@ -1,4 +1,4 @@
-"""Maximum inner product search: score-aware anisotropic quantisation, four-bit table scans, exact reranking."""
+"""Maximum inner product search: score-aware anisotropic quantisation, four-bit table scans, exact reranking up to a bound."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import written
 
-#: Rows of the sample that codebooks are fitted on, at most; codewords of a subspace (four bits); dimensions of a subspace.
+#: Rows of the sample that codebooks are fitted on, about; codewords of a subspace (four bits); dimensions of a subspace.
 SAMPLE_ROWS, CODEWORDS, SUB = 4096, 16, 2
-#: Vectors of an index block, queries of a query block, and vectors of a block that are reranked for each query.
+#: Vectors of an index block, queries of a query block, and vectors of a block that are reranked for each query at first.
 BLOCK, QUERIES, RERANK = 8192, 512, 256
 #: The share of the norm above which an inner product counts for the anisotropic weight.
 THRESHOLD = 0.2
@@ -64,6 +64,12 @@ class AnisotropicQuantizer:
                 total = rest + shift[m][rows, codes[:, m]]
         return codes.astype(np.uint8)
 
+    def slack(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each vector what a scan can be off by, for a query of norm 1: the residual's norm, and the rounding of a scan."""
+        xs = self._split(x)
+        rest = np.sqrt(((xs - self.books[np.arange(self.parts), codes]) ** 2).sum(axis=(1, 2)))
+        return rest * (1 + 1e-9) + 1e-7 * (self.parts + 8) * (np.sqrt((xs**2).sum(axis=(1, 2))) + rest)
+
     def _update(self, xs: np.ndarray, codes: np.ndarray) -> None:
         """Each codeword to the least joint loss of its vectors, a small linear system."""
         along = self._along(xs)
@@ -111,26 +117,38 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def _sample(rows: DataFrame, total: int) -> np.ndarray:
+    """About ``SAMPLE_ROWS`` of ``total`` vectors, chosen by a hash of the id, so by no order of the table; where a few ids
+    fill the table and none is chosen, or too many, the first ones."""
+    share = min(1.0, SAMPLE_ROWS / max(total, 1))
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    for some in (chosen, rows):
+        found = np.array([r[0] for r in some.select("embedding").limit(SAMPLE_ROWS * 5 // 4).collect()], dtype=np.float64)
+        if len(found):
+            break
+    return found
+
+
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the ``k`` other rows of largest
     inner product, ties to the smaller vec_id; all others if there are fewer.
 
     Takes ``vec_id`` and ``embedding`` (array of float or double); others are not read. Rows with a null id, or a vector that
-    is null, zero, of another length than most of the sample, or has null or non-finite components take no part; an empty
+    is null, zero, of another length than most rows, or has null or non-finite components take no part; an empty
     table gives no rows. Rows of one vec_id are each other's candidates only if they differ in it: a query's own id is
-    never returned. Codebooks are fitted on ``SAMPLE_ROWS`` rows at most; every row is indexed. Blocks of queries meet blocks
-    of the index, each block pair a task of fixed size: codes are scanned, ``RERANK`` vectors a block (at least k) are scored
-    exactly in double precision, k a block go on, and a top-k by query ends it. Ties in a scan go to smaller ids.
+    never returned. Codebooks are fitted on about ``SAMPLE_ROWS`` rows of least hash; every row is indexed. Blocks of queries
+    meet blocks of the index, each block pair a task of fixed size: codes are scanned, ``RERANK`` vectors a block (at least k)
+    are scored exactly in double precision, then each other one whose scan and residual can still reach the k-th exact
+    score, so none of the k best of a block is lost; they go on, and a top-k by query ends it.
     """
     spark = vectors.sparkSession
-    sample = vectors.select("embedding").filter("embedding is not null").limit(SAMPLE_ROWS)
-    sizes = [r[0] for r in sample.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
+    sizes = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes or not sizes[0]:
+    if not sizes or not sizes[0][0]:
         return spark.createDataFrame([], schema)
-    dims = sizes[0]
+    dims, total = sizes[0]
     rows = _usable(vectors, dims)
-    train = np.array([r[0] for r in rows.select("embedding").limit(SAMPLE_ROWS).collect()], dtype=np.float64)
+    train = _sample(rows, total)
     if not len(train):
         return spark.createDataFrame([], schema)
     books = spark.sparkContext.broadcast(AnisotropicQuantizer(dims).fit(train).books)
@@ -143,8 +161,9 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
             def out(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
-                codes = quantizer.pack(quantizer.encode(x.astype(np.float64))).tobytes() if coded else b""
-                return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], type=pa.binary()), pa.array([x.tobytes()], type=pa.binary()), pa.array([codes], type=pa.binary())], names=["ids", "x", "codes"])
+                codes = quantizer.encode(x) if coded else None
+                parts = (ids, x, quantizer.pack(codes), quantizer.slack(x, codes)) if coded else (ids, x, x[:0], x[:0])
+                return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], type=pa.binary()) for p in parts], names=["ids", "x", "codes", "slack"])
 
             count = 0
             for batch in batches:
@@ -159,7 +178,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
 
         return run
 
-    blocks = "ids binary, x binary, codes binary"
+    blocks = "ids binary, x binary, codes binary, slack binary"
     index = written(rows.mapInArrow(block(BLOCK, True), blocks).withColumn("b", F.monotonically_increasing_id()), "ann-index")
     queries = written(rows.filter(f"vec_id % {every} = 0").mapInArrow(block(QUERIES, False), blocks).select(F.col("ids").alias("q_ids"), F.col("x").alias("q")), "ann-queries")
     names = index.select("b")
@@ -168,34 +187,45 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantizer = AnisotropicQuantizer(dims, books.value)
         for batch in batches:
-            for ids, x, codes, q_ids, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, q_ids = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
+            for ids, x, codes, slack, q_ids, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, q_ids, slack = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(slack)
                 x, q = np.frombuffer(x).reshape(-1, dims), np.frombuffer(q).reshape(-1, dims)
                 packed = np.frombuffer(codes, dtype=np.uint8).reshape(len(ids), -1)
                 keep = min(len(ids), max(RERANK, 2 * k + 2))
                 for lo in range(0, len(q), 64):
                     some, own = q[lo : lo + 64], q_ids[lo : lo + 64]
-                    if keep < len(ids):
-                        scores = quantizer.scan(some, packed)
-                        cut = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                        chosen = [_best(s, c, keep) for s, c in zip(scores, cut, strict=True)]
-                    else:
-                        chosen = [np.arange(len(ids))] * len(some)
+                    scores = quantizer.scan(some, packed) if keep < len(ids) else None
                     got_q, got_v, got_s = [], [], []
-                    for i, near in enumerate(chosen):
-                        near = near[ids[near] != own[i]]
-                        exact = x[near] @ some[i]
+                    for i, one in enumerate(some):
+                        others = ids != own[i]
+                        if scores is None:
+                            near = np.flatnonzero(others)
+                        else:
+                            cut = np.partition(scores[i], len(ids) - keep)[len(ids) - keep]
+                            near = _best(scores[i], cut, keep)
+                            near = near[others[near]]
+                        exact = _exact(x, near, one)
+                        if scores is not None:
+                            least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                            others[near] = False
+                            more = np.flatnonzero(others & ~(scores[i] + slack * np.sqrt(one @ one) < least))
+                            near, exact = np.concatenate([near, more]), np.concatenate([exact, _exact(x, more, one)])
                         order = np.lexsort((ids[near], -exact))[:k]
                         got_q.append(np.full(len(order), own[i]))
                         got_v.append(ids[near][order])
                         got_s.append(exact[order])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (got_q, got_v, got_s)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("ids", "x", "codes", "q_ids", "q").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = pairs.select("ids", "x", "codes", "slack", "q_ids", "q").mapInArrow(search, "query_id long, vec_id long, score double")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _exact(x: np.ndarray, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products row by row in one order of addition, so equal vectors have equal scores; many rows are not gathered."""
+    return np.einsum("nd,d->n", x, query)[rows] if 5 * len(rows) > len(x) else np.einsum("nd,d->n", x[rows], query)
+
+
 def _best(scores: np.ndarray, cut: float, keep: int) -> np.ndarray:
     """Places of the ``keep`` largest scores, of those equal to the least of them the first."""
     over = np.flatnonzero(scores > cut)
