@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import parts
 from lodestone.llm.words import carried, joined, per_text, pieces, slices
 
-#: The training sample, a bound whatever the corpus: rows of each language, characters of each row, characters of each
-#: language that its automaton holds, and languages (the most frequent ones).
-SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, LANGUAGES = 96, 2_000, 60_000, 64
+#: The training sample of each language, a bound whatever the corpus: rows, characters of each row, and characters that its
+#: automaton holds.
+SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS = 96, 2_000, 60_000
+#: The length below which a shorter sample earns no further allowance when phrases are compared.
+ALLOWANCE_CHARS = 4_000
 UNDETERMINED = "und"
 
 
@@ -65,23 +67,23 @@ class SuffixAutomaton:
 
 
 def training_text(docs: DataFrame, label: str = "lang") -> dict[str, str]:
-    """Per language a sample of words of labelled rows, at most ``LANGUAGE_CHARS`` characters and as many for each.
+    """Per language a sample of words of labelled rows, at most ``LANGUAGE_CHARS`` characters; every language that has letters.
 
     Rows whose ``crc32(doc_id as text) mod 5`` is 0 are held out; rows without label or text are not used. Rows of least hash
-    are taken, a top-k for each language before anything is shuffled; the driver gets ``LANGUAGES * SAMPLE_ROWS`` rows of
-    ``ROW_CHARS`` characters at most.
+    are taken, a top-k for each language before anything is shuffled; the driver gets ``SAMPLE_ROWS`` rows of ``ROW_CHARS``
+    characters for each language at most. Samples of at least half the longest are cut to the shortest of them, so that they
+    compare at equal lengths; a shorter one keeps its own length and shortens no other.
     """
     seen = docs.select("doc_id", F.col(label).alias("lang"), "text").filter("lang is not null and text is not null and crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 <> 0")
     top = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = seen.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= SAMPLE_ROWS)
-    common = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    wanted = [r[0] for r in ids.join(F.broadcast(common), "lang").select("doc_id").collect()]
-    rows = seen.filter(F.col("doc_id").isin(wanted)).select("lang", "doc_id", F.substring("text", 1, ROW_CHARS).alias("text")).collect() if wanted else []
+    rows = seen.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, ROW_CHARS).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
         out.setdefault(lang, []).extend(_letters(text))
-    texts = {lang: " " + " ".join(words) + " " for lang, words in out.items() if words}
-    size = min([LANGUAGE_CHARS, *map(len, texts.values())])
+    texts = {lang: (" " + " ".join(words) + " ")[:LANGUAGE_CHARS] for lang, words in out.items() if words}
+    longest = max(map(len, texts.values()), default=0)
+    size = min((len(t) for t in texts.values() if 2 * len(t) >= longest), default=0)
     return {lang: t[:size] for lang, t in texts.items()}
 
 
@@ -91,11 +93,13 @@ def _letters(text: str) -> list[str]:
 
 
 def identify(docs: DataFrame, samples: dict[str, str], *, carry: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score, phrases) of every whole text; ``samples``: text for each language, of equal lengths.
+    """(doc_id, lang_pred, score, phrases) of every whole text; ``samples``: text for each language.
 
     Takes columns ``doc_id`` and ``text``; ``carry`` also passes each whole row on, as the struct ``row``. Each word, in lower case and between blanks, is parsed from left to right into
-    longest matches with each language's sample. The language with the fewest phrases for each letter wins (ties: the
-    smaller name); ``score`` is the share of phrases that it saves against the next one (1 if there is no other). A text
+    longest matches with each language's sample. Phrases grow shorter as one by the logarithm of the sample's length, so they
+    are counted times that logarithm (of ``ALLOWANCE_CHARS`` at least: a sample of a few words must not win by being small).
+    The language with the least count wins (ties: the smaller name); ``score`` is the share that it saves against the next
+    one (1 if there is no other), ``phrases`` its own phrases. Each language adds an automaton to each worker. A text
     that is null or has no letter is ``und`` with score 0; a null ``doc_id`` stays null; repeated rows are judged each;
     without samples every text is ``und``; an empty table gives no rows. A pass without a shuffle.
     """
@@ -106,6 +110,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, carry: bool = False) -
         automata = [SuffixAutomaton(trained.value[n]) for n in names]
         known: dict[bytes, tuple[int, ...]] = {}
         nothing = (0,) * (len(names) + 1)
+        weights = np.log([max(len(trained.value[n]), ALLOWANCE_CHARS) for n in names])
 
         def count(part: bytes) -> tuple[int, ...]:
             words = [part.decode()] if part.isalpha() else _letters(part.decode())
@@ -134,10 +139,11 @@ def identify(docs: DataFrame, samples: dict[str, str], *, carry: bool = False) -
                 letters, phrases = sums[0], np.array(sums[1:]).reshape(len(names), some.num_rows)
                 sure = (letters > 0) & bool(names)
                 if names:
-                    best = np.argmin(phrases, axis=0)  # names are sorted, so ties go to the smaller one
-                    two = np.sort(phrases, axis=0)[:2].astype(np.float64)
-                    score = 1 - two[0] / np.maximum(two[1], 1) if len(names) > 1 else np.ones(len(letters))
-                    least = two[0]
+                    weighed = phrases * weights[:, None]
+                    best = np.argmin(weighed, axis=0)  # names are sorted, so ties go to the smaller one
+                    two = np.sort(weighed, axis=0)[:2]
+                    score = 1 - two[0] / np.where(two[1] > 0, two[1], 1) if len(names) > 1 else np.ones(len(letters))
+                    least = phrases[best, np.arange(len(letters))]
                 else:
                     best, score, least = np.zeros(len(letters), dtype=np.int64), np.zeros(len(letters)), np.zeros(len(letters))
                 pred = [names[b] if s else UNDETERMINED for b, s in zip(best.tolist(), sure.tolist(), strict=True)]
