@@ -389,8 +389,9 @@ query("surface_distances")(lambda s, d: vision.surface_distances(_pixels(s), "im
 
 
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """True and found boxes, 40 an image, so that images grow with the table and the 100 detections of an image and class lose none."""
     view(spark, d, "part")
-    base = "select p_partkey % 50 as image, cast(p_partkey % 3 as int) as label, p_partkey as id, cast(p_partkey % 400 as double) as x, cast(p_partkey * 7 % 400 as double) as y, p_size + 10.0D as s, cast(p_partkey % 7 - 3 as double) as j from part"
+    base = "select p_partkey div 40 as image, cast(p_partkey % 3 as int) as label, p_partkey as id, cast(p_partkey % 400 as double) as x, cast(p_partkey * 7 % 400 as double) as y, p_size + 10.0D as s, cast(p_partkey % 7 - 3 as double) as j from part"
     t = spark.sql(f"select image, label, array(x, y, x + s, y + s) as box, id from ({base})")
     f = spark.sql(f"select image, label, array(x + j, y + j, x + j + s, y + j + s) as box, (id * 31 % 1000) / 1000.0D as score, id from ({base})")
     return t, f
