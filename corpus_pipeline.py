@@ -15,8 +15,12 @@ from lodestone.llm.substrings import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without a letter go."""
-    return identify(docs, training_text(docs), carry=True).filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    """Documents in which a language can be told; those without a letter go. Where no row has a label to learn from, every
+    text with a letter stays, undetermined."""
+    samples = training_text(docs)
+    if not samples:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, samples, carry=True).filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
