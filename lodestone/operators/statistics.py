@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,19 +130,22 @@ def delong(df: DataFrame, truth: str, score: str) -> DataFrame:
     return mean.select("auc", F.expr("(q1 - m * auc * auc) / (m - 1) / m + (q0 - n * auc * auc) / (n - 1) / n").alias("variance"))
 
 
-def bootstrap_accuracy(df: DataFrame, truth: str, pred: str, *, replicates: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """(estimate, low, high) of accuracy by the percentile bootstrap. Rows get Poisson(1) weights, drawn from a hash of row and
-    replicate, so the resamples are one pass and do not depend on the partitioning."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col("__key")), F.lit(1 << 30)) / float(1 << 30))
-    cum, p, steps = 0.0, math.exp(-1), []
-    for k in range(8):
-        cum += p
-        steps.append(cum)
-        p /= k + 1
-    weight = lambda u: sum((F.when(u >= s, 1.0).otherwise(0.0) for s in steps), F.lit(0.0))
-    keyed = df.select(F.xxhash64(*df.columns).alias("__key"), (F.col(truth) == F.col(pred)).cast("double").alias("hit"))
-    each = keyed.select("hit", F.posexplode(F.transform(draws, weight)).alias("b", "w"))
-    stats = each.groupBy("b").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("v"))
-    a = (1 - level) / 2
-    bounds = stats.agg(F.percentile("v", F.lit(a)).alias("low"), F.percentile("v", F.lit(1 - a)).alias("high"))
-    return keyed.agg(F.avg("hit").alias("estimate")).crossJoin(bounds)
+def bootstrap_accuracy(df: DataFrame, truth: str, pred: str, *, replicates: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """(estimate, low, high) of accuracy by the percentile bootstrap. Sums of Poisson(1) weights of n rows are Poisson(n), so rows
+    are counted, right and wrong, in one pass, and each replicate draws its two totals from these counts. Rows with a null
+    take no part; without rows all three are null."""
+    if replicates < 100:
+        raise ValueError("at least 100 replicates are needed")
+
+    def bounds(hit, n):  # noqa: ANN001, ANN202
+        if not n:
+            return None, None, None
+        rng = np.random.default_rng(seed)
+        ups, downs = rng.poisson(hit, replicates), rng.poisson(n - hit, replicates)
+        values = (ups / np.maximum(ups + downs, 1))[ups + downs > 0]
+        a = (1 - level) / 2
+        return hit / n, float(np.quantile(values, a)), float(np.quantile(values, 1 - a))
+
+    hit = F.col(truth) == F.col(pred)
+    counts = df.agg(F.count_if(hit).alias("hit"), F.count(hit).alias("n"))
+    return counts.select(F.udf(bounds, "estimate double, low double, high double")("hit", "n").alias("r")).select("r.*")  # one row

@@ -229,7 +229,7 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return statistics.adjust_pvalues(spark.sql(_PVALUES), "k", "p", ["family"])
 
 
-query("bootstrap_accuracy")(lambda s, d: statistics.bootstrap_accuracy(observations(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "t", "p"), "t", "p", replicates=50))
+query("bootstrap_accuracy")(lambda s, d: statistics.bootstrap_accuracy(observations(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "t", "p"), "t", "p", replicates=2000))
 
 def _one(spark: SparkSession, numbers: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([tuple(float(v) for v in numbers.values())], ", ".join(f"{k} double" for k in numbers))
