@@ -376,8 +376,9 @@ query("pii_leakage")(lambda s, d: safety.pii_leakage(s.read.parquet(f"{d}/docume
 query("syntax_validity")(lambda s, d: s.read.parquet(f"{d}/events.parquet").agg(F.avg(agents.valid_python(F.col("props")).cast("double")).alias("syntax_validity")))
 
 
-def _pixels(spark: SparkSession) -> DataFrame:
-    px = spark.range(20).selectExpr("id as image", "explode(sequence(0, 31)) as y").selectExpr("image", "y", "explode(sequence(0, 31)) as x")
+def _pixels(spark: SparkSession, images: DataFrame | None = None) -> DataFrame:
+    """Masks of the 20 images that the SQL has, or of ``images`` (id)."""
+    px = (spark.range(20) if images is None else images).selectExpr("id as image", "explode(sequence(0, 31)) as y").selectExpr("image", "y", "explode(sequence(0, 31)) as x")
     disc = lambda shift: f"case when (x - {shift} - 8 - image % 16) * (x - {shift} - 8 - image % 16) + (y - 8 - image * 5 % 16) * (y - 8 - image * 5 % 16) <= 36 then 1 + image % 3 else 0 end"
     return px.selectExpr("image", "y", "x", f"cast({disc('0')} as int) as t", f"cast({disc('image % 3')} as int) as p")
 
@@ -385,7 +386,7 @@ def _pixels(spark: SparkSession) -> DataFrame:
 _PX = "px as (select i as image, y, x, case when (x - 8 - i % 16) * (x - 8 - i % 16) + (y - 8 - i * 5 % 16) * (y - 8 - i * 5 % 16) <= 36 then 1 + i % 3 else 0 end as t, case when (x - i % 3 - 8 - i % 16) * (x - i % 3 - 8 - i % 16) + (y - 8 - i * 5 % 16) * (y - 8 - i * 5 % 16) <= 36 then 1 + i % 3 else 0 end as p from range(20) a(i), range(32) b(y), range(32) c(x)), k as (select l.l as label, cast(count(*) filter (where t = l.l and p = l.l) as double) as tp, cast(count(*) filter (where t <> l.l and p = l.l) as double) as fp, cast(count(*) filter (where t = l.l and p <> l.l) as double) as fn from px, (values (0), (1), (2), (3)) l(l) group by 1)"
 query("segmentation_scores", f"with {_PX} select cast(label as int) as label, round(tp / (tp + fp + fn), 6) as iou, round(2 * tp / (2 * tp + fp + fn), 6) as dice, round(tp / (tp + fn), 6) as recall, round(tp + fn, 6) as support from k")(lambda s, d: vision.segmentation_scores(_pixels(s)))
 query("segmentation_summary", f"with {_PX} select round(avg(tp / (tp + fp + fn)), 6) as miou, round(avg(2 * tp / (2 * tp + fp + fn)), 6) as dice, round(avg(tp / (tp + fn)), 6) as mean_pixel_accuracy, round((select avg(cast(t = p as int) * 1e0) from px), 6) as pixel_accuracy from k")(lambda s, d: vision.segmentation_summary(_pixels(s)))
-query("surface_distances")(lambda s, d: vision.surface_distances(_pixels(s), "image"))
+query("surface_distances")(lambda s, d: vision.surface_distances(_pixels(s, s.read.parquet(f"{d}/supplier.parquet").selectExpr("cast(s_suppkey as long) as id")), "image"))
 
 
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
