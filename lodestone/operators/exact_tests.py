@@ -227,8 +227,8 @@ def delong_difference(df: DataFrame, truth: str, a: str, b: str) -> DataFrame:
     d = both.withColumn("d", F.col("va") - F.col("vb"))
     of = lambda t, v: F.sum(F.when(F.col("t") == t, v))
     s = d.agg(*(of(t, F.col("n") * v).alias(f"{k}{t}") for t in (0, 1) for k, v in (("n", F.lit(1.0)), ("d", F.col("d")), ("q", F.col("d") * F.col("d")), ("a", F.col("va")), ("b", F.col("vb")))))
-    spread = lambda t: f"(q{t} - d{t} * d{t} / n{t}) / (n{t} - 1) / n{t}"
-    return s.select(F.expr("a1 / n1").alias("auc_a"), F.expr("b1 / n1").alias("auc_b"), F.expr("(a1 - b1) / n1").alias("difference"), F.expr(f"{spread(0)} + {spread(1)}").alias("variance"))
+    spread = lambda t: f"(q{t} - d{t} * d{t} / nullif(n{t}, 0)) / nullif(n{t} - 1, 0) / nullif(n{t}, 0)"
+    return s.select(F.expr("a1 / nullif(n1, 0)").alias("auc_a"), F.expr("b1 / nullif(n1, 0)").alias("auc_b"), F.expr("(a1 - b1) / nullif(n1, 0)").alias("difference"), F.expr(f"{spread(0)} + {spread(1)}").alias("variance"))
 
 
 def delong_test(df: DataFrame, truth: str, a: str, b: str, *, level: float = 0.95) -> dict[str, float]:

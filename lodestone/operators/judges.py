@@ -8,27 +8,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.patterns import ratio, running
+
 
 def krippendorff_alpha(df: DataFrame, item: str, value: str, level: str = "nominal") -> DataFrame:
-    """Alpha for nominal or interval values; items with one rating do not pair. Pairs are counted from values, never formed."""
-    counts = df.groupBy(item, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c"))
-    n_item = counts.groupBy(item).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("v")).alias("s"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("q"), F.sum(F.col("c") * F.col("c")).alias("cc")).filter("m > 1")
-    pooled = counts.join(n_item.select(item), item, "left_semi").groupBy("v").agg(F.sum("c").alias("c"))
-    if level == "interval":
+    """Alpha for nominal, ordinal, interval or ratio values; null ratings are missing and items with one rating do not pair.
+    It is null where all paired ratings are one value. Nominal and interval pairs are counted from values; ordinal and ratio
+    ones from the pairs of values that meet in an item, a row for each, never from pairs of ratings."""
+    if level not in ("nominal", "ordinal", "interval", "ratio"):
+        raise ValueError(f"unknown level {level}")
+    known = df.select(F.col(item).alias("item"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    counts = known.groupBy("item", "v").agg(F.count("*").cast("double").alias("c"))
+    n_item = counts.groupBy("item").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("v")).alias("s"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("q"), F.sum(F.col("c") * F.col("c")).alias("cc")).filter("m > 1")
+    paired = counts.join(n_item.select("item", "m"), "item")
+    pooled = paired.groupBy("v").agg(F.sum("c").alias("c"))
+    if level in ("ordinal", "ratio"):
+        if level == "ratio":
+            far = lambda x, y: F.pow(ratio(x - y, x + y), F.lit(2.0))
+            places = pooled.withColumn("x", F.col("v"))
+        else:  # the distance of two mid-ranks of the pooled ratings
+            far = lambda x, y: F.pow(x - y, F.lit(2.0))
+            places = running(pooled, "v", ("c",), descending=False).select("v", "c", (F.col("cum_c") - F.col("c") / 2).alias("x"))
+        own = paired.join(places.select("v", "x"), "v").select("item", "m", "c", "x")
+        met = own.join(own.select("item", F.col("c").alias("c2"), F.col("x").alias("x2")), "item")
+        observed = met.agg(F.sum(F.col("c") * F.col("c2") * far(F.col("x"), F.col("x2")) / (F.col("m") - 1)).alias("o")).crossJoin(n_item.agg(F.sum("m").alias("n")))
+        values = places.select("c", "x")
+        expected = values.crossJoin(values.select(F.col("c").alias("c2"), F.col("x").alias("x2"))).agg(F.sum(F.col("c") * F.col("c2") * far(F.col("x"), F.col("x2"))).alias("e"))  # distinct values of a rating scale
+    elif level == "interval":
         observed = n_item.agg(F.sum((2 * F.col("m") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("o"), F.sum("m").alias("n"))
         expected = pooled.agg((2 * F.sum("c") * F.sum(F.col("c") * F.col("v") * F.col("v")) - 2 * F.pow(F.sum(F.col("c") * F.col("v")), 2.0)).alias("e"))
     else:
         observed = n_item.agg(F.sum((F.col("m") * F.col("m") - F.col("cc")) / (F.col("m") - 1)).alias("o"), F.sum("m").alias("n"))
         expected = pooled.agg((F.pow(F.sum("c"), 2.0) - F.sum(F.col("c") * F.col("c"))).alias("e"))
-    return observed.crossJoin(expected).select((1 - (F.col("n") - 1) * F.col("o") / F.col("e")).alias("alpha"))
+    return observed.crossJoin(expected).select((1 - ratio((F.col("n") - 1) * F.col("o"), F.col("e"), None)).alias("alpha"))
 
 
 def fleiss_kappa(df: DataFrame, item: str, category: str) -> DataFrame:
-    counts = df.groupBy(item, category).agg(F.count("*").cast("double").alias("c"))
-    items = counts.groupBy(item).agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("p"))
-    observed = items.agg(F.avg(F.col("p") / (F.col("m") * (F.col("m") - 1))).alias("o"))
-    shares = counts.groupBy(category).agg(F.sum("c").alias("c")).agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2.0)).alias("e"))
-    return observed.crossJoin(shares).select(((F.col("o") - F.col("e")) / (1 - F.col("e"))).alias("kappa"))
+    """Fleiss' kappa of categories; null ratings are left out, items with one rating do not pair, and it is null where all
+    ratings fall in one category."""
+    known = df.select(F.col(item).alias("item"), F.col(category).alias("v")).filter("v is not null")
+    counts = known.groupBy("item", "v").agg(F.count("*").cast("double").alias("c"))
+    items = counts.groupBy("item").agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("p"))
+    observed = items.agg(F.avg(ratio(F.col("p"), F.col("m") * (F.col("m") - 1), None)).alias("o"))
+    shares = counts.groupBy("v").agg(F.sum("c").alias("c")).agg(ratio(F.sum(F.col("c") * F.col("c")), F.pow(F.sum("c"), 2.0), None).alias("e"))
+    return observed.crossJoin(shares).select(ratio(F.col("o") - F.col("e"), 1 - F.col("e"), None).alias("kappa"))
 
 
 def win_counts(df: DataFrame, a: str, b: str, outcome: str) -> DataFrame:

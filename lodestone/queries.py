@@ -205,7 +205,7 @@ query("mann_whitney")(lambda s, d: statistics.mann_whitney(observations(s, d), "
 ORACLE["mann_whitney"] = f"with src as (select * from lineitem where {_NR}), {_RANK.format(src='src')}, g as (select cast(count(*) filter (where l_returnflag = 'N') as double) as na, cast(count(*) filter (where l_returnflag = 'R') as double) as nb, sum(r) filter (where l_returnflag = 'N') as ra, cast(sum(ties * ties - 1) as double) as tt from rk) select round(ra - na * (na + 1) / 2, 6) as u, round((ra - na * (na + 1) / 2 - na * nb / 2) / sqrt(na * nb / 12 * (na + nb + 1 - tt / ((na + nb) * (na + nb - 1)))), 6) as z, round((ra - na * (na + 1) / 2) / (na * nb), 6) as auc, round(2 * (ra - na * (na + 1) / 2) / (na * nb) - 1, 6) as cliffs_delta from g"
 query("kruskal_wallis")(lambda s, d: statistics.kruskal_wallis(observations(s, d), "l_quantity", "l_returnflag"))
 ORACLE["kruskal_wallis"] = f"with {_RANK.format(src='lineitem')}, p as (select l_returnflag, sum(r) as r, count(*) as m from rk group by 1), q as (select sum(r * r / m) as q, cast(sum(m) as double) as n, count(*) - 1 as df from p), t as (select cast(sum(ties * ties - 1) as double) as tt from rk), h as (select (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tt / (n * n * n - n)) as h, df, n from q, t) select round(h, 6) as h, df, round(h / (n - 1), 6) as epsilon_squared from h"
-_BLOCK = "select l_partkey % 500 as block, l_linenumber as treatment, min(l_quantity) as v from lineitem group by 1, 2"
+_BLOCK = "select l_partkey as block, t as treatment, max(case when l_linenumber = t then l_quantity else 0e0 end) as v from lineitem, (select 1 as t union all select 2 union all select 3 union all select 4) k group by 1, 2"
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +278,7 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return retrieval.context_precision(spark.sql(_CHUNKS), "query", "pos", "flag")
 
 
-_RATINGS = "select l_partkey % 500 as item, l_linenumber as rater, cast(min(cast(l_quantity as int) % 5 + 1) as double) as v from lineitem group by 1, 2"
+_RATINGS = "select l_partkey as item, t as rater, cast((l_partkey + max(case when l_linenumber = t then l_orderkey else 0 end) % 2) % 5 + 1 as double) as v from lineitem, (select 1 as t union all select 2 union all select 3 union all select 4) k group by 1, 2"
 
 
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -288,6 +288,9 @@ def _ratings(spark: SparkSession, d: str) -> DataFrame:
 
 query("krippendorff_nominal", f"with c as (select item, v, cast(count(*) as double) as c from ({_RATINGS}) group by 1, 2), i as (select item, sum(c) as m, sum(c * c) as cc from c group by 1 having sum(c) > 1), p as (select v, sum(c) as c from c where item in (select item from i) group by 1) select round(1 - ((select sum(m) from i) - 1) * (select sum((m * m - cc) / (m - 1)) from i) / (select power(sum(c), 2) - sum(c * c) from p), 6) as alpha")(lambda s, d: judges.krippendorff_alpha(_ratings(s, d), "item", "v"))
 query("krippendorff_interval", f"with c as (select item, v, cast(count(*) as double) as c from ({_RATINGS}) group by 1, 2), i as (select item, sum(c) as m, sum(c * v) as s, sum(c * v * v) as q from c group by 1 having sum(c) > 1), p as (select v, sum(c) as c from c where item in (select item from i) group by 1) select round(1 - ((select sum(m) from i) - 1) * (select sum((2 * m * q - 2 * s * s) / (m - 1)) from i) / (select 2 * sum(c) * sum(c * v * v) - 2 * power(sum(c * v), 2) from p), 6) as alpha")(lambda s, d: judges.krippendorff_alpha(_ratings(s, d), "item", "v", "interval"))
+for _level, _far in (("ordinal", "power(x.r - y.r, 2)"), ("ratio", "power((x.v - y.v) / (x.v + y.v), 2)")):
+    query(f"krippendorff_{_level}")(lambda s, d, level=_level: judges.krippendorff_alpha(_ratings(s, d), "item", "v", level))
+    ORACLE[f"krippendorff_{_level}"] = f"with c as (select item, v, cast(count(*) as double) as c, sum(cast(count(*) as double)) over (partition by item) as m from ({_RATINGS}) group by 1, 2), p as (select v, sum(c) as c from c where m > 1 group by 1), q as (select v, c, sum(c) over (order by v) - c / 2 as r from p), z as (select item, m, c, v, r from (select item, m, c.c, c.v, r from c join q using (v) where m > 1)) select round(1 - (max(n) - 1) * max(o) / max(e), 6) as alpha from (select sum(x.c * y.c * {_far} / (x.m - 1)) as o from z x join z y on x.item = y.item), (select sum(x.c * y.c * {_far}) as e from q x, q y), (select sum(c) as n from q)"
 query("fleiss_kappa", f"with c as (select item, v, cast(count(*) as double) as c from ({_RATINGS}) group by 1, 2), i as (select sum(c) as m, sum(c * (c - 1)) as p from c group by item), s as (select v, sum(c) as c from c group by 1), o as (select avg(p / (m * (m - 1))) as o from i), e as (select sum(c * c) / power(sum(c), 2) as e from s) select round((o - e) / (1 - e), 6) as kappa from o, e")(lambda s, d: judges.fleiss_kappa(_ratings(s, d), "item", "v"))
 query("sample_agreement", f"with c as (select item, v, count(*) as c from ({_RATINGS}) group by 1, 2), i as (select sum(c) as n, sum(c * (c - 1)) as same, max(c) as top, count(*) as k from c group by item) select round(avg(cast(k = 1 as int) * 1e0), 6) as unanimous, round(avg(case when n > 1 then same * 1e0 / (n * (n - 1)) end), 6) as pairwise, round(avg(top * 1e0 / n), 6) as modal_share from i")(lambda s, d: judges.sample_agreement(_ratings(s, d), "item", "v"))
 query("majority_vote_accuracy", f"with c as (select item, v, count(*) as c, min(rater) as p from ({_RATINGS}) group by 1, 2), t as (select *, row_number() over (partition by item order by c desc, p) as i from c) select round(avg(cast(v = item % 5 + 1 as int) * 1e0), 6) as majority_vote_accuracy from t where i = 1")(lambda s, d: judges.majority_vote(_ratings(s, d).withColumn("ref", (F.col("item") % 5 + 1).cast("double")), "item", "v", "rater", "ref"))
