@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.patterns import binned, cube, one_vs_rest, ratio, thresholds
+from lodestone.plans.durable import written
+from lodestone.plans.patterns import binned, cube, one_vs_rest, ratio, reached, running, thresholds
 
 
 def class_scores(df: DataFrame, truth: str, pred: str, *, weight: str | None = None, beta: float = 2.0, by: Sequence[str] = (), zero: float | None = 0.0) -> DataFrame:
@@ -77,7 +78,7 @@ def roc_curve(df: DataFrame, truth: str, score: str, *, weight: str | None = Non
     """(by, score, fpr, tpr), one point for each distinct score from the highest; the start (0, 0) is implied."""
     steps = thresholds(df, truth, score, weight, by)
     totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    joined = steps.join(F.broadcast(totals), list(by)) if by else steps.crossJoin(F.broadcast(totals))
+    joined = steps.join(totals, list(by)) if by else steps.crossJoin(F.broadcast(totals))
     return joined.select(*by, "score", ratio(F.col("cum_neg"), F.col("all_neg"), None).alias("fpr"), ratio(F.col("cum_pos"), F.col("all_pos"), None).alias("tpr"))
 
 
@@ -85,7 +86,7 @@ def pr_curve(df: DataFrame, truth: str, score: str, *, weight: str | None = None
     """(by, score, precision, recall), one point for each distinct score."""
     steps = thresholds(df, truth, score, weight, by)
     totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
-    joined = steps.join(F.broadcast(totals), list(by)) if by else steps.crossJoin(F.broadcast(totals))
+    joined = steps.join(totals, list(by)) if by else steps.crossJoin(F.broadcast(totals))
     return joined.select(*by, "score", (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"), ratio(F.col("cum_pos"), F.col("all_pos"), None).alias("recall"))
 
 
@@ -144,31 +145,33 @@ def calibration_line(df: DataFrame, truth: str, score: str, *, offset: bool = Fa
 
 def hosmer_lemeshow(df: DataFrame, truth: str, score: str, row_id: str, *, groups: int = 10) -> DataFrame:
     """(statistic, df): groups of equal size in order of score (ties by ``row_id``); the first ones take the remainder."""
-    n = df.count()
-    size, more = divmod(n, groups)
-    placed = df.repartitionByRange(F.col(score), F.col(row_id)).withColumn("__part", F.spark_partition_id())
+    known = df.select(F.col(truth).cast("double").alias("y"), F.col(score).cast("double").alias("score"), F.col(row_id).alias("id")).filter("y is not null and score is not null")
+    placed = written(known.repartitionByRange("score", "id").withColumn("__part", F.spark_partition_id()), "ranges")  # ranges are sampled, so they are dealt once
     counts = placed.groupBy("__part").count()
+    n = placed.count()
+    size, more = divmod(n, groups)
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy("__part").orderBy(score, row_id)
+    inner = Window.partitionBy("__part").orderBy("score", "id")
     rank = F.row_number().over(inner) - 1
     ranked = placed.withColumn("__r", rank).join(F.broadcast(before), "__part").withColumn("r", F.col("__r") + F.col("__before"))
     cut = more * (size + 1)
     group = F.when(F.col("r") < cut, F.floor(F.col("r") / (size + 1))).otherwise(more + F.floor((F.col("r") - cut) / max(size, 1)))
-    g = ranked.groupBy(group.alias("g")).agg(F.sum(truth).alias("o"), F.sum(score).alias("e"), F.count("*").alias("m"))
-    term = F.pow(F.col("o") - F.col("e"), 2) / (F.col("e") * (1 - F.col("e") / F.col("m")))
+    g = ranked.groupBy(group.alias("g")).agg(F.sum("y").alias("o"), F.sum("score").alias("e"), F.count("*").alias("m"))
+    term = ratio(F.pow(F.col("o") - F.col("e"), 2), F.col("e") * (1 - F.col("e") / F.col("m")), None)
     return g.agg(F.sum(term).alias("statistic"), (F.count("*") - 2).alias("df"))
 
 
 def decision_curve(df: DataFrame, truth: str, score: str, cuts: Sequence[float] = tuple(k / 100 for k in range(1, 100))) -> DataFrame:
     """(threshold, net_benefit, treat_all): scores are counted by the number of thresholds they reach, then summed from above,
     so a row is read once whatever the number of thresholds."""
-    edges = F.array(*map(F.lit, cuts))
-    level = df.groupBy(F.size(F.filter(edges, lambda c: c <= F.col(score))).alias("level")).agg(F.sum(F.col(truth)).cast("double").alias("pos"), F.sum(1 - F.col(truth)).cast("double").alias("neg"))
-    grid = df.sparkSession.createDataFrame([(i + 1, float(c)) for i, c in enumerate(cuts)], "k int, threshold double")
-    total = F.broadcast(level.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")))
-    reach = grid.join(F.broadcast(level), F.col("level") >= F.col("k"), "left").groupBy("k", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0.0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0.0)).alias("fp")).crossJoin(total)
+    cuts = sorted(map(float, cuts))
+    level = df.groupBy(reached(F.col(score), cuts).alias("level")).agg(F.sum(F.col(truth)).cast("double").alias("pos"), F.sum(1 - F.col(truth)).cast("double").alias("neg"))
+    grid = df.sparkSession.createDataFrame([(i, cuts[i - 1] if i else None) for i in range(len(cuts) + 1)], "level int, threshold double")
+    above, every = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(1))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    reach = grid.join(level, "level", "left").select("level", "threshold", *(f.alias(n) for c, t in (("pos", "tp"), ("neg", "fp")) for n, f in ((t, F.sum(zero(c)).over(above)), (f"all_{c}", F.sum(zero(c)).over(every))))).filter("level > 0")  # a row a threshold
     odds, n = F.col("threshold") / (1 - F.col("threshold")), F.col("all_pos") + F.col("all_neg")
-    return reach.select("threshold", ((F.col("tp") - F.col("fp") * odds) / n).alias("net_benefit"), ((F.col("all_pos") - F.col("all_neg") * odds) / n).alias("treat_all"))
+    return reach.select("threshold", ratio(F.col("tp") - F.col("fp") * odds, n, None).alias("net_benefit"), ratio(F.col("all_pos") - F.col("all_neg") * odds, n, None).alias("treat_all"))
 
 
 def risk_coverage(df: DataFrame, correct: str, confidence: str) -> DataFrame:

@@ -39,7 +39,7 @@ def one_vs_rest(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     counts = counts.withColumn("tp", F.col("tp"))
     total = cells.groupBy(*keys).agg(F.sum("w").alias("n"))
-    joined = counts.join(F.broadcast(total), keys) if keys else counts.crossJoin(F.broadcast(total))
+    joined = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))  # one row
     return joined.withColumn("tn", F.col("n") - F.col("tp") - F.col("fp") - F.col("fn"))
 
 
@@ -82,7 +82,19 @@ def ranks(df: DataFrame, value: str, group: str | None = None, by: Sequence[str]
     return own.join(placed.drop("cum_n"), [*by, "value"])
 
 
+def reached(score: Column, edges: Sequence[float]) -> Column:
+    """The number of ``edges`` (ascending) that ``score`` reaches: a balanced tree of comparisons, which compiles, with as many
+    steps as the logarithm of their number; null for a null score."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(score < F.lit(edges[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return F.when(score.isNotNull(), between(0, len(edges)))
+
+
 def binned(df: DataFrame, score: str, bins: int) -> DataFrame:
     """``df`` with ``bin``: the number of inner edges k / bins that the score reaches (edges are the literal quotients)."""
-    edges = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    return df.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col(score))))
+    return df.withColumn("bin", reached(F.col(score), [k / bins for k in range(1, bins)]))
