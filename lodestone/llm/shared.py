@@ -1,35 +1,7 @@
-"""Folders that all executors share, and tables written there to cut lineage."""
+"""Shared folders and tables, for these operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from lodestone.plans.durable import new_path, removed, shared_folder, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder by Spark's file systems."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["new_path", "removed", "shared_folder", "written"]
