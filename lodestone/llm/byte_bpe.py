@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.tokens import read_vocabulary
-from lodestone.llm.words import as_list, gather, pieces, slices
+from lodestone.llm.words import as_list, gather, pieces, slices, tidied
 
 _LETTER, _DIGIT, _MARK, _BLANK, _STOP = 1, 2, 3, 4, 5
 _STOP_POINT = b"\xff\xff\xff\xff"
@@ -215,4 +215,4 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 decoded = [bpe.decode(every[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([some.column(0), as_list(ids.astype(np.int32), at, pa.int32()), pa.array(decoded, type=pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded string")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import written
+from lodestone.llm.words import tidied
 
 #: Control strings of the template. In texts, the escape character doubles and each control string gets one after its first
 #: character, which no control string has; taking it out again gives the text back.
@@ -151,7 +152,7 @@ def format_paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
         if out:
             yield batch_of()
 
-    return rows.mapInArrow(run, "tree long, leaf long, n_turns long, formatted string, spans array<struct<begin: long, end: long>>")
+    return rows.mapInArrow(tidied(run), "tree long, leaf long, n_turns long, formatted string, spans array<struct<begin: long, end: long>>")
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.words import Words, slices
+from lodestone.llm.words import Words, slices, tidied
 
 #: Words of a shingle, share of a template's shingles that must be there, and bands of one hash each. A template of n words
 #: is looked for in windows of 2 w words every w words, w the next power of two, so any occurrence lies whole in a window
@@ -132,7 +132,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share:
                     if h is None:
                         n = _normal(word)
                         h = _hash(n) if n else 0
-                        if len(known) > 1 << 19:
+                        if len(known) > 1 << 17:
                             known.clear()
                         if len(word) <= 64:
                             known[word] = h
@@ -157,4 +157,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share:
                     kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "template", "containment", "first_word", "n_words"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, template string, containment double, first_word long, n_words long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), "doc_id long, template string, containment double, first_word long, n_words long")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
 from lodestone.llm.shared import written
-from lodestone.llm.words import Words, gather, slices
+from lodestone.llm.words import Words, gather, slices, tidied
 
 #: Registers in bands of ROWS: two sets of Jaccard similarity 0.8 share a band with 1 - (1 - 0.8^5)^40 > 1 - 2e-7.
 ROWS, BANDS = 5, 40
@@ -45,7 +45,7 @@ class Shingler:
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         w = Words(texts, fold=True)
-        if len(self.known) > 1 << 19:
+        if len(self.known) > 1 << 17:
             self.known.clear()
         names = []
         for word in w.distinct:
@@ -144,7 +144,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 regs = registers(sets)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array([r.tobytes() for r in regs], type=pa.binary())], names=["doc_id", "n", "digest", "regs"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), "doc_id long, n long, digest binary, regs binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _banded(classes: DataFrame) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys], names=["id", "n", "keys"])
 
-    return classes.select("id", "regs", "n").mapInArrow(run, "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
+    return classes.select("id", "regs", "n").mapInArrow(tidied(run), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                     right.append(ids_b[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["a", "b"])
 
-    return rows.select("a", "b", "text_a", "text_b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _pairs(key: int, x: int, y: int, ids: np.ndarray, block: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -269,7 +269,7 @@ def _suspects(rows: DataFrame, percent: int) -> DataFrame:
         if marked:
             yield told()
 
-    return rows.mapInArrow(run, "key long, x int, y int, block int, id long")
+    return rows.mapInArrow(tidied(run), "key long, x int, y int, block int, id long")
 
 
 def _named_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _named_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingler.sets(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "digest", "names"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, digest binary, names binary").dropDuplicates(["id", "digest"])
+    return docs.select("id", "text").mapInArrow(tidied(run), "id long, digest binary, names binary").dropDuplicates(["id", "digest"])
 
 
 def _joining(rows: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +319,7 @@ def _joining(rows: DataFrame, percent: int) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import written
+from lodestone.llm.words import tidied
 
 #: Rows of the sample that codebooks are fitted on, about; codewords of a subspace (four bits); dimensions of a subspace.
 SAMPLE_ROWS, CODEWORDS, SUB = 4096, 16, 2
@@ -179,8 +180,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
         return run
 
     blocks = "ids binary, x binary, codes binary, slack binary"
-    index = written(rows.mapInArrow(block(BLOCK, True), blocks).withColumn("b", F.monotonically_increasing_id()), "ann-index")
-    queries = written(rows.filter(f"vec_id % {every} = 0").mapInArrow(block(QUERIES, False), blocks).select(F.col("ids").alias("q_ids"), F.col("x").alias("q")), "ann-queries")
+    index = written(rows.mapInArrow(tidied(block(BLOCK, True)), blocks).withColumn("b", F.monotonically_increasing_id()), "ann-index")
+    queries = written(rows.filter(f"vec_id % {every} = 0").mapInArrow(tidied(block(QUERIES, False)), blocks).select(F.col("ids").alias("q_ids"), F.col("x").alias("q")), "ann-queries")
     names = index.select("b")
     pairs = index.join(queries.crossJoin(names), "b")
 
@@ -216,7 +217,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
                         got_s.append(exact[order])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (got_q, got_v, got_s)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("ids", "x", "codes", "slack", "q_ids", "q").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = pairs.select("ids", "x", "codes", "slack", "q_ids", "q").mapInArrow(tidied(search), "query_id long, vec_id long, score double")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

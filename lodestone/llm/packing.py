@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lodestone.llm.tokens import WordEncoder, read_vocabulary
-from lodestone.llm.words import as_binary, slices
+from lodestone.llm.words import as_binary, slices, tidied
 
 #: Ids that wait for cuts at a time, and windows at the end of a block that wait for the next block.
 BLOCK_IDS = 1 << 22
@@ -181,4 +181,4 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, *, window: int = 2048,
         if rows := stream.flush(last=True):
             yield _batch(rows)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, _SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), _SCHEMA)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import Words, carried, per_text, slices
+from lodestone.llm.words import Words, carried, per_text, slices, tidied
 
 #: Words of a window that counts as repeated, and the bound of repeated words and of few words in the base rule.
 WINDOW, REPEATED_PERCENT, FEWEST_WORDS = 8, 30, 20
@@ -183,7 +183,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS,
                 yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(found)], names=["rule", "seconds", "rejected"])
 
     sample = docs.select("text").sample(fraction, seed=11).limit(rows)
-    figures = {r[0]: (r[1], r[2]) for r in sample.mapInArrow(run, "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected")).collect()}
+    figures = {r[0]: (r[1], r[2]) for r in sample.mapInArrow(tidied(run), "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected")).collect()}
     gain = {name: rejected / max(seconds, 1e-9) for name, (seconds, rejected) in figures.items()}
     return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
 
@@ -223,4 +223,4 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: bool
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, rejected_by string, kept boolean"
     names = [f.split()[0] for f in schema.split(", ")] + ["row"] * carry
     own, schema = carried(docs, schema, carry)
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidied(run), schema)

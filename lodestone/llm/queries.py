@@ -22,6 +22,7 @@ from lodestone.llm.quality import apply_rules
 from lodestone.llm.shared import new_path
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.token_store import read_store, write_store
+from lodestone.llm.words import tidied
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,7 +57,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("tree", "formatted", "spans").mapInArrow(back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("tree", "formatted", "spans").mapInArrow(tidied(back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
-    return identify(docs, training_text(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return identify(docs, training_text(docs)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language)}

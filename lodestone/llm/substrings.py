@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import written
+from lodestone.llm.words import tidied
 
 #: Bytes of an anchor's k-gram, and distances of a block.
 GRAM, SPAN = 64, 64
@@ -100,7 +101,7 @@ def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["digest", "keys"])
 
-    return texts.select("digest", "text").mapInArrow(run, "digest string, keys array<long>")
+    return texts.select("digest", "text").mapInArrow(tidied(run), "digest string, keys array<long>")
 
 
 def _blocks(texts: DataFrame, length: int, gram: int, span: int) -> DataFrame:
@@ -137,7 +138,7 @@ def _blocks(texts: DataFrame, length: int, gram: int, span: int) -> DataFrame:
                 hulls = pa.array(np.concatenate(out[3]), mask=~np.concatenate(out[4]))
                 yield _batch([*out[:3], hulls], digests, counts, ["lo", "hi", "core", "hull"])
 
-    return texts.select("digest", "text", "keys").mapInArrow(run, "digest string, lo long, hi long, core long, hull long")
+    return texts.select("digest", "text", "keys").mapInArrow(tidied(run), "digest string, lo long, hi long, core long, hull long")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
@@ -156,7 +157,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
             if digests:
                 yield _batch(out, digests, counts, ["at", "name"])
 
-    return texts.select("digest", "text", "ranges").mapInArrow(run, "digest string, at long, name long")
+    return texts.select("digest", "text", "ranges").mapInArrow(tidied(run), "digest string, at long, name long")
 
 
 def _cleaned(texts: DataFrame, length: int) -> DataFrame:
@@ -180,7 +181,7 @@ def _cleaned(texts: DataFrame, length: int) -> DataFrame:
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "kept_text", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return texts.select("digest", "text", "ranges").mapInArrow(run, "digest string, kept_text string, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
+    return texts.select("digest", "text", "ranges").mapInArrow(tidied(run), "digest string, kept_text string, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
 
 
 def _twice(names: DataFrame) -> DataFrame:

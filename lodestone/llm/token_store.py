@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import new_path, removed
 from lodestone.llm.tokens import WordEncoder, read_vocabulary
-from lodestone.llm.words import as_binary, slices
+from lodestone.llm.words import as_binary, slices, tidied
 
 #: Ids of the rolling window, the least and most ids of a chunk, and the mean distance of cuts between them.
 ROLL, LEAST, MOST, MEAN = 16, 64, 1024, 256
@@ -161,7 +161,7 @@ def write_store(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int
 
     staging = new_path(spark, "token-staging")
     schema = "doc_id long, n_tokens long, recipe binary, new array<struct<chunk: binary, ids: binary>>"
-    docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema).write.option("compression", "zstd").parquet(staging)
+    docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), schema).write.option("compression", "zstd").parquet(staging)
     staged = spark.read.schema(schema).parquet(staging)
     (staged.select(F.inline("new")).groupBy("chunk").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks"))
     _write_recipes(staged.select("doc_id", "n_tokens", "recipe"), path)
@@ -185,7 +185,7 @@ def _write_recipes(staged: DataFrame, path: str) -> None:
 
     schema = "shard long, row long, doc_id long, n_tokens long, local_start long, recipe binary, leaf binary"
     ranged = staged.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ranged.mapInArrow(tidied(run), schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[int, list] = {}  # a task reads whole shards, sorted
@@ -201,7 +201,7 @@ def _write_recipes(staged: DataFrame, path: str) -> None:
 
     written = spark.read.schema(schema).parquet(f"{path}/recipes")
     parts = written.select("shard", "row", "leaf", "n_tokens").repartition(shards, "shard").sortWithinPartitions("shard", "row").select("shard", "leaf", "n_tokens")
-    found = sorted(map(tuple, parts.mapInArrow(roots, "shard long, n_docs long, n_tokens long, root binary").collect()))
+    found = sorted(map(tuple, parts.mapInArrow(tidied(roots), "shard long, n_docs long, n_tokens long, root binary").collect()))
     rows, start = [], 0
     for shard, n, tokens, root in found:
         rows.append((shard, n, tokens, start, bytes(root)))
@@ -266,4 +266,4 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         if out:
             yield batch_of()
 
-    return together.select("pos", "chunk", "ids", "doc_id", "start", "n_tokens", "leaf").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return together.select("pos", "chunk", "ids", "doc_id", "start", "n_tokens", "leaf").mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -17,6 +17,9 @@ import pyarrow as pa
 
 from lodestone.llm.words import BLANKS, gather, joined, pieces
 
+#: Longer parts are not kept in a cache, so that its memory is bounded.
+KEPT_BYTES = 64
+
 _BLANK, _LETTER, _DIGIT, _MARK, _LEAD, _HIGH = range(6)
 
 
@@ -90,7 +93,7 @@ def parts(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
 class WordEncoder:
     """Encodes texts; ``cache``: parts whose ids are kept, a full cache is emptied."""
 
-    def __init__(self, vocabulary: str, cache: int = 3 << 18) -> None:
+    def __init__(self, vocabulary: str, cache: int = 1 << 18) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_str(vocabulary)
@@ -146,7 +149,7 @@ class WordEncoder:
             if len(self.known) + len(found) > self.cap:
                 self.known.clear()
             if len(found) <= self.cap:
-                self.known.update(found)
+                self.known.update((p, x) for p, x in found.items() if len(p) <= KEPT_BYTES)
         codes = coded.indices.to_numpy()
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         at = np.zeros(len(ids) + 1, dtype=np.int64)

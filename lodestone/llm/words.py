@@ -6,7 +6,8 @@ its bytes and Python only sees distinct words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: Blanks and the control characters U+0009 to U+000D end a word.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -23,6 +24,21 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SOLID = bytes(0 if b in BLANKS else 1 for b in range(256))
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives its free memory back: workers serve one stage after another."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def carried(docs: DataFrame, schema: str, carry: bool) -> tuple[DataFrame, str]:
     """(doc_id, text) of ``docs`` and the schema of what is made of them; with ``carry`` both end with each whole row as ``row``."""
     own = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"]]

@@ -189,17 +189,41 @@ def test_language_on_held_out_rows(spark, empty):
     assert language.identify(docs, {}).filter("lang_pred <> 'und'").isEmpty() and language.training_text(empty.withColumn("lang", F.lit("x"))) == {}
 
 
-def test_longest_matches_by_brute_force():
-    rng = random.Random(6)
-    sample = "".join(rng.choice("abc ") for _ in range(200))
-    automaton = language.SuffixAutomaton(sample)
-    for _ in range(50):
-        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 30)))
-        i = count = 0
-        while i < len(text):
-            n = next((k for k in range(len(text) - i, 0, -1) if text[i : i + k] in sample), 0)
+def parsed(sample: bytes, text: bytes) -> int:
+    """Phrases of a greedy parse by search in the sample, stretch by stretch."""
+    count = 0
+    for begin in range(0, len(text), language.STRETCH):
+        part, i = text[begin : begin + language.STRETCH], 0
+        while i < len(part):
+            n = 0
+            while i + n < len(part) and part[i : i + n + 1] in sample:
+                n += 1
             i, count = i + max(n, 1), count + 1
-        assert automaton.phrases(text) == count
+    return count
+
+
+def normal(text: str | None) -> bytes:
+    return "".join(" " + w for w in "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()).encode()
+
+
+def test_language_by_brute_force(spark):
+    """Every row against plain parses: nulls, odd and very long texts, repeated ids, a column named row."""
+    rng = random.Random(6)
+    samples = {k: normal("".join(rng.choice(v) for _ in range(900))) for k, v in {"a": "abc de", "b": "bcdef ", "c": "éabß f", "d": "x"}.items()}
+    texts = [*ODD, *("".join(rng.choice("abcdefé ß-") for _ in range(rng.randint(0, 900))) for _ in range(40)), "".join(rng.choice("abc d") for _ in range(200_000))]
+    docs = spark.createDataFrame([(i % 30 if i != 3 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(3)
+    weights = {k: np.log(max(len(v), language.ALLOWANCE_BYTES)) for k, v in samples.items()}
+    got = {r["row"]["row"]: r for r in language.identify(docs, samples, carry=True).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i]["doc_id"] == (i % 30 if i != 3 else None)
+        if not normal(t):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["phrases"]) == ("und", 0.0, 0)
+            continue
+        counts = {k: parsed(v, normal(t)) for k, v in samples.items()}
+        best, second = sorted(samples, key=lambda k: (counts[k] * weights[k], k))[:2]
+        assert (got[i]["lang_pred"], got[i]["phrases"]) == (best, counts[best])
+        assert got[i]["score"] == pytest.approx(1 - counts[best] * weights[best] / (counts[second] * weights[second]))
 
 
 def test_near_duplicates_by_brute_force(spark, docs, empty):
