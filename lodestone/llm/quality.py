@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import Words, carried, per_text, slices, tidied
+from lodestone.llm.words import Words, carried, joined, per_text, slices, tidied
 
 #: Words of a window that counts as repeated, and the bound of repeated words and of few words in the base rule.
 WINDOW, REPEATED_PERCENT, FEWEST_WORDS = 8, 30, 20
-#: Rows and the fraction of rows that the sample for costs and selectivities takes at most.
-SAMPLE_ROWS, SAMPLE_FRACTION = 400, 0.02
+#: Rows, about, of the sample that costs and selectivities are estimated on.
+SAMPLE_ROWS = 400
 
 _SYMBOLS = b"#*$%&|<>"
 _REST = bytes(b for b in range(256) if b not in _SYMBOLS)
@@ -29,10 +29,27 @@ class Features:
 
     def __init__(self, texts: pa.Array) -> None:
         self.texts = texts
-        self.words = Words(texts)
+
+    def of(self, rows: np.ndarray) -> Features:
+        """The features of these rows alone: what is known already is taken over, the rest is computed from their texts."""
+        part = Features(self.texts.take(pa.array(rows)))
+        part.__dict__.update({k: v[rows] for k, v in self.__dict__.items() if isinstance(v, np.ndarray)})
+        if "_lines" in self.__dict__:
+            part._lines = tuple(v[rows] for v in self._lines)
+        return part
+
+    @cached_property
+    def words(self) -> Words:
+        return Words(self.texts)
+
+    @cached_property
+    def _bytes(self) -> tuple[bytes, np.ndarray]:
+        known = self.__dict__.get("words")
+        return (known.data, known.starts) if known else joined(self.texts)
 
     def _flagged(self, name: str) -> np.ndarray:
-        return per_text(np.frombuffer(self.words.data.translate(_FLAG[name]), dtype=np.uint8), self.words.starts)
+        data, starts = self._bytes
+        return per_text(np.frombuffer(data.translate(_FLAG[name]), dtype=np.uint8), starts)
 
     @cached_property
     def n_words(self) -> np.ndarray:
@@ -167,9 +184,9 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS, fraction: float = SAMPLE_FRACTION) -> tuple[Rule, ...]:
-    """The rules in order of rejected documents per second, from a sample of at most ``rows`` rows. Executors time each rule
-    on fresh features; the driver only gets a row for each rule and batch."""
+def measured(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """The rules in order of rejected documents per second, from a sample of about ``rows`` rows of the whole table. Executors
+    time each rule on fresh features; the driver only gets a row for each rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +199,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS,
                     spent.append(time.perf_counter() - began)
                 yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(found)], names=["rule", "seconds", "rejected"])
 
-    sample = docs.select("text").sample(fraction, seed=11).limit(rows)
+    sample = docs.select("text").sample(min(1.0, rows / max(docs.count(), 1)), seed=11)
     figures = {r[0]: (r[1], r[2]) for r in sample.mapInArrow(tidied(run), "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected")).collect()}
     gain = {name: rejected / max(seconds, 1e-9) for name, (seconds, rejected) in figures.items()}
     return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
@@ -192,7 +209,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: bool
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by, kept) of each row.
 
     Takes columns ``doc_id`` and ``text``; ``carry`` also passes each whole row on, as the struct ``row``. The base rule comes first; of its survivors each rule sees only
-    what the rules before it have let through, in the order of rejections per cost on a sample. The order decides the cost
+    what the rules before it have let through, always, in the order of rejections per cost on a sample. The order decides the cost
     and ``rejected_by`` (the first rule that rejects), never ``kept``. A null or empty text has no words and fails the
     base rule; a null ``doc_id`` stays null; repeated rows are judged each; an empty table gives no rows.
     """
@@ -204,19 +221,17 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: bool
                 f = Features(some.column(1))
                 by = np.full(some.num_rows, None, dtype=object)
                 by[f.base_failed] = "base"
-                alive, left = np.arange(some.num_rows), f
-                bad = f.base_failed
+                longs = [f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words]  # of every row, as they are returned
+                alive = np.flatnonzero(~f.base_failed)
+                left = f.of(alive)
                 for rule in ordered:
-                    if bad.mean() > 0.25:  # worth new features for the survivors alone
-                        alive = alive[~bad]
-                        left = Features(some.column(1).take(pa.array(alive)))
-                        bad = np.zeros(len(alive), dtype=bool)
+                    hit = rule.rejects(left)
+                    if hit.any():
+                        by[alive[hit]] = rule.name
+                        alive, left = alive[~hit], left.of(np.flatnonzero(~hit))
                     if not len(alive):
                         break
-                    hit = rule.rejects(left) & ~bad
-                    by[alive[hit]] = rule.name
-                    bad = bad | hit
-                longs = [pa.array(x.astype(np.int64)) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)]
+                longs = [pa.array(x.astype(np.int64)) for x in longs]
                 rejected = pa.array(by.tolist(), type=pa.string())
                 yield pa.RecordBatch.from_arrays([some.column(0), *longs, pa.array(f.base_failed), rejected, rejected.is_null(), *some.columns[2:]], names=names)
 

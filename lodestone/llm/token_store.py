@@ -93,28 +93,6 @@ def _merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else _digest(b"")
 
 
-class MerkleStack:
-    """The same root from leaves one at a time, with one node a level kept."""
-
-    def __init__(self) -> None:
-        self.nodes: list[tuple[int, bytes]] = []
-
-    def add(self, leaf: bytes) -> None:
-        level = 0
-        while self.nodes and self.nodes[-1][0] == level:
-            leaf = _digest(self.nodes.pop()[1] + leaf)
-            level += 1
-        self.nodes.append((level, leaf))
-
-    def root(self) -> bytes:
-        if not self.nodes:
-            return _digest(b"")
-        out = self.nodes[-1][1]
-        for _, node in reversed(self.nodes[:-1]):
-            out = _digest(node + out)
-        return out
-
-
 def write_store(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int = 2, seen: int = 1 << 18) -> None:
     """Encodes every whole text, appends ``end_id``, and writes the store to ``path``.
 
@@ -187,36 +165,62 @@ def _write_recipes(staged: DataFrame, path: str) -> None:
     ranged = staged.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     ranged.mapInArrow(tidied(run), schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[int, list] = {}  # a task reads whole shards, sorted
+    rows, start = [], 0
+    for shard, n, tokens, root in _roots(spark.read.schema(schema).parquet(f"{path}/recipes"), shards):
+        rows.append((shard, n, tokens, start, root))
+        start += tokens
+    rows.append((-1, sum(r[1] for r in rows), start, 0, _merkle([r[4] for r in rows])))
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "shard long, n_docs long, n_tokens long, start long, root binary"
+
+
+def _roots(recipes: DataFrame, shards: int) -> list[tuple[int, int, int, bytes]]:
+    """(shard, n_docs, n_tokens, root) of each shard from the leaves of its documents in the order of ``row``, which must run
+    from 0 without gaps; a task holds a digest for each document of its shards, the driver a row for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[list[bytes], list[int]]] = {}  # a task reads whole shards, sorted
         for batch in batches:
-            for shard, leaf, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree = trees.setdefault(shard, [MerkleStack(), 0, 0])
-                tree[0].add(leaf)
-                tree[1] += 1
-                tree[2] += n
-        rows = [(s, t[1], t[2], t[0].root()) for s, t in trees.items()]
+            for shard, row, leaf, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                leaves, sizes = found.setdefault(shard, ([], []))
+                if row != len(leaves):
+                    raise ValueError(f"shard {shard}: document {len(leaves)} is missing or there twice")
+                leaves.append(leaf)
+                sizes.append(n)
+        rows = [(s, len(leaves), sum(sizes), _merkle(leaves)) for s, (leaves, sizes) in found.items()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "n_docs", "n_tokens", "root"])
 
-    written = spark.read.schema(schema).parquet(f"{path}/recipes")
-    parts = written.select("shard", "row", "leaf", "n_tokens").repartition(shards, "shard").sortWithinPartitions("shard", "row").select("shard", "leaf", "n_tokens")
-    found = sorted(map(tuple, parts.mapInArrow(tidied(roots), "shard long, n_docs long, n_tokens long, root binary").collect()))
-    rows, start = [], 0
+    parts = recipes.select("shard", "row", "leaf", "n_tokens").repartition(shards, "shard").sortWithinPartitions("shard", "row")
+    return sorted((s, n, t, bytes(r)) for s, n, t, r in parts.mapInArrow(tidied(run), "shard long, n_docs long, n_tokens long, root binary").collect())
+
+
+def verify_store(spark: SparkSession, path: str) -> None:
+    """Computes the Merkle roots of the recipes again and compares shards, counts and roots with the manifest, and the root over
+    all shards with its rows; raises ValueError where they differ. Chunks and recipes are checked as they are read."""
+    manifest = {r["shard"]: (r["n_docs"], r["n_tokens"], r["start"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}  # MOST_SHARDS rows at most
+    top = manifest.pop(-1, None)
+    start = 0
+    found = _roots(spark.read.parquet(f"{path}/recipes"), max(1, len(manifest)))
     for shard, n, tokens, root in found:
-        rows.append((shard, n, tokens, start, bytes(root)))
+        if manifest.get(shard) != (n, tokens, start, root):
+            raise ValueError(f"shard {shard} does not match the manifest")
         start += tokens
-    rows.append((-1, sum(r[1] for r in rows), start, 0, _merkle([r[4] for r in rows])))
-    spark.createDataFrame(rows, "shard long, n_docs long, n_tokens long, start long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    if len(found) != len(manifest) or top != (sum(r[1] for r in found), start, 0, _merkle([r[3] for r in found])):
+        raise ValueError("the shards do not match the root of the manifest")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, put together from the chunks and checked against recipe and leaf.
+    """(doc_id, start, n_tokens, ids) of every document, put together from the chunks and checked against recipe, leaf and roots.
 
-    ``start``: ids of all documents before it; ``ids``: little-endian unsigned 32-bit. A chunk that does not match its
-    digest, or a recipe that does not match its leaf, stops the job. A chunk that very many documents share is one row of
+    ``start``: ids of all documents before it; ``ids``: little-endian unsigned 32-bit. Roots are computed again and compared
+    with the manifest at once (``verify_store``); a chunk that does not match its digest, a recipe that does not match its
+    leaf, or a document without its number of ids stops the job as it reads. A chunk that very many documents share is one row of
     the store met by many recipe rows, a join that adaptive execution splits.
     """
+    verify_store(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = spark.read.parquet(f"{path}/chunks")
     manifest = spark.read.parquet(f"{path}/manifest").filter("shard >= 0").select("shard", "start")  # MOST_SHARDS rows at most
@@ -239,6 +243,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError(f"document {doc}: its recipe does not match the manifest")
             data = b"".join(parts)
             width = len(data) // n if n else 2
+            if width not in (2, 4) or len(data) != n * width:
+                raise ValueError(f"document {doc}: {len(data)} bytes do not hold {n} ids")
             ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4").tobytes()
             out.append((doc, start, n, ids))
             size += len(ids)

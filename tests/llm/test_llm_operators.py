@@ -139,12 +139,25 @@ def test_store_notices_a_changed_chunk(spark, docs):
         token_store.read_store(spark, path).collect()
 
 
-def test_merkle_roots_agree():
-    for n in range(12):
-        leaves, stack = [bytes([i]) * 16 for i in range(n)], token_store.MerkleStack()
-        for leaf in leaves:
-            stack.add(leaf)
-        assert stack.root() == token_store._merkle(list(leaves))
+@pytest.mark.parametrize("change", ["n_tokens", "lost", "twice", "manifest"])
+def test_store_notices_changed_recipes(spark, docs, change):
+    path = new_path(spark, "store")
+    token_store.write_store(docs.limit(6), WORD_VOCABULARY, path)
+    name = "manifest" if change == "manifest" else "recipes"
+    rows = spark.read.parquet(f"{path}/{name}").collect()
+    schema = spark.read.parquet(f"{path}/{name}").schema
+    rows = {"n_tokens": lambda: [r.asDict() | {"n_tokens": r["n_tokens"] + 1} for r in rows], "lost": lambda: rows[:-1], "twice": lambda: rows + rows[:1], "manifest": lambda: [r.asDict() | {"root": bytes(16)} if r["shard"] == -1 else r.asDict() for r in rows]}[change]()
+    spark.createDataFrame([r if isinstance(r, dict) else r.asDict() for r in rows], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+    with pytest.raises(Exception, match="manifest|missing"):
+        token_store.read_store(spark, path)
+
+
+def test_store_keeps_repeated_and_null_ids(spark):
+    path = new_path(spark, "store")
+    rows = [(None, "b", 1), (3, "a", 2), (3, None, 3), (1, "c c c", 4)]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string, shard int"), WORD_VOCABULARY, path)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_store.read_store(spark, path).collect())
+    assert [g[1] for g in got] == [None, 1, 3, 3] and got[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
 
 
 def test_quality_features_by_brute_force(spark, docs, empty):
@@ -164,6 +177,22 @@ def test_quality_features_by_brute_force(spark, docs, empty):
     assert "row" in quality.apply_rules(docs, carry=True).columns
 
 
+def test_quality_verdicts_by_brute_force(spark, docs, monkeypatch):
+    """``kept`` and ``rejected_by`` against every rule asked on every text alone, in whatever order the cascade asks them."""
+    each = lambda f: " ".join(map(f, range(40)))
+    texts = corpus() + [each(lambda i: f"WORD{i}"), each(lambda i: f"w{i}!"), each(lambda i: f"#|w{i}"), each(lambda i: f"same\nsame\nu{i} v{i}\n"), each(lambda i: f"a a a u{i}"), each(lambda i: f"{i}" * 40), each(lambda i: f"W{i}!#")]
+    own = spark.createDataFrame([(i if i % 7 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_words int").repartition(3)
+    for rules in (quality.RULES, quality.RULES[::-1]):
+        monkeypatch.setattr(quality, "measured", lambda docs, given: given)
+        got = {r["row"]["n_words"]: r for r in quality.apply_rules(own, rules, carry=True).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            f = quality.Features(pa.array([t], type=pa.string()))
+            by = "base" if f.base_failed[0] else next((r.name for r in rules if r.rejects(quality.Features(pa.array([t], type=pa.string())))[0]), None)
+            assert (got[i]["rejected_by"], got[i]["kept"]) == (by, by is None)
+        assert len({r.name for r in rules} & {g["rejected_by"] for g in got.values()}) >= 5
+
+
 def test_repeated_windows_by_ranks_agree():
     texts = pa.array(["a b c d e f g h i a b c d e f g h", "x " * 20])
     f = quality.Features(texts)
