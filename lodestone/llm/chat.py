@@ -16,6 +16,8 @@ from lodestone.llm.words import tidied
 BEGIN, END, OPEN, CLOSE, SYSTEM, SYSTEM_END = "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 CONTROLS = (BEGIN, END, OPEN, CLOSE, SYSTEM, SYSTEM_END)
 ESCAPE = "\\"
+#: The tree of turns without a conversation.
+NO_CONVERSATION = -(1 << 63)
 
 
 def escaped(text: str) -> str:
@@ -77,12 +79,14 @@ def root_paths(nodes: DataFrame, *, best: int | None = None) -> DataFrame:
     ``score`` (null: 0). Paths grow by self-joins: round k extends each path by its nodes' ancestors at distance 2^k, so
     their number is the logarithm of the longest path, and only ids move. ``best``: keep that many paths of each tree, by
     the mean score of their nodes (ties: smaller leaf); None keeps all. A cycle has no leaf of its own and gives no path;
-    rows with a null tree or node are left out; an empty table gives no rows.
+    rows with a null tree or node are left out; an empty table gives no rows. A node whose ancestors lead into a cycle gives
+    no path either: no path has more nodes than its tree.
     """
     known = nodes.filter("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     parents = known.select("tree", F.col("node").alias("parent")).distinct()
     up = known.filter("parent is not null").select("tree", "node", "parent").join(parents, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
     leaves = known.select("tree", "node").join(up.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    most = known.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     jumps, hops = [written(up, "chat-jumps")], 1
     while True:  # jump k leads 2^k levels up; it is empty once no path is that long
         one = jumps[-1]
@@ -91,9 +95,12 @@ def root_paths(nodes: DataFrame, *, best: int | None = None) -> DataFrame:
         hops *= 2
         if two.isEmpty():
             break
-        if hops > 1 << 40:
-            raise ValueError("the parents form a cycle")
+        if hops > most:  # further up than the tree has nodes: these go round a cycle
+            leaves = leaves.join(two.select("tree", "node"), ["tree", "node"], "left_anti")
+            break
         jumps.append(two)
+    if best is not None:
+        leaves = _best_leaves(leaves, jumps, known, best)
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(jumps))):
         further = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
@@ -101,13 +108,32 @@ def root_paths(nodes: DataFrame, *, best: int | None = None) -> DataFrame:
         if k % 4 == 0:
             paths = written(paths, "chat-paths")
     length = paths.groupBy("tree", "leaf").agg((F.max("above")).alias("top"))
-    if best is not None:
-        scored = paths.join(known.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max("above").alias("top"))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
-        length = scored.withColumn("rank", rank).filter(F.col("rank") <= best).select("tree", "leaf", "top")
     return paths.join(length, ["tree", "leaf"]).select("tree", "leaf", (F.col("top") - F.col("above")).alias("place"), "node")
 
 
+def _best_leaves(leaves: DataFrame, jumps: list[DataFrame], known: DataFrame, best: int) -> DataFrame:
+    """(tree, node) of the leaves of the ``best`` paths of each tree by mean score. Sums double with the jumps: that of 2^k
+    nodes is that of the first half and of the half above it; a leaf then climbs from the longest jump down, a row a round, so
+    no path but the chosen ones is ever expanded. Trees of one leaf need no sums."""
+    rivals = leaves.join(leaves.groupBy("tree").count().filter(F.col("count") > best).select("tree"), "tree", "left_semi")
+    if rivals.isEmpty():
+        return leaves
+    own = known.select("tree", "node", "score")
+    sums = [jumps[0].join(own, ["tree", "node"])]  # the node's own score, without the one above
+    for longer in jumps[1:]:
+        half = sums[-1].select("tree", F.col("node").alias("via"), F.col("score").alias("upper"))
+        joined = longer.join(sums[-1].select("tree", "node", F.col("up").alias("via"), "score"), ["tree", "node"]).join(half, ["tree", "via"])
+        sums.append(written(joined.select("tree", "node", "up", (F.col("score") + F.col("upper")).alias("score")), "chat-sums"))
+    at = rivals.select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("nodes"))
+    for k in reversed(range(len(sums))):
+        step = at.join(sums[k], ["tree", "node"], "left")
+        at = step.select("tree", "leaf", F.coalesce("up", "node").alias("node"), (F.col("total") + F.coalesce("score", F.lit(0.0))).alias("total"), (F.col("nodes") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("nodes"))
+    mean = (F.col("total") + F.col("score")) / F.col("nodes")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
+    chosen = at.join(own, ["tree", "node"]).select("tree", "leaf", mean.alias("mean")).withColumn("rank", rank).filter(F.col("rank") <= best).select("tree", F.col("leaf").alias("node"))
+    return leaves.join(rivals.select("tree").distinct(), "tree", "left_anti").select("tree", "node").unionByName(chosen)
+
+
 def format_paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
     """(tree, leaf, n_turns, formatted, spans) of each chosen root-to-leaf path of ``messages``.
 
@@ -157,7 +183,8 @@ def format_paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """Turns of conversations as messages of chains: each replies to the turn before it, by ``turn`` (null first; equal turns
-    in the order of role and text). ``node`` is the place in that order; a null ``conv_id`` makes a conversation too."""
+    in the order of role and text). ``node`` is the place in that order; turns of a null ``conv_id`` are one conversation too, of
+    tree ``NO_CONVERSATION`` (an id that must not occur)."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    return placed.select(F.col("conv_id").cast("long").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    return placed.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_CONVERSATION)).alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import carried, per_text, slices, tidied
+from lodestone.llm.words import carried, per_text, slices, tidied, unpacked
 
 #: The training sample of each language, a bound whatever the corpus: rows, characters of each row, and bytes that its
 #: automaton holds.
@@ -19,7 +19,7 @@ ALLOWANCE_BYTES = 4_000
 #: Bytes that are parsed at a stretch: a phrase ends where a stretch of a text does. Stretches run side by side.
 STRETCH = 512
 #: Bytes of text that a task works on at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], *, carry: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, letters = trained.value, Letters()
         for batch in batches:
-            for some in slices(batch, limit=SLICE):
+            for some in slices(unpacked(batch, carry), limit=SLICE):
                 data, offsets, n_letters = letters.normal(some.column(1).to_pylist())
                 rows = np.arange(some.num_rows)
                 sure = (n_letters > 0) & bool(names)

@@ -15,9 +15,8 @@ from lodestone.llm.graph import components
 from lodestone.llm.shared import written
 from lodestone.llm.words import Words, gather, slices, tidied
 
-#: Registers in bands of ROWS: two sets of Jaccard similarity 0.8 share a band with 1 - (1 - 0.8^5)^40 > 1 - 2e-7.
-ROWS, BANDS = 5, 40
-REGISTERS = ROWS * BANDS
+#: Registers of a sketch, and the chance at which two sets at the threshold may share no band.
+REGISTERS, MISS = 200, 3e-7
 #: The base of the registers' exponential scale, and their greatest value.
 BASE, TOP = 1.02, (1 << 16) - 1
 #: A pair goes on to the full sets unless its registers are so unlikely at the threshold: twice the log-likelihood ratio;
@@ -100,12 +99,26 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) of 64-bit names of the bands, each with its number."""
-    grouped = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), grouped.shape[:2]).copy()
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most at which two sets of that similarity share a band but for a chance of ``MISS``; at 80 these
+    are 5, in 40 bands, with 1 - (1 - 0.8^5)^40 > 1 - 2e-7. Similarities for which one register is too many are refused."""
+    fit = [r for r in range(1, 9) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISS]
+    if not fit or percent > 100:
+        raise ValueError(f"{REGISTERS} registers cannot find sets of similarity {percent} %")
+    return fit[-1]
+
+
+def _bands(regs: np.ndarray, rows: int) -> np.ndarray:
+    """(sets, bands, rows); registers left over are in no band."""
+    return regs[:, : REGISTERS // rows * rows].reshape(len(regs), REGISTERS // rows, rows)
+
+
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    """(sets, bands) of 64-bit names of the bands, each with its number."""
+    grouped = _bands(regs, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, grouped.shape[1] + 1, dtype=np.uint64), grouped.shape[:2]).copy()
     with np.errstate(over="ignore"):
-        for r in range(ROWS):
+        for r in range(rows):
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, r])
     return key.view(np.int64)
 
@@ -147,12 +160,14 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), "doc_id long, n long, digest binary, regs binary")
 
 
-def _banded(classes: DataFrame) -> DataFrame:
+def _banded(classes: DataFrame, rows: int) -> DataFrame:
+    bands = REGISTERS // rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(batch.num_rows, REGISTERS)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).ravel()))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(band_keys(regs, rows).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys], names=["id", "n", "keys"])
 
     return classes.select("id", "regs", "n").mapInArrow(tidied(run), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
@@ -193,7 +208,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
 def _pairs(key: int, x: int, y: int, ids: np.ndarray, block: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, later members) of two blocks of a bucket that are in different components and may be similar by the number of equal
     registers. Of the buckets that two members share, only that of their first common band reports the pair."""
-    band = int(np.flatnonzero(band_keys(regs[:1])[0] == key)[0])
+    rows = band_rows(percent)
+    band = int(np.flatnonzero(band_keys(regs[:1], rows)[0] == key)[0])
     for i in range(len(ids) - 1):
         rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
         if x != y:
@@ -201,7 +217,7 @@ def _pairs(key: int, x: int, y: int, ids: np.ndarray, block: np.ndarray, comp: n
         if len(rest):
             equal = regs[rest] == regs[i]
             equal, rest = (v[equal.sum(1) >= REGISTERS * (percent / 100 - 0.2)] for v in (equal, rest))
-            rest = rest[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+            rest = rest[_bands(equal, rows).all(2).argmax(1) == band]
         if len(rest):
             yield i, rest
 
@@ -325,13 +341,20 @@ def _joining(rows: DataFrame, percent: int) -> DataFrame:
 def _apart(bands: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b), true on the full sets, that join all components of which members share a bucket and are similar.
 
-    A bucket of c members is dealt by hash to blocks of about BLOCK members and NAMES shingles; a task compares two blocks at a
+    The members of a bucket's largest component are joined already, so only the rest are compared, with each other and with
+    them. Both sides are dealt by hash to blocks of about BLOCK members and NAMES shingles; a task compares two blocks at a
     time, first by registers, then those that may be similar by their sets. It returns members or joining links, not pairs.
     """
     placed = bands.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("names"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("names") / NAMES)).cast("int").alias("blocks"))
-    dealt = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    copies = dealt.select("key", "id", "component", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("names"))
+    mixed = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("names").alias("names"), F.max(F.struct("c", "names", "component")).alias("top")).filter("parts > 1")
+    blocks = lambda c, names: F.greatest(F.ceil(c / BLOCK), F.ceil(names / NAMES)).cast("int")
+    mixed = mixed.select("key", F.col("top.component").alias("top"), blocks(F.col("c") - F.col("top.c"), F.col("names") - F.col("top.names")).alias("others"), blocks(F.col("top.c"), F.col("top.names")).alias("own"))
+    joined = F.col("component") == F.col("top")
+    hashed = F.xxhash64("id")
+    dealt = placed.join(mixed, "key").withColumn("block", F.when(joined, F.col("others") + F.pmod(hashed, F.col("own"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    met = F.sequence(F.lit(0), F.when(joined, F.col("others") - 1).otherwise(F.col("others") + F.col("own") - 1))
+    copies = dealt.select("key", "id", "component", "n", "block", F.explode(met).alias("other"))
     rows = copies.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "n")
     together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
     suspects = written(_suspects(together(rows.join(classes.select("id", "regs"), "id").select("key", "x", "y", "block", "id", "component", "n", "regs")), percent), "suspects")
@@ -355,7 +378,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80) -> Da
     """
     sketched = written(_sketched(docs, words), "sketches")
     classes = written(sketched.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "sketch-classes")
-    bands = _banded(classes)
+    bands = _banded(classes, band_rows(percent))
     pivot = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("p.id").alias("pivot"))
     met = written(bands.join(pivot, "key"), "bands")  # buckets of one member end here
     pairs = met.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()

@@ -15,7 +15,7 @@ from lodestone.llm.words import tidied
 #: Rows of the sample that codebooks are fitted on, about; codewords of a subspace (four bits); dimensions of a subspace.
 SAMPLE_ROWS, CODEWORDS, SUB = 4096, 16, 2
 #: Vectors of an index block, queries of a query block, and vectors of a block that are reranked for each query at first.
-BLOCK, QUERIES, RERANK = 8192, 512, 256
+BLOCK, QUERIES, RERANK = 8192, 1024, 256
 #: The share of the norm above which an inner product counts for the anisotropic weight.
 THRESHOLD = 0.2
 
@@ -136,8 +136,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
 
     Takes ``vec_id`` and ``embedding`` (array of float or double); others are not read. Rows with a null id, or a vector that
     is null, zero, of another length than most rows, or has null or non-finite components take no part; an empty
-    table gives no rows. Rows of one vec_id are each other's candidates only if they differ in it: a query's own id is
-    never returned. Codebooks are fitted on about ``SAMPLE_ROWS`` rows of least hash; every row is indexed. Blocks of queries
+    table gives no rows. A vec_id in several rows is one query and one candidate, with the best score of its rows; a query's
+    own id is never returned. Codebooks are fitted on about ``SAMPLE_ROWS`` rows of least hash; every row is indexed. Blocks of queries
     meet blocks of the index, each block pair a task of fixed size: codes are scanned, ``RERANK`` vectors a block (at least k)
     are scored exactly in double precision, then each other one whose scan and residual can still reach the k-th exact
     score, so none of the k best of a block is lost; they go on, and a top-k by query ends it.
@@ -180,8 +180,10 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
         return run
 
     blocks = "ids binary, x binary, codes binary, slack binary"
-    index = written(rows.mapInArrow(tidied(block(BLOCK, True)), blocks).withColumn("b", F.monotonically_increasing_id()), "ann-index")
-    queries = written(rows.filter(f"vec_id % {every} = 0").mapInArrow(tidied(block(QUERIES, False)), blocks).select(F.col("ids").alias("q_ids"), F.col("x").alias("q")), "ann-queries")
+    rows = rows.dropDuplicates(["vec_id", "embedding"])  # dealt by a hash of both, so blocks mix the table
+    few = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)))  # partitions that fill a block
+    index = written(rows.coalesce(few).mapInArrow(tidied(block(BLOCK, True)), blocks).withColumn("b", F.monotonically_increasing_id()), "ann-index")
+    queries = written(rows.filter(f"vec_id % {every} = 0").coalesce(max(1, -(-total // (every * QUERIES)))).mapInArrow(tidied(block(QUERIES, False)), blocks).select(F.col("ids").alias("q_ids"), F.col("x").alias("q")), "ann-queries")
     names = index.select("b")
     pairs = index.join(queries.crossJoin(names), "b")
 
@@ -192,32 +194,34 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
                 ids, q_ids, slack = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(slack)
                 x, q = np.frombuffer(x).reshape(-1, dims), np.frombuffer(q).reshape(-1, dims)
                 packed = np.frombuffer(codes, dtype=np.uint8).reshape(len(ids), -1)
-                keep = min(len(ids), max(RERANK, 2 * k + 2))
+                single = bool((np.diff(ids) > 0).all())  # blocks are sorted by id
+                keep = min(len(ids), max(2 * k + 2, min(RERANK, len(ids) // 8)))
                 for lo in range(0, len(q), 64):
                     some, own = q[lo : lo + 64], q_ids[lo : lo + 64]
-                    scores = quantizer.scan(some, packed) if keep < len(ids) else None
+                    scores = quantizer.scan(some, packed)
                     got_q, got_v, got_s = [], [], []
                     for i, one in enumerate(some):
                         others = ids != own[i]
-                        if scores is None:
-                            near = np.flatnonzero(others)
-                        else:
-                            cut = np.partition(scores[i], len(ids) - keep)[len(ids) - keep]
-                            near = _best(scores[i], cut, keep)
-                            near = near[others[near]]
+                        cut = np.partition(scores[i], len(ids) - keep)[len(ids) - keep]
+                        near = _best(scores[i], cut, keep)
+                        near = near[others[near]]
                         exact = _exact(x, near, one)
-                        if scores is not None:
-                            least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-                            others[near] = False
-                            more = np.flatnonzero(others & ~(scores[i] + slack * np.sqrt(one @ one) < least))
-                            near, exact = np.concatenate([near, more]), np.concatenate([exact, _exact(x, more, one)])
-                        order = np.lexsort((ids[near], -exact))[:k]
+                        own_best = exact if single else _best_of_ids(ids[near], exact)[1]
+                        least = np.partition(own_best, len(own_best) - k)[len(own_best) - k] if len(own_best) >= k else -np.inf
+                        others[near] = False
+                        more = np.flatnonzero(others & ~(scores[i] + slack * np.sqrt(one @ one) < least))
+                        near, exact = np.concatenate([near, more]), np.concatenate([exact, _exact(x, more, one)])
+                        found_ids = ids[near]
+                        if not single:
+                            found_ids, exact = _best_of_ids(found_ids, exact)
+                        order = np.lexsort((found_ids, -exact))[:k]
                         got_q.append(np.full(len(order), own[i]))
-                        got_v.append(ids[near][order])
+                        got_v.append(found_ids[order])
                         got_s.append(exact[order])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (got_q, got_v, got_s)], names=["query_id", "vec_id", "score"])
 
     found = pairs.select("ids", "x", "codes", "slack", "q_ids", "q").mapInArrow(tidied(search), "query_id long, vec_id long, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids in several rows count once
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -227,6 +231,13 @@ def _exact(x: np.ndarray, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.einsum("nd,d->n", x, query)[rows] if 5 * len(rows) > len(x) else np.einsum("nd,d->n", x[rows], query)
 
 
+def _best_of_ids(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id once, with its largest score."""
+    order = np.lexsort((-scores, ids))
+    first = np.diff(ids[order], prepend=ids[order][:1] - 1) != 0
+    return ids[order][first], scores[order][first]
+
+
 def _best(scores: np.ndarray, cut: float, keep: int) -> np.ndarray:
     """Places of the ``keep`` largest scores, of those equal to the least of them the first."""
     over = np.flatnonzero(scores > cut)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import Words, carried, joined, per_text, slices, tidied
+from lodestone.llm.words import Words, carried, joined, per_text, slices, tidied, unpacked
 
 #: Words of a window that counts as repeated, and the bound of repeated words and of few words in the base rule.
 WINDOW, REPEATED_PERCENT, FEWEST_WORDS = 8, 30, 20
@@ -217,7 +217,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(unpacked(batch, carry)):
                 f = Features(some.column(1))
                 by = np.full(some.num_rows, None, dtype=object)
                 by[f.base_failed] = "base"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import encode_and_decode
-from lodestone.llm.chat import conversation_messages, format_paths, parse, unescaped
+from lodestone.llm.chat import NO_CONVERSATION, conversation_messages, format_paths, parse, unescaped
 from lodestone.llm.language import identify, training_text
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.near_duplicates import near_duplicates
@@ -57,7 +57,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("tree", "formatted", "spans").mapInArrow(tidied(back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = formatted.select("tree", "formatted", "spans").mapInArrow(tidied(back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return read.withColumn("conv_id", F.when(F.col("conv_id") != NO_CONVERSATION, F.col("conv_id")))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,12 +40,20 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def carried(docs: DataFrame, schema: str, carry: bool) -> tuple[DataFrame, str]:
-    """(doc_id, text) of ``docs`` and the schema of what is made of them; with ``carry`` both end with each whole row as ``row``."""
-    own = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"]]
+    """(doc_id, text) of ``docs`` and the schema of what is made of them; with ``carry`` the first is each whole row as ``row``,
+    which ``unpacked`` opens, so that a text travels once, and the second ends with it."""
     if not carry:
-        return docs.select(*own), schema
+        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), schema
     row = F.struct(*(docs[c] for c in docs.columns))
-    return docs.select(*own, row.alias("row")), f"{schema}, row {docs.schema.simpleString()}"
+    return docs.select(row.alias("row")), f"{schema}, row {docs.schema.simpleString()}"
+
+
+def unpacked(batch: pa.RecordBatch, carry: bool) -> pa.RecordBatch:
+    """(doc_id, text), and ``row`` where it is carried."""
+    if not carry:
+        return batch
+    row = batch.column(0)
+    return pa.RecordBatch.from_arrays([row.field("doc_id").cast(pa.int64()), row.field("text"), row], names=["doc_id", "text", "row"])
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

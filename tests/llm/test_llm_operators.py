@@ -285,7 +285,7 @@ def test_buckets_of_many_blocks_lose_no_pair(spark, monkeypatch):
     sketched = near_duplicates._sketched(df, 4)
     classes = sketched.select(F.col("doc_id").alias("id"), "digest", "n", "regs")
     none = spark.createDataFrame([], "id long, component long")
-    links = near_duplicates._apart(near_duplicates._banded(classes), none, classes, df, 4, 60).collect()
+    links = near_duplicates._apart(near_duplicates._banded(classes, near_duplicates.band_rows(60)), none, classes, df, 4, 60).collect()
     grams = {i: {tuple(t.split()[k : k + 4]) for k in range(117)} for i, t in rows}
     similar = lambda a, b, percent: 100 * len(grams[a] & grams[b]) >= percent * len(grams[a] | grams[b])
     part = {i: i for i in grams}
@@ -332,7 +332,7 @@ def test_chat_round_trip_and_mask(spark):
     rows += [(50, 0, None, "hi"), (51, 0, "assistant", "only"), (None, 0, "user", "lost"), (52, 1, "user", "same"), (52, 1, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["tree"]: r for r in chat.format_paths(chat.conversation_messages(df)).collect()}
-    assert set(got) == {*range(10), 50, 51, 52}
+    assert set(got) == {*range(10), 50, 51, 52, chat.NO_CONVERSATION}
     for c in range(10):
         said = [(r, t or "") for k, _, r, t in rows if k == c]
         assert list(chat.parse(got[c]["formatted"])) == said
@@ -349,8 +349,52 @@ def test_reply_trees_give_the_best_paths(spark):
     assert paths == {(1, 2): [1, 2], (1, 5): [1, 3, 4, 5], (2, 1): [1]}
     best = chat.root_paths(nodes.filter("tree = 1"), best=1).select("leaf").distinct().collect()
     assert [r["leaf"] for r in best] == [5]
-    with pytest.raises(ValueError, match="cycle"):
-        chat.root_paths(nodes.filter("tree = 3"))
+    assert chat.root_paths(nodes.filter("tree = 3")).isEmpty()
+    hung = spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 1.0), (1, 4, 3, 1.0), (1, 7, None, 0.0), (1, 8, 7, 0.0)], nodes.schema)
+    assert [(r["leaf"], r["node"]) for r in chat.root_paths(hung, best=1).orderBy("place").collect()] == [(8, 7), (8, 8)]
+
+
+def test_best_paths_by_brute_force(spark):
+    rng = random.Random(4)
+    rows, scores, parents = [], {}, {}
+    for tree in range(12):
+        for node in range(rng.randint(1, 40)):
+            parents[tree, node] = rng.randrange(max(0, node - 3), node) if node and rng.random() < 0.95 else None
+            scores[tree, node] = rng.choice([0.0, 1.0, 2.5, -1.0])
+            rows.append((tree, node, parents[tree, node], scores[tree, node] if node % 9 else None))
+            scores[tree, node] = scores[tree, node] if node % 9 else 0.0
+    want = {}
+    for tree in range(12):
+        mine = [n for t, n in parents if t == tree]
+        ranked = []
+        for leaf in set(mine) - {parents[tree, n] for n in mine}:
+            path = [leaf]
+            while (up := parents[tree, path[0]]) is not None:
+                path.insert(0, up)
+            ranked.append((-sum(scores[tree, n] for n in path) / len(path), leaf, path))
+        want |= {(tree, leaf): path for _, leaf, path in sorted(ranked)[:2]}
+    got = collections.defaultdict(list)
+    for r in chat.root_paths(spark.createDataFrame(rows, "tree long, node long, parent long, score double"), best=2).orderBy("place").collect():
+        got[r["tree"], r["leaf"]].append(r["node"])
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [50, 70])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(60)]
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[:-rng.randint(1, 30)] + [word() for _ in range(rng.randint(0, 6))]))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    want = [100 * len(sets[i] & sets[i + 1]) >= percent * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(df, percent=percent).collect()}
+    assert 5 < sum(want) < 40 and [got[i] == got[i + 1] for i in range(0, 80, 2)] == want
+    with pytest.raises(ValueError, match="cannot find"):
+        near_duplicates.near_duplicates(df, percent=5)
 
 
 def test_nearest_recall_and_odd_vectors(spark):
