@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lodestone.operators.text import lcs
+from lodestone.plans.patterns import ratio
+
 
 def repeated_calls(df: DataFrame, task: str, order: str, call: str, *, loop: int = 3) -> DataFrame:
     """(unnecessary_rate, loop_rate): share of calls made before in the same task, share of tasks with ``loop`` equal calls in a row."""
@@ -78,3 +81,17 @@ _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Wi
 def cyclomatic(code: str) -> int:
     """1 and one for each branch and further boolean operand."""
     return 1 + sum(isinstance(n, _BRANCHES) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(ast.parse(code)))
+
+
+def plan_adherence(df: DataFrame, plan: str, executed: str) -> DataFrame:
+    """(precision, recall, f1, exact_match), means over tasks: the longest common subsequence of planned and executed steps
+    (arrays of strings) over the steps of either. A task without executed steps has precision 1 if it planned none, else 0."""
+
+    @pandas_udf("long")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    d = df.select(F.coalesce(F.col(plan), F.array().cast("array<string>")).alias("p"), F.coalesce(F.col(executed), F.array().cast("array<string>")).alias("e"))
+    d = d.select("p", "e", common("p", "e").alias("n"))
+    d = d.select((F.col("p") == F.col("e")).cast("double").alias("same"), F.when(F.size("e") > 0, F.col("n") / F.size("e")).otherwise((F.size("p") == 0).cast("double")).alias("a"), F.when(F.size("p") > 0, F.col("n") / F.size("p")).otherwise(1.0).alias("b"))
+    return d.agg(F.avg("a").alias("precision"), F.avg("b").alias("recall"), F.avg(ratio(2 * F.col("a") * F.col("b"), F.col("a") + F.col("b"))).alias("f1"), F.avg("same").alias("exact_match"))

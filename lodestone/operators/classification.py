@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.durable import written
-from lodestone.plans.patterns import binned, cube, one_vs_rest, ratio, reached, running, thresholds
+from lodestone.plans.patterns import binned, cube, one_vs_rest, ratio, reached, thresholds, wilson
 
 
 def class_scores(df: DataFrame, truth: str, pred: str, *, weight: str | None = None, beta: float = 2.0, by: Sequence[str] = (), zero: float | None = 0.0) -> DataFrame:
@@ -180,3 +180,23 @@ def risk_coverage(df: DataFrame, correct: str, confidence: str) -> DataFrame:
     total = s.agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
     done = F.col("cum_pos") + F.col("cum_neg")
     return s.crossJoin(F.broadcast(total)).select(F.col("score").alias("confidence"), (done / F.col("n")).alias("coverage"), (F.col("cum_neg") / done).alias("risk"))
+
+
+def diagnostic_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """(metric, value, low, high) of a binary test: shares with Wilson intervals, ratios without; null where undefined. One pass."""
+    is_ = lambda t, p: F.count_if((F.col(truth) == t) & (F.col(pred) == p))
+    c = df.agg(is_(1, 1).alias("tp"), is_(0, 1).alias("fp"), is_(1, 0).alias("fn"), is_(0, 0).alias("tn"))
+    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+    shares = {"sensitivity": (tp, tp + fn), "specificity": (tn, tn + fp), "ppv": (tp, tp + fp), "npv": (tn, tn + fn), "accuracy": (tp + tn, tp + fp + fn + tn), "prevalence": (tp + fn, tp + fp + fn + tn)}
+    none = F.lit(None).cast("double")
+    row = lambda name, value, low, high: F.struct(F.lit(name).alias("metric"), value.alias("value"), low.alias("low"), high.alias("high"))
+    rows = [row(name, ratio(k, n, None), *(F.when(n > 0, F.least(F.greatest(b, F.lit(0.0)), F.lit(1.0))) for b in wilson(k, F.when(n > 0, n)))) for name, (k, n) in shares.items()]
+    rows += [row("lr_positive", ratio(tp * (fp + tn), fp * (tp + fn), None), none, none), row("lr_negative", ratio(fn * (fp + tn), tn * (tp + fn), None), none, none), row("diagnostic_odds_ratio", ratio(tp * tn, fp * fn, None), none, none), row("youden_j", ratio(tp, tp + fn, None) + ratio(tn, tn + fp, None) - 1, none, none)]
+    return c.select(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def calibration_report(df: DataFrame, truth: str, score: str, row_id: str, *, bins: int = 10) -> DataFrame:
+    """(expected_calibration_error, maximum_calibration_error, brier_score, mean_score, prevalence, hosmer_lemeshow, df) as one row."""
+    y, p = F.col(truth).cast("double"), F.col(score).cast("double")
+    plain = df.agg(F.avg((p - y) * (p - y)).alias("brier_score"), F.avg(p).alias("mean_score"), F.avg(y).alias("prevalence"))
+    return calibration_errors(df, truth, score, bins=bins).crossJoin(plain).crossJoin(hosmer_lemeshow(df, truth, score, row_id).withColumnRenamed("statistic", "hosmer_lemeshow"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import special
 from lodestone.operators.statistics import adjust_pvalues, mann_whitney, mcnemar_p
-from lodestone.plans.patterns import ranks, running, thresholds
+from lodestone.plans.patterns import ranks, ratio, running, thresholds, wilson
 
 # The published polynomials of the approximation to the Shapiro-Wilk weights and to the distribution of W,
 # lowest power first.
@@ -300,3 +300,31 @@ def bootstrap_accuracy_bca(df: DataFrame, truth: str, pred: str, *, replicates:
     left = ((hit.sum() - hit) / np.maximum(rest, 1))[rest > 0]
     low, high = accelerated_bounds(values, estimate, left, level)
     return {"estimate": estimate, "low": low, "high": high}
+
+
+def accuracy_interval(df: DataFrame, truth: str, pred: str, *, level: float = 0.95) -> DataFrame:
+    """(accuracy, low, high, n): Wilson's interval from one aggregate; null without rows. Rows with a null take no part."""
+    hit = F.col(truth) == F.col(pred)
+    s = df.agg(F.count_if(hit).alias("k"), F.count(hit).alias("n"))
+    low, high = wilson(F.col("k"), F.col("n"), special.normal_quantile(0.5 + level / 2))
+    return s.select(ratio(F.col("k").cast("double"), F.col("n"), None).alias("accuracy"), F.when(F.col("n") > 0, F.greatest(F.lit(0.0), low)).alias("low"), F.when(F.col("n") > 0, F.least(F.lit(1.0), high)).alias("high"), "n")
+
+
+def paired_bootstrap(df: DataFrame, truth: str, a: str, b: str, *, replicates: int = 2000, seed: int = 7, level: float = 0.95) -> dict[str, float]:
+    """difference, low, high, p_value of the accuracies of predictions a and b on the same rows. Rows are counted by the four
+    outcomes (both right, one, none) and each replicate draws Poisson totals of these, so one pass over the rows suffices;
+    p is two-sided, the share of replicates on the other side of 0 (half of those at 0), doubled."""
+    if replicates < 100:
+        raise ValueError("at least 100 replicates are needed")
+    x, y = F.col(a) == F.col(truth), F.col(b) == F.col(truth)
+    s = df.agg(*(F.count_if((x == i) & (y == j)).alias(f"n{int(i)}{int(j)}") for i in (True, False) for j in (True, False))).first()
+    n = sum(s)
+    if not n:
+        raise ValueError("no rows")
+    rng = np.random.default_rng(seed)
+    draws = rng.poisson(np.array([s["n11"], s["n10"], s["n01"], s["n00"]]), (replicates, 4))
+    total = draws.sum(1)
+    values = ((draws[:, 1] - draws[:, 2]) / np.maximum(total, 1))[total > 0]
+    low, high = np.quantile(values, [(1 - level) / 2, (1 + level) / 2])
+    side = min((values < 0).sum(), (values > 0).sum()) + (values == 0).sum() / 2
+    return {"difference": (s["n10"] - s["n01"]) / n, "low": float(low), "high": float(high), "p_value": float(min(1.0, 2 * side / len(values)))}

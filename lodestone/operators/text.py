@@ -93,17 +93,14 @@ def tokens_13a(line: str) -> list[str]:
     return line.split()
 
 
-def _grams(words: Sequence[str], n: int) -> Counter:
-    return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-
-
 def bleu_statistics(reference: str, prediction: str) -> list[float]:
     """Matches and totals of orders 1 to 4, length of prediction and reference: they add up over a corpus."""
     r, p = tokens_13a(reference), tokens_13a(prediction)
+    known: dict[str, int] = {}
+    words = np.array([known.setdefault(w, len(known)) for w in (*r, *p)], dtype=np.int64)
     out: list[float] = []
-    for n in range(1, 5):
-        a, b = _grams(p, n), _grams(r, n)
-        out += [sum(min(c, b[g]) for g, c in a.items()), max(len(p) - n + 1, 0)]
+    for hit, a, _ in _gram_counts(words, max(len(known), 1), len(r), len(p), 4):
+        out += [hit, a]
     return [*out, len(p), len(r)]
 
 
@@ -142,22 +139,25 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def chrf_statistics(reference: str, prediction: str, order: int = 6) -> list[float]:
-    """Matches and totals of the character n-grams of whole texts; an n-gram is one integer, renumbered before it overflows."""
-    r, p = ("".join(s.split()) for s in (reference, prediction))
-    known, letters = np.unique(np.frombuffer((r + p).encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_inverse=True)
-    letters = letters.astype(np.int64)
-    grams, base, span = letters, max(len(known), 1), max(len(known), 1)
-    out: list[float] = []
+def _gram_counts(codes: np.ndarray, base: int, n_r: int, n_p: int, order: int) -> Iterator[tuple[int, int, int]]:
+    """(clipped matches, n-grams of the prediction, of the reference) for n from 1 to ``order``; ``codes``, under ``base``: those of
+    the reference, then of the prediction. An n-gram is one integer, renumbered before it overflows."""
+    grams, span = codes, base
     for n in range(1, order + 1):
         if n > 1:
             if span > (1 << 62) // base:
                 some, grams = np.unique(grams, return_inverse=True)
                 span = max(len(some), 1)
-            grams, span = grams[:-1] * base + letters[n - 1 :], span * base
-        a, b = max(len(r) - n + 1, 0), max(len(p) - n + 1, 0)
-        out += [_common(grams[:a], grams[len(r) : len(r) + b]), b, a]
-    return out
+            grams, span = grams[:-1] * base + codes[n - 1 :], span * base
+        a, b = max(n_r - n + 1, 0), max(n_p - n + 1, 0)
+        yield _common(grams[:a], grams[n_r : n_r + b]), b, a
+
+
+def chrf_statistics(reference: str, prediction: str, order: int = 6) -> list[float]:
+    """Matches and totals of the character n-grams of whole texts."""
+    r, p = ("".join(s.split()) for s in (reference, prediction))
+    known, letters = np.unique(np.frombuffer((r + p).encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_inverse=True)
+    return [float(x) for counts in _gram_counts(letters.astype(np.int64), max(len(known), 1), len(r), len(p), order) for x in counts]
 
 
 def chrf_from(stats: Sequence[float], beta: float = 2.0) -> float:
@@ -285,3 +285,65 @@ def cider(df: DataFrame, key: str, reference: str = "reference", prediction: str
         out = s if out is None else out.unionByName(s)
     lengths = df.select(key, *length)
     return out.groupBy(key).agg(F.sum("s").alias("s")).join(lengths, key).select(key, (10 * F.col("s") / 4 * F.exp(-F.pow((F.col("lp") - F.col("lr")).cast("double"), 2.0) / (2 * sigma**2))).alias("cider"))
+
+
+def rouge_lsum(reference: str, prediction: str) -> list[float]:
+    """(precision, recall, f1) of summaries of sentences a line: for each reference sentence the union of its longest common
+    subsequences with all predicted ones, where no word of either summary counts more often than it occurs."""
+    sides = [[w for line in s.split("\n") if (w := re.findall("[a-z0-9]+", line.lower()))] for s in (reference, prediction)]
+    (r, p), (left, right) = sides, [Counter(w for line in side for w in line) for side in sides]
+    hits = 0
+    for line in r:
+        places = {i for other in p for i in _lcs_places(line, other)}
+        for i in sorted(places):
+            if left[line[i]] > 0 and right[line[i]] > 0:
+                hits += 1
+                left[line[i]] -= 1
+                right[line[i]] -= 1
+    n, m = sum(map(len, p)), sum(map(len, r))
+    precision, recall = hits / n if n else 0.0, hits / m if m else 0.0
+    return [precision, recall, 2 * precision * recall / (precision + recall) if hits else 0.0]
+
+
+def _lcs_places(a: Sequence[str], b: Sequence[str]) -> list[int]:
+    """Places of ``a`` in one longest common subsequence with ``b``."""
+    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    words = np.array(b, dtype=object)
+    for i, x in enumerate(a):  # a row: the best of above, and of the diagonal where words are equal, made rising
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(words == x, table[i, :-1] + 1, 0)))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif table[i, j - 1] > table[i - 1, j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+_NUMERAL = r"-?[$]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)"
+
+
+def extract_answer(column: Column, style: str = "number") -> Column:
+    """The final answer in each text, by JVM expressions: "number" (what stands after the last ####, else the last number,
+    without separators), "choice" (the last option letter A to J that stands alone) or "last_line"; null if there is none."""
+    last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1))
+    if style == "choice":
+        return last(F.regexp_extract_all(column, F.lit(r"(?:^|[^A-Za-z])\(?([A-J])\)?(?=[^A-Za-z]|$)"), 1))
+    if style == "last_line":
+        return last(F.filter(F.transform(F.split(column, r"\r\n|\r|\n"), F.trim), lambda x: x != ""))
+    if style != "number":
+        raise ValueError(f"unknown style {style}")
+    tail = F.when(column.contains("####"), F.element_at(F.split(column, "####"), -1)).otherwise(column)
+    found = F.regexp_extract_all(tail, F.lit(_NUMERAL), 0)
+    number = F.when(column.contains("####"), F.when(F.size(found) > 0, F.element_at(found, 1)).otherwise(F.nullif(F.trim(tail), F.lit("")))).otherwise(last(found))
+    return F.regexp_replace(F.regexp_replace(number, "[$,]", ""), r"\.0+$", "")
+
+
+def benchmark_accuracy(df: DataFrame, reference: str, output: str, style: str = "number") -> DataFrame:
+    """(accuracy, no_answer): share of outputs whose extracted answer is the reference's, and those without any."""
+    gold = F.coalesce(extract_answer(F.col(reference), style), F.trim(F.col(reference))) if style == "number" else F.trim(F.col(reference))
+    pred = extract_answer(F.col(output), style)
+    return df.agg(F.avg(F.coalesce((pred == gold).cast("double"), F.lit(0.0))).alias("accuracy"), F.count_if(pred.isNull()).alias("no_answer"))

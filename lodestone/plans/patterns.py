@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.durable import written
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than there are cores, as of a file of one row group, dealt to all of them, for stages
+    that cost much more than a shuffle of their rows; one of more partitions is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
 
 def ratio(num: Column, den: Column, zero: float | None = 0.0) -> Column:
     """num / den, or ``zero`` (None: null) where den is 0; ANSI division by zero never happens."""
@@ -55,7 +64,8 @@ def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] =
         return df.select("*", *(F.sum(c).over(w).alias(f"cum_{c}") for c in sums))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, key).withColumn("__range", F.spark_partition_id())
+    # Bounds of ranges are sampled anew by each evaluation, so the dealt rows are written once.
+    dealt = written(df.repartitionByRange(parts, key).withColumn("__range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__range", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import agents, catalog, classification, exact_tests, judges, retrieval, safety, statistics, structured, text, vision
+from lodestone.operators import agents, catalog, classification, exact_tests, groups, judges, retrieval, safety, selective, statistics, structured, text, vision
+from lodestone.plans.patterns import spread
 from lodestone.streaming.rates import windowed_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,7 +314,7 @@ _PAIRS_DUCK = "pr as (select doc_id, list_slice(w, 1, 30) as r, list_filter(list
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    view(spark, d, "documents")
+    spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).createOrReplaceTempView("documents")
     return spark.sql(_PAIRS_SPARK)
 
 
@@ -404,3 +405,65 @@ def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 query("detection_average_precision")(lambda s, d: vision.detection_average_precision(*_boxes(s, d)))
 query("windowed_event_rates", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(cast(event_type <> 'error' as int) * 1e0), 6) as rate, round(avg(value), 6) as mean from events group by 1, 2")(lambda s, d: windowed_rates(s.read.parquet(f"{d}/events.parquet").withColumn("ok", (F.col("event_type") != "error").cast("int")), "ts", "ok", "value", by=("event_type",)))
 query("metric_catalogue")(lambda s, d: s.createDataFrame([(k, m.category, m.higher_is_better) for k, m in catalog.CATALOG.items()], "id string, category string, higher_is_better boolean"))
+
+_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+_BY_KEY = ", ".join(_KEY)
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return observations(spark, d).withColumn("row_id", F.struct(*_KEY))
+
+
+def _plain(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(sql)
+
+
+_ERRORS = f"{_OBS}, o as (select prob, 1 - correct as err, row_number() over w as k, sum(1 - correct) over (order by prob desc, {_BY_KEY} rows unbounded preceding) as e from obs window w as (order by prob desc, {_BY_KEY})), n as (select count(*) as n, sum(err) as wrong from o)"
+query("aurc")(lambda s, d: selective.aurc(_keyed(s, d), "correct", "prob", "row_id"))
+ORACLE["aurc"] = f"{_ERRORS} select round(avg(e * 1e0 / k), 6) as aurc, round(avg(e * 1e0 / k) - avg(greatest(0, k - (n - wrong)) * 1e0 / k), 6) as e_aurc, round(avg(greatest(0, k - (n - wrong)) * 1e0 / k), 6) as optimal_aurc from o, n"
+query("selective_risk")(lambda s, d: selective.selective_risk(_keyed(s, d), "correct", "prob", "row_id"))
+ORACLE["selective_risk"] = f"{_ERRORS} select round(avg(err * 1e0), 6) as risk, round(count(*) * 1e0 / max(n), 6) as coverage, round(min(prob), 6) as threshold, round(max(wrong) * 1e0 / max(n), 6) as full_coverage_risk from o, n where k <= ceil(8e-1 * n)"
+query("adaptive_calibration_error")(lambda s, d: selective.adaptive_calibration_error(_keyed(s, d), "correct", "prob", "row_id"))
+ORACLE["adaptive_calibration_error"] = f"{_OBS}, o as (select prob, correct, row_number() over (order by prob, {_BY_KEY}) - 1 as k, count(*) over () as n from obs), b as (select case when k < (n % 15) * (n // 15 + 1) then k // (n // 15 + 1) else n % 15 + (k - (n % 15) * (n // 15 + 1)) // (n // 15) end as b, prob, correct from o) select round(avg(g), 6) as adaptive_calibration_error from (select abs(avg(correct * 1e0) - avg(prob)) as g from b group by b)"
+_RISKS = f"{_OBS}, {_STEPS}, rc as (select score, (cp + cn) / (ap + an) as coverage, cn / (cp + cn) as risk from cu)"
+query("risk_at_coverage")(lambda s, d: selective.risk_at_coverage(observations(s, d), "t", "prob"))
+ORACLE["risk_at_coverage"] = f"{_RISKS} select round(arg_min(risk, coverage), 6) as risk, round(min(coverage), 6) as coverage, round(arg_min(score, coverage), 6) as threshold from rc where coverage >= 8e-1 - 1e-12"
+query("coverage_at_risk")(lambda s, d: selective.coverage_at_risk(observations(s, d), "t", "prob", risk=0.3))
+ORACLE["coverage_at_risk"] = f"{_RISKS} select round(coalesce(max(coverage), 0), 6) as coverage, round(arg_max(risk, coverage), 6) as risk, round(arg_max(score, coverage), 6) as threshold from rc where risk <= 3e-1 + 1e-12"
+query("confidence_accuracy_correlation")(lambda s, d: selective.confidence_correlation(observations(s, d), "t", "prob"))
+ORACLE["confidence_accuracy_correlation"] = f"{_OBS}, {_STEPS}, r as (select t, prob, rank() over (order by prob) + (count(*) over (partition by prob) - 1) / 2e0 as r from obs) select (select round(sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg)), 6) from cu) as auroc, round(corr(prob, t), 6) as point_biserial, round(corr(r, t), 6) as spearman, round(avg(t * 1e0), 6) as accuracy, round(avg(prob), 6) as mean_confidence from r"
+
+query("answer_consistency", "with c as (select l_partkey as q, l_returnflag as a, count(*) as c from lineitem group by 1, 2), q as (select sum(c) as n, sum(c * (c - 1)) as same from c group by q having sum(c) > 1) select round(avg(cast(same = n * (n - 1) as int) * 1e0), 6) as consistency, round(avg(same * 1e0 / (n * (n - 1))), 6) as pairwise_agreement from q")(lambda s, d: groups.agreement(observations(s, d), "l_partkey", "l_returnflag"))
+query("language_id_accuracy")(lambda s, d: groups.language_identification(observations(s, d), "l_returnflag", "label_pred"))
+ORACLE["language_id_accuracy"] = f"{_OBS}, {_CELLS} select round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1 from s"
+query("language_parity", "with m as (select cast(l_linenumber as varchar) as g, avg(l_quantity) as m from lineitem group by 1) select round(min(m) / max(m), 6) as parity, round(max(m) - min(m), 6) as max_gap, round(stddev_samp(m), 6) as sd, arg_min(g, m) as worst from m")(lambda s, d: groups.parity(observations(s, d), "l_linenumber", "l_quantity"))
+query("prompt_sensitivity", "with t as (select avg(correct * 1e0) as m from obs group by l_linenumber), e as (select cast(max(correct) <> min(correct) as int) as d from obs group by l_orderkey) select round(max(m) - min(m), 6) as spread, round(stddev_samp(m), 6) as sd, round(min(m), 6) as worst, round(max(m), 6) as best, round(avg(m), 6) as mean, (select round(avg(d * 1e0), 6) from e) as example_disagreement_rate from t".replace("with t as", ", t as"))(lambda s, d: groups.prompt_sensitivity(observations(s, d), "l_linenumber", "l_orderkey", "correct"))
+query("truncation_sensitivity", ", a as (select l_linenumber * 100e0 as n, avg(correct * 1e0) as y from obs group by 1) select round(regr_slope(y, log2(n)), 6) as slope, round(arg_min(y, n) - arg_max(y, n), 6) as drop_shortest_to_longest from a")(lambda s, d: groups.truncation_sensitivity(observations(s, d).withColumn("n", F.col("l_linenumber") * 100), "correct", "n"))
+query("retrieval_accuracy_by_length", ", a as (select l_linenumber * 1e0 as n, sum(correct * 1e0) as c, count(*) as m from obs group by 1), f as (select min(n) as f from a where c / m < 7e-1) select round(sum(c) / sum(m), 6) as accuracy, max(n) filter (where f is null or n < f) as effective_length, count(*) filter (where c / m >= 7e-1) as passing_lengths from a, f")(lambda s, d: groups.accuracy_by_length(observations(s, d), "correct", "l_linenumber", threshold=0.7))
+query("position_accuracy", ", b as (select " + " + ".join(f"cast({k / 5!r}e0 <= position as int)" for k in range(1, 5)) + " as b, avg(correct * 1e0) as m, sum(correct) as c, count(*) as n from obs group by 1) select round(max(m) - min(m), 6) as spread, round(sum(c) * 1e0 / sum(n), 6) as accuracy from b")(lambda s, d: groups.position_accuracy(observations(s, d), "correct", "position"))
+query("failure_attribution", "with f as (select case l_partkey % 4 when 0 then 'retrieval' when 1 then 'generation' end as stage from lineitem where l_partkey % 4 < 2), n as (select unnest(['retrieval', 'ranking', 'generation']) as stage) select stage, round(count(f.stage) * 1e0 / (select count(*) from f), 6) as share, count(f.stage) as n from n left join f using (stage) group by 1")(lambda s, d: groups.failure_attribution(observations(s, d).selectExpr("case l_partkey % 4 when 0 then ' Retrieval' when 1 then 'generation' when 2 then 'none' end as stage"), "stage", ["retrieval", "ranking", "generation"]))
+query("knowledge_consistency", "with j as (select l_orderkey as o, count(*) as n, count(p_partkey) as h from lineitem left join (select p_partkey from part where p_partkey % 3 = 0) on l_partkey = p_partkey group by 1) select round(sum(h) * 1e0 / sum(n), 6) as micro, round(avg(h * 1e0 / n), 6) as macro from j")(lambda s, d: groups.knowledge_consistency(observations(s, d), "l_orderkey", "l_partkey", s.read.parquet(f"{d}/part.parquet").filter("p_partkey % 3 = 0"), "p_partkey"))
+query("context_recall", "with q as (select avg(cast(l_partkey % 3 = 0 as int) * 1e0) as m, sum(cast(l_partkey % 3 = 0 as int)) as h, count(*) as n from lineitem group by l_orderkey) select round(avg(m), 6) as context_recall, round(sum(h) * 1e0 / sum(n), 6) as pooled from q")(lambda s, d: groups.context_recall(observations(s, d).withColumn("ok", F.col("l_partkey") % 3 == 0), "l_orderkey", "ok"))
+_TWINS = "select a.vec_id, a.label, a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
+_COS = "list_cosine_similarity(cast(x as double[]), cast(y as double[]))"
+query("embedding_similarity", f"select round(avg({_COS}), 6) as embedding_similarity from ({_TWINS})")(lambda s, d: groups.embedding_similarity(_plain(s, _TWINS, embeddings=s.read.parquet(f"{d}/embeddings.parquet")), "x", "y"))
+query("answer_relevance", f"select round(avg(c), 6) as answer_relevance from (select avg({_COS}) as c from ({_TWINS}) group by vec_id // 4)")(lambda s, d: groups.answer_relevance(_plain(s, _TWINS, embeddings=s.read.parquet(f"{d}/embeddings.parquet")).withColumn("a", F.expr("vec_id div 4")), "a", "x", "y"))
+query("state_tracking_accuracy", ", t as (select count(*) as n, count(*) filter (where l_returnflag = label_pred) as ok from obs group by l_orderkey) select round(avg(cast(n = ok as int) * 1e0), 6) as joint_goal_accuracy, round(sum(ok) * 1e0 / sum(n), 6) as slot_accuracy from t")(lambda s, d: groups.state_tracking(observations(s, d), "l_orderkey", "l_linenumber", "l_returnflag", "label_pred"))
+query("resource_utilization", f"select tool as series, round(max(value), 6) as peak, round(avg(value), 6) as mean, round(quantile_cont(value, 0.95), 6) as p95 from ({_CALLS}) group by 1")(lambda s, d: groups.resource_utilization(_calls(s, d), "tool", "value"))
+query("judge_agreement", "select round(corr(l_quantity, l_linenumber), 6) as pearson, round(avg(cast(l_quantity = l_linenumber as int) * 1e0), 6) as raw_agreement, count(*) as n from lineitem")(lambda s, d: groups.judge_agreement(observations(s, d), "l_quantity", "l_linenumber"))
+query("tool_selection_accuracy", f"with e as (select task, tool, count(*) as e, count(*) filter (where o % 5 <> 0) as p from ({_CALLS}) group by 1, 2), t as (select min(cast(e = p as int)) as ok from e group by task) select round(avg(ok * 1e0), 6) as tool_selection_accuracy from t")(lambda s, d: groups.tool_selection(_calls(s, d), _calls(s, d).filter("o % 5 <> 0"), "task", "tool"))
+query("tool_argument_accuracy", f"with e as (select task, tool, args, count(*) as e, count(*) filter (where o % 5 <> 0) as p from ({_CALLS}) group by 1, 2, 3) select round(sum(least(e, p)) * 1e0 / sum(e), 6) as tool_argument_accuracy from e")(lambda s, d: groups.tool_arguments(_calls(s, d), _calls(s, d).filter("o % 5 <> 0"), "task", "tool", "args"))
+query("plan_adherence")(lambda s, d: agents.plan_adherence(_calls(s, d).groupBy("task").agg(*(F.expr(f"transform(sort_array(collect_list(case when {c} then struct(o, tool) end)), x -> x.tool)").alias(k) for k, c in (("plan", "true"), ("done", "o % 5 <> 0")))), "plan", "done"))
+query("benchmark_accuracy", "select round(avg(cast(l_partkey % 10 > 0 and l_suppkey % 5 = l_linenumber % 5 as int) * 1e0), 6) as accuracy, count(*) filter (where l_partkey % 10 = 0) as no_answer from lineitem")(lambda s, d: text.benchmark_accuracy(observations(s, d).selectExpr("cast(l_linenumber % 5 as string) as gold", "case when l_partkey % 10 = 0 then 'no idea' when l_partkey % 10 < 5 then concat('first $', l_partkey, ' then ', l_suppkey % 5, '.0 in all') else concat(l_partkey, ' so #### ', l_suppkey % 5, ' of 7') end as output"), "gold", "output"))
+query("rouge_lsum")(lambda s, d: text.scored(_pairs(s, d), text.rouge_lsum, ["precision", "recall", "f1"]).select("doc_id", "precision", "recall", "f1"))
+query("accuracy_ci", ", c as (select cast(sum(cast(t = p as int)) as double) as k, cast(count(*) as double) as n from obs), z as (select k, n, k / n as q, 1.959963984540054e0 as z from c) select round(q, 6) as accuracy, round((q + z * z / (2 * n) - z * sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as low, round((q + z * z / (2 * n) + z * sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as high, cast(n as bigint) as n from z")(lambda s, d: exact_tests.accuracy_interval(observations(s, d), "t", "p"))
+query("paired_bootstrap")(lambda s, d: _one(s, exact_tests.paired_bootstrap(observations(s, d), "t", "p", "succeeded")))
+_SHARES = {"sensitivity": ("tp", "tp + fn"), "specificity": ("tn", "tn + fp"), "ppv": ("tp", "tp + fp"), "npv": ("tn", "tn + fn"), "accuracy": ("tp + tn", "tp + fp + fn + tn"), "prevalence": ("tp + fn", "tp + fp + fn + tn")}
+_WILSON = "select metric, round(k / n, 6) as value, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as low, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as high from sh"
+query("diagnostic_report")(lambda s, d: classification.diagnostic_report(observations(s, d), "t", "p"))
+ORACLE["diagnostic_report"] = f"{_OBS}, c as (select cast(sum(t * p) as double) as tp, cast(sum((1 - t) * p) as double) as fp, cast(sum(t * (1 - p)) as double) as fn, cast(sum((1 - t) * (1 - p)) as double) as tn from obs), sh as ({' union all '.join(f'select {chr(39)}{m}{chr(39)} as metric, {k} as k, {n} as n, 1.959963984540054e0 as z from c' for m, (k, n) in _SHARES.items())}) {_WILSON} union all select 'lr_positive', round(tp * (fp + tn) / (fp * (tp + fn)), 6), null, null from c union all select 'lr_negative', round(fn * (fp + tn) / (tn * (tp + fn)), 6), null, null from c union all select 'diagnostic_odds_ratio', round(tp * tn / (fp * fn), 6), null, null from c union all select 'youden_j', round(tp / (tp + fn) + tn / (tn + fp) - 1, 6), null, null from c"
+query("calibration_report")(lambda s, d: classification.calibration_report(_keyed(s, d), "t", "prob", "row_id"))
+ORACLE["calibration_report"] = f"{_OBS}, {_BINS}, hl as (select sum(power(o - e, 2) / (e * (1 - e / m))) as x, count(*) - 2 as df from (select g, sum(t) as o, sum(prob) as e, count(*) as m from (select t, prob, ntile(10) over (order by prob, {_BY_KEY}) as g from obs) group by g)) select round(sum(w * abs(observed - predicted)) / sum(w), 6) as expected_calibration_error, round(max(abs(observed - predicted)), 6) as maximum_calibration_error, (select round(avg((prob - t) * (prob - t)), 6) from obs) as brier_score, (select round(avg(prob), 6) from obs) as mean_score, (select round(avg(t * 1e0), 6) from obs) as prevalence, (select round(x, 6) from hl) as hosmer_lemeshow, (select df from hl) as df from bi"
+query("mean_average_precision")(lambda s, d: vision.mean_average_precision(*_boxes(s, d)))
