@@ -2,7 +2,8 @@
 
 For every prefix of a piece exactly one token can be the last of its encoding. A token that ends a prefix is that one if
 the last token of what stands before it may stand to its left, that is, if encoding the two tokens' bytes gives back these
-two. An automaton over the vocabulary finds all tokens that end at each byte; the test of a pair undoes the later merge
+two. The suffix automaton of the vocabulary, built once on the driver, gives for each byte the longest string that ends
+there and is part of a token; the tokens that end there are on its suffix links, the longest first. The test of a pair undoes the later merge
 of the two sides step by step and looks for a merge across the border that would have come first. Back-pointers from the
 whole piece then give the ids. Pieces are those of the usual byte-level pattern, cut by array operations on code points.
 """
@@ -10,14 +11,14 @@ whole piece then give the ids. Pieces are those of the usual byte-level pattern,
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.tokens import read_vocabulary
+from lodestone.llm.tokens import KEPT_BYTES, read_vocabulary
 from lodestone.llm.words import as_list, gather, pieces, slices, tidied
 
 _LETTER, _DIGIT, _MARK, _BLANK, _STOP = 1, 2, 3, 4, 5
@@ -30,10 +31,104 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
 
 
+class TokenSuffixes:
+    """The suffix automaton of all tokens, as arrays: transitions sorted by state and byte, suffix links, longest lengths; for
+    each state ``near``, the first state with tokens on its links, itself included. ``tokens``: the (length, id) of a state's
+    tokens, longest first, ``up``: the next state with tokens above it. A few ten MB for 50,000 tokens."""
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        step: list[dict[int, int]] = [{}]
+        link, length, place = [-1], [0], {}
+        for i, token in sorted(tokens.items()):
+            last = 0
+            for c in token:
+                q = step[last].get(c)
+                if q is not None and length[last] + 1 == length[q]:
+                    last = q
+                    continue
+                new = len(step)
+                if q is not None:  # the string is there, within a longer one's state
+                    step.append(dict(step[q]))
+                    link.append(link[q])
+                    length.append(length[last] + 1)
+                    p = last
+                    while p >= 0 and step[p].get(c) == q:
+                        step[p][c] = new
+                        p = link[p]
+                    link[q] = last = new
+                    continue
+                step.append({})
+                link.append(0)
+                length.append(length[last] + 1)
+                p = last
+                while p >= 0 and c not in step[p]:
+                    step[p][c] = new
+                    p = link[p]
+                if p >= 0:
+                    q = step[p][c]
+                    if length[p] + 1 == length[q]:
+                        link[new] = q
+                    else:
+                        copy = len(step)
+                        step.append(dict(step[q]))
+                        link.append(link[q])
+                        length.append(length[p] + 1)
+                        while p >= 0 and step[p].get(c) == q:
+                            step[p][c] = copy
+                            p = link[p]
+                        link[q] = link[new] = copy
+                last = new
+        for i, token in tokens.items():  # states are final now
+            state = 0
+            for c in token:
+                state = step[state][c]
+            place.setdefault(state, []).append((len(token), i))
+        self.tokens = {k: sorted(v, reverse=True) for k, v in place.items()}
+        near = [0] * len(step)
+        for k in sorted(range(1, len(step)), key=length.__getitem__):
+            near[k] = k if k in self.tokens else near[link[k]]
+        self.up = {k: near[link[k]] for k in self.tokens}
+        key = np.repeat(np.arange(len(step), dtype=np.int64) * 256, [len(x) for x in step]) + np.array([c for x in step for c in x])
+        order = np.argsort(key)
+        self.key, self.next = key[order], np.array([t for x in step for t in x.values()], dtype=np.int32)[order]
+        self.link, self.length, self.near = (np.array(x, dtype=np.int32) for x in (link, length, near))
+
+    def ends(self, pieces: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+        """(states, lengths, offsets): after each byte of each piece the first state with tokens on the links of the longest
+        match, and that match's length. Pieces are read side by side, a byte of each at a time."""
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        offsets = np.zeros(len(pieces) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=offsets[1:])
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        order = np.argsort(-sizes, kind="stable")
+        begin, falling = offsets[:-1][order], -sizes[order]
+        out, match = np.zeros(len(data), dtype=np.int32), np.zeros(len(data), dtype=np.int32)
+        state, held = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int32)
+        for t in range(int(sizes.max(initial=0))):
+            k = int(np.searchsorted(falling, -t))  # pieces longer than t
+            c, s, n = data[begin[:k] + t], state[:k], held[:k]
+            at = np.minimum(np.searchsorted(self.key, s * 256 + c), len(self.key) - 1)
+            bad = np.flatnonzero(self.key[at] != s * 256 + c)
+            while len(bad):
+                stuck = bad[s[bad] == 0]  # a byte that no token has
+                n[stuck] = -1
+                bad = bad[s[bad] != 0]
+                s[bad] = self.link[s[bad]]
+                n[bad] = self.length[s[bad]]
+                want = s[bad] * 256 + c[bad]
+                at[bad] = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+                bad = bad[self.key[at[bad]] != want]
+            n += 1
+            s[:] = np.where(n > 0, self.next[at], 0)
+            out[begin[:k] + t], match[begin[:k] + t] = self.near[s], n
+        return out.tolist(), match.tolist(), offsets.tolist()
+
+
 class ByteBPE:
-    """Encoder and decoder of a byte-level BPE file of the ``tokenizers`` library. ``cache``: pieces whose ids are kept."""
+    """Encoder and decoder of a byte-level BPE file of the ``tokenizers`` library. ``cache``: pieces whose ids are kept;
+    ``suffixes``: the automaton, if it is built already."""
 
-    def __init__(self, vocabulary: str, cache: int = 3 << 17) -> None:
+    def __init__(self, vocabulary: str, cache: int = 3 << 17, suffixes: TokenSuffixes | None = None) -> None:
         from tokenizers import Tokenizer
 
         file = json.loads(vocabulary)
@@ -51,12 +146,10 @@ class ByteBPE:
             if self.rank[i] >= 0:
                 raise ValueError("two merges make the same token")
             self.left[i], self.right[i], self.rank[i], self.merge[a, b] = a, b, r, r
-        self.automaton = ahocorasick.Automaton()
-        for i, t in self.bytes_of.items():
-            if len(t) == 1 or self._whole(i):
-                self.automaton.add_word(t.decode("latin-1"), (len(t), i))
-        self.automaton.make_automaton()
+        # Only tokens whose own bytes encode to them can be in an encoding.
+        self.suffixes = suffixes or TokenSuffixes({i: t for i, t in self.bytes_of.items() if len(t) == 1 or self._whole(i)})
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.fits: dict[int, bool] = {}
         self.size = size
         self.cap = cache
@@ -81,36 +174,40 @@ class ByteBPE:
             else:
                 return True
 
-    def _encode(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        last = [-1] * (n + 1)
-        fits, size = self.fits, self.size
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
-                continue
-            begin = end - length
-            if begin == 0:
-                last[end] = token
-                continue
-            before = last[begin]
-            if before < 0:
-                continue
-            key = before * size + token
-            fit = fits.get(key)
-            if fit is None:
-                fits[key] = fit = self._fit(before, token)
-            if fit:
-                last[end] = token
-        ids = []
-        while n:
-            token = last[n]
-            ids.append(token)
-            n -= len(self.bytes_of[token])
-        ids.reverse()
-        if len(fits) > 1 << 20:
-            fits.clear()
-        return ids
+    def _encode(self, some: list[bytes]) -> Iterator[list[int]]:
+        """The ids of each piece: for each prefix the one token that can be its last, then back-pointers from the whole."""
+        states, lengths, offsets = self.suffixes.ends(some)
+        tokens, up, fits, size = self.suffixes.tokens, self.suffixes.up, self.fits, self.size
+        for begin, stop in zip(offsets, offsets[1:], strict=False):
+            last, n = [-1] * (stop - begin + 1), stop - begin
+            for end in range(1, n + 1):
+                state, longest = states[begin + end - 1], lengths[begin + end - 1]
+                while state and last[end] < 0:
+                    for length, token in tokens[state]:
+                        if length > longest:
+                            continue
+                        before = last[end - length]
+                        if length == end:
+                            last[end] = token
+                        elif before >= 0:
+                            key = before * size + token
+                            fit = fits.get(key)
+                            if fit is None:
+                                fits[key] = fit = self._fit(before, token)
+                            if fit:
+                                last[end] = token
+                        if last[end] >= 0:
+                            break
+                    state = up[state]
+            ids = []
+            while n:
+                token = last[n]
+                ids.append(token)
+                n -= len(self.bytes_of[token])
+            ids.reverse()
+            yield ids
+            if len(fits) > 1 << 18:
+                fits.clear()
 
     def _learn_kinds(self, points: np.ndarray) -> None:
         """Letter, number, mark or white space, as the library's own pattern has it."""
@@ -157,12 +254,12 @@ class ByteBPE:
         segments: list[str] = []
         after: list[int] = []  # id after each segment, -1 at a text's end
         for t in texts.to_pylist():
-            t = t or ""
-            while found := min(((t.find(s), s) for s in self.special if s in t), default=None):
-                segments.append(t[: found[0]])
-                after.append(self.special[found[1]])
-                t = t[found[0] + len(found[1]) :]
-            segments.append(t)
+            cut = 0
+            for found in self.split.finditer(t or "") if self.split else ():
+                segments.append(t[cut : found.start()])
+                after.append(self.special[found[0]])
+                cut = found.end()
+            segments.append((t or "")[cut:])
             after.append(-1)
         if not segments:
             return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
@@ -171,12 +268,12 @@ class ByteBPE:
         ids = list(map(self.known.get, distinct))
         missing = [p for p, x in zip(distinct, ids, strict=True) if x is None]
         if missing:
-            found_ids = {p: np.array(self._encode(p), dtype="<u4").tobytes() for p in missing}
+            found_ids = {p: np.array(x, dtype="<u4").tobytes() for p, x in zip(missing, self._encode(missing), strict=True)}
             ids = [found_ids[p] if x is None else x for p, x in zip(distinct, ids, strict=True)]
             if len(self.known) + len(found_ids) > self.cap:
                 self.known = {b"": b""}
             if len(found_ids) < self.cap:
-                self.known.update(found_ids)
+                self.known.update((p, x) for p, x in found_ids.items() if len(p) <= KEPT_BYTES)
         kinds = sorted(set(after) - {-1})
         flat = np.concatenate([np.frombuffer(b"".join(ids), dtype="<u4"), np.array(kinds, dtype="<u4")])
         sizes = np.concatenate([np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4, np.ones(len(kinds), dtype=np.int64)])
@@ -203,10 +300,11 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     text; a null ``doc_id`` stays null; repeated rows are encoded each; an empty table gives no rows. A pass over the rows
     without a shuffle; memory is a slice of text and bounded caches, and one text longer than a slice.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    vocabulary = read_vocabulary(vocabulary_path)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, ByteBPE(vocabulary).suffixes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(vocabulary.value)
+        bpe = ByteBPE(sent.value[0], suffixes=sent.value[1])
         for batch in batches:
             for some in slices(batch, limit=4 << 20):
                 ids, at = bpe.encode(some.column(1))

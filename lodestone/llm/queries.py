@@ -23,6 +23,7 @@ from lodestone.llm.shared import new_path
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.token_store import read_store, write_store
 from lodestone.llm.words import tidied
+from lodestone.plans.patterns import spread
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, lang) for passes without a shuffle, on all cores even if the file has few row groups."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -66,18 +72,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    packed = pack_documents(documents(spark, sf_dir), WORD_VOCABULARY)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
-    write_store(table(spark, sf_dir, "documents"), WORD_VOCABULARY, path)
+    write_store(documents(spark, sf_dir), WORD_VOCABULARY, path)
     return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_and_decode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+    coded = encode_and_decode(documents(spark, sf_dir), BYTE_VOCABULARY)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
@@ -87,15 +93,15 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
+    return apply_rules(documents(spark, sf_dir)).drop("rejected_by")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(documents(spark, sf_dir))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
     return identify(docs, training_text(docs)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = GRAM, span
     ``spans`` (removed runs, by bytes): each byte goes that a string of ``length`` bytes covers which also starts anywhere
     else, in the same text or another.
 
-    Takes ``text``; all other columns are passed on, so they must not have these names. A null or empty text has no bytes;
+    Takes ``text``; all other columns are passed on, and those that have one of these names are replaced by it. A null or empty text has no bytes;
     texts shorter than ``length`` keep all; equal texts of that length lose all; an empty table gives no rows.
     """
     classes, found = repeated_ranges(docs, length=length, gram=gram, span=span)
@@ -240,4 +240,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = GRAM, span
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))).otherwise(F.col("spans")).alias("spans"),
     )
-    return docs.withColumn("__digest", digest).join(told.withColumnRenamed("digest", "__digest"), "__digest").drop("__digest")
+    own = docs.drop(*(c for c in docs.columns if c in told.columns))
+    return own.withColumn("__digest", digest).join(told.withColumnRenamed("digest", "__digest"), "__digest").drop("__digest")
