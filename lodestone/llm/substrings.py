@@ -240,5 +240,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = GRAM, span
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))).otherwise(F.col("spans")).alias("spans"),
     )
-    own = docs.drop(*(c for c in docs.columns if c in told.columns))
+    own = docs.drop(*(c for c in docs.columns if c != "digest" and c in told.columns))
     return own.withColumn("__digest", digest).join(told.withColumnRenamed("digest", "__digest"), "__digest").drop("__digest")

@@ -425,9 +425,21 @@ def test_few_vectors_are_all_returned(spark):
 
 
 def test_licences_by_brute_force(spark, docs, empty):
-    texts = corpus()
+    texts, rng = corpus(), random.Random(11)
     planted = {2: "mit", 7: "apache-2.0", 9: "gpl-3.0-header", 11: "cc-by-nc-4.0", 20: "mit-text"}
     rows = [(i, f"{t}\n{TEMPLATES[planted[i]].upper() if i == 7 else TEMPLATES[planted[i]]} {t}" if i in planted else t) for i, t in enumerate(texts)]
-    found = {(r["doc_id"], r["template"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == set(planted.items())
+    rows += [(400 + i, f"{rng.choice(texts)} {TEMPLATES[n]}") for i, n in enumerate(sorted(TEMPLATES))] + [(None, TEMPLATES["mit"]), (11, rows[11][1]), (500, "word " * 50_000 + TEMPLATES["isc-text"] + " word" * 50_000)]
+    words = lambda t: [w for w in ("".join(c for c in x.lower() if c.isascii() and c.isalnum() or not c.isascii()) for x in WORD.findall(t or "")) if w]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    sets = {n: shingles(words(t)) for n, t in TEMPLATES.items()}
+    want = collections.Counter()
+    for i, t in rows:
+        own = shingles(words(t))
+        want.update((i, n, round(len(own & s) / len(s), 9)) for n, s in sets.items() if len(own & s) >= 0.8 * len(s))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["template"], round(r["containment"], 9)) for r in found) == want
+    for i, n in planted.items():
+        before = len(WORD.findall(texts[i]))
+        assert next((r["first_word"], r["n_words"]) for r in found if (r["doc_id"], r["template"]) == (i, n)) == (before, len(TEMPLATES[n].split()))
+    assert len(sets) == len(TEMPLATES) and all(sets.values())
     assert scan_licenses(empty).count() == 0
