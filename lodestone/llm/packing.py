@@ -170,7 +170,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, *, window: int = 2048,
         encoder = WordEncoder(vocabulary.value)
         stream = _Stream(window, cut_cost, hard_cost, min(longest_sentence, window), shortest_unpadded, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=6 << 20):
                 ids, at = encoder.encode(some.column(1), end=end_id)
                 stops = np.flatnonzero(encoder.stops[ids]) + 1
                 first = np.searchsorted(stops, at, side="right")

@@ -110,7 +110,7 @@ def write_store(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int
         width = int(kind[-1])
         sent: set[bytes] = set()
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=6 << 20):
                 ids, at = encoder.encode(some.column(1), end=end_id)
                 allowed = roller.cuts(ids)
                 first = np.searchsorted(allowed, at)

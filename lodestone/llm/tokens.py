@@ -93,7 +93,7 @@ def parts(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
 class WordEncoder:
     """Encodes texts; ``cache``: parts whose ids are kept, a full cache is emptied."""
 
-    def __init__(self, vocabulary: str, cache: int = 1 << 18) -> None:
+    def __init__(self, vocabulary: str, cache: int = 1 << 19) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_str(vocabulary)
