@@ -308,9 +308,8 @@ ORACLE["win_matrix"] = f"{_OBS}, g as ({_GAMES}) select a, b, round(sum(w), 6) a
 query("bradley_terry")(lambda s, d: s.createDataFrame([(int(k), float(v)) for k, v in judges.bradley_terry(_games(s, d), "a", "b", "outcome").items()], "system long, strength double"))
 query("elo_ratings")(lambda s, d: judges.elo(_games(s, d).withColumn("o", F.to_json("o")), "o", "a", "b", "outcome"))
 
-_OPENINGS_SPARK = "select doc_id, array_join(slice(w, 1, 30), ' ') as reference, array_join(filter(slice(w, 1, 30), (x, i) -> (i + 1) % 5 <> 0), ' ') as prediction from (select doc_id, filter(split(text, '\\\\s+'), x -> x <> '') as w from documents)"
 _PAIRS_SPARK = "select doc_id, array_join(w, ' ') as reference, array_join(filter(w, (x, i) -> (i + 1) % 5 <> 0), ' ') as prediction from (select doc_id, filter(split(text, '\\\\s+'), x -> x <> '') as w from documents)"
-_PAIRS_DUCK = "pr as (select doc_id, list_slice(w, 1, 30) as r, list_filter(list_slice(w, 1, 30), lambda x, i: i % 5 <> 0) as p from (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from documents))"
+_PAIRS_DUCK = "pr as (select doc_id, w as r, list_filter(w, lambda x, i: i % 5 <> 0) as p from (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from documents))"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -318,22 +317,14 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(_PAIRS_SPARK)
 
 
-def _openings(spark: SparkSession, d: str) -> DataFrame:
-    """The first 30 words of each text, as the SQL of ``token_f1`` and ``rouge_1`` has them; the ``_whole`` queries take all."""
-    view(spark, d, "documents")
-    return spark.sql(_OPENINGS_SPARK)
-
-
 def _overlap_oracle(words: str, columns: str) -> str:
     return f"with {_PAIRS_DUCK}, w as (select doc_id, {words.format(x='r')} as r, {words.format(x='p')} as p from pr), x as (select doc_id, unnest(r) as g, 1 as r, 0 as p from w union all select doc_id, unnest(p), 0, 1 from w), c as (select doc_id, g, sum(r) as r, sum(p) as p from x group by 1, 2), o as (select doc_id, cast(sum(least(r, p)) as double) as hits, cast(sum(r) as double) as nr, cast(sum(p) as double) as np from c group by 1) select doc_id, {columns} from o union all select doc_id, 1e0, 1e0, 1e0 from w where len(r) = 0 and len(p) = 0"
 
 
 _PRF = 'round(case when np = 0 then 0 else hits / np end, 6) as "precision", round(case when nr = 0 then 0 else hits / nr end, 6) as recall, round(2 * hits / (nr + np), 6) as f1'
-query("token_f1", _overlap_oracle("{x}", _PRF))(lambda s, d: text.overlap_scores(_openings(s, d), "doc_id", text.tokens(F.col("reference")), text.tokens(F.col("prediction"))))
-query("token_f1_whole")(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.tokens(F.col("reference")), text.tokens(F.col("prediction"))))
+query("token_f1", _overlap_oracle("{x}", _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.tokens(F.col("reference")), text.tokens(F.col("prediction"))))
 _ROUGE = "list_filter(string_split_regex(lower(array_to_string({x}, ' ')), '[^a-z0-9]+'), lambda y: y <> '')"
-query("rouge_1", _overlap_oracle(_ROUGE, _PRF))(lambda s, d: text.overlap_scores(_openings(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction"))))
-query("rouge_1_whole")(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction"))))
+query("rouge_1", _overlap_oracle(_ROUGE, _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction"))))
 query("rouge_2", _overlap_oracle(f"(select list(z.a || chr(1) || z.b) from (select unnest(q) as a, unnest(q[2:]) as b from (select {_ROUGE} as q)) z where z.b is not null)", _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction")), 2))
 ORACLE.pop("rouge_2")
 query("distinct_1", "select round(count(*) * 1e0 / sum(c), 6) as distinct_1 from (select g, count(*) as c from (select unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as g from documents) group by 1)")(lambda s, d: text.distinct_n(s.read.parquet(f"{d}/documents.parquet"), "text", 1))
@@ -380,17 +371,17 @@ query("pii_leakage")(lambda s, d: safety.pii_leakage(s.read.parquet(f"{d}/docume
 query("syntax_validity")(lambda s, d: s.read.parquet(f"{d}/events.parquet").agg(F.avg(agents.valid_python(F.col("props")).cast("double")).alias("syntax_validity")))
 
 
-def _pixels(spark: SparkSession, images: DataFrame | None = None) -> DataFrame:
-    """Masks of the 20 images that the SQL has, or of ``images`` (id)."""
-    px = (spark.range(20) if images is None else images).selectExpr("id as image", "explode(sequence(0, 31)) as y").selectExpr("image", "y", "explode(sequence(0, 31)) as x")
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of 32 x 32 pixels, an image for each supplier."""
+    px = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("cast(s_suppkey as long) as image", "explode(sequence(0, 31)) as y").selectExpr("image", "y", "explode(sequence(0, 31)) as x")
     disc = lambda shift: f"case when (x - {shift} - 8 - image % 16) * (x - {shift} - 8 - image % 16) + (y - 8 - image * 5 % 16) * (y - 8 - image * 5 % 16) <= 36 then 1 + image % 3 else 0 end"
     return px.selectExpr("image", "y", "x", f"cast({disc('0')} as int) as t", f"cast({disc('image % 3')} as int) as p")
 
 
-_PX = "px as (select i as image, y, x, case when (x - 8 - i % 16) * (x - 8 - i % 16) + (y - 8 - i * 5 % 16) * (y - 8 - i * 5 % 16) <= 36 then 1 + i % 3 else 0 end as t, case when (x - i % 3 - 8 - i % 16) * (x - i % 3 - 8 - i % 16) + (y - 8 - i * 5 % 16) * (y - 8 - i * 5 % 16) <= 36 then 1 + i % 3 else 0 end as p from range(20) a(i), range(32) b(y), range(32) c(x)), k as (select l.l as label, cast(count(*) filter (where t = l.l and p = l.l) as double) as tp, cast(count(*) filter (where t <> l.l and p = l.l) as double) as fp, cast(count(*) filter (where t = l.l and p <> l.l) as double) as fn from px, (values (0), (1), (2), (3)) l(l) group by 1)"
-query("segmentation_scores", f"with {_PX} select cast(label as int) as label, round(tp / (tp + fp + fn), 6) as iou, round(2 * tp / (2 * tp + fp + fn), 6) as dice, round(tp / (tp + fn), 6) as recall, round(tp + fn, 6) as support from k")(lambda s, d: vision.segmentation_scores(_pixels(s)))
-query("segmentation_summary", f"with {_PX} select round(avg(tp / (tp + fp + fn)), 6) as miou, round(avg(2 * tp / (2 * tp + fp + fn)), 6) as dice, round(avg(tp / (tp + fn)), 6) as mean_pixel_accuracy, round((select avg(cast(t = p as int) * 1e0) from px), 6) as pixel_accuracy from k")(lambda s, d: vision.segmentation_summary(_pixels(s)))
-query("surface_distances")(lambda s, d: vision.surface_distances(_pixels(s, s.read.parquet(f"{d}/supplier.parquet").selectExpr("cast(s_suppkey as long) as id")), "image"))
+_PX = "px as (select i as image, y, x, case when (x - 8 - i % 16) * (x - 8 - i % 16) + (y - 8 - i * 5 % 16) * (y - 8 - i * 5 % 16) <= 36 then 1 + i % 3 else 0 end as t, case when (x - i % 3 - 8 - i % 16) * (x - i % 3 - 8 - i % 16) + (y - 8 - i * 5 % 16) * (y - 8 - i * 5 % 16) <= 36 then 1 + i % 3 else 0 end as p from (select s_suppkey as i from supplier), range(32) b(y), range(32) c(x)), k as (select l.l as label, cast(count(*) filter (where t = l.l and p = l.l) as double) as tp, cast(count(*) filter (where t <> l.l and p = l.l) as double) as fp, cast(count(*) filter (where t = l.l and p <> l.l) as double) as fn from px, (values (0), (1), (2), (3)) l(l) group by 1)"
+query("segmentation_scores", f"with {_PX} select cast(label as int) as label, round(tp / (tp + fp + fn), 6) as iou, round(2 * tp / (2 * tp + fp + fn), 6) as dice, round(tp / (tp + fn), 6) as recall, round(tp + fn, 6) as support from k")(lambda s, d: vision.segmentation_scores(_pixels(s, d)))
+query("segmentation_summary", f"with {_PX} select round(avg(tp / (tp + fp + fn)), 6) as miou, round(avg(2 * tp / (2 * tp + fp + fn)), 6) as dice, round(avg(tp / (tp + fn)), 6) as mean_pixel_accuracy, round((select avg(cast(t = p as int) * 1e0) from px), 6) as pixel_accuracy from k")(lambda s, d: vision.segmentation_summary(_pixels(s, d)))
+query("surface_distances")(lambda s, d: vision.surface_distances(_pixels(s, d), "image"))
 
 
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

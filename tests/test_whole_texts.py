@@ -80,7 +80,7 @@ def test_pairs_hold_every_word_and_scores_see_them(spark, tmp_path):
     pairs = {r["doc_id"]: (r["reference"].split(), r["prediction"].split()) for r in queries._pairs(spark, str(tmp_path)).collect()}
     assert pairs[1] == (words, kept) and pairs[2] == (["a", "b"], ["a", "b"])
     assert queries.QUERIES["ter"](spark, str(tmp_path)).first()["ter"] == pytest.approx(100 * 600 / 3002)
-    for name in ("token_f1_whole", "rouge_1_whole", "rouge_l"):
+    for name in ("token_f1", "rouge_1", "rouge_l"):
         got = {r["doc_id"]: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got[1]["recall"] == pytest.approx(2400 / 3000) and got[1]["precision"] == 1.0
     assert len(queries.QUERIES["meteor"](spark, str(tmp_path)).collect()) == 3
