@@ -325,11 +325,11 @@ _PRF = 'round(case when np = 0 then 0 else hits / np end, 6) as "precision", rou
 query("token_f1", _overlap_oracle("{x}", _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.tokens(F.col("reference")), text.tokens(F.col("prediction"))))
 _ROUGE = "list_filter(string_split_regex(lower(array_to_string({x}, ' ')), '[^a-z0-9]+'), lambda y: y <> '')"
 query("rouge_1", _overlap_oracle(_ROUGE, _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction"))))
-query("rouge_2", _overlap_oracle(f"(select list(z.a || chr(1) || z.b) from (select unnest(q) as a, unnest(q[2:]) as b from (select {_ROUGE} as q)) z where z.b is not null)", _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction")), 2))
-ORACLE.pop("rouge_2")
+_BIGRAMS = f"list_transform(list_zip(({_ROUGE})[:-2], ({_ROUGE})[2:]), lambda z: z[1] || chr(1) || z[2])"
+query("rouge_2", _overlap_oracle(_BIGRAMS, _PRF))(lambda s, d: text.overlap_scores(_pairs(s, d), "doc_id", text.rouge_words(F.col("reference")), text.rouge_words(F.col("prediction")), 2))
 query("distinct_1", "select round(count(*) * 1e0 / sum(c), 6) as distinct_1 from (select g, count(*) as c from (select unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as g from documents) group by 1)")(lambda s, d: text.distinct_n(s.read.parquet(f"{d}/documents.parquet"), "text", 1))
-query("exact_match", f"with {_PAIRS_DUCK} select round(avg(cast(len(r) = len(p) as int) * 1e0), 6) as exact_match from pr")(lambda s, d: text.exact_match(_pairs(s, d), "reference", "prediction"))
-ORACLE.pop("exact_match")
+_NORMAL = "trim(regexp_replace(regexp_replace(translate(lower(array_to_string({x}, ' ')), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+query("exact_match", f"with {_PAIRS_DUCK} select round(avg(cast({_NORMAL.format(x='r')} = {_NORMAL.format(x='p')} as int) * 1e0), 6) as exact_match from pr")(lambda s, d: text.exact_match(_pairs(s, d), "reference", "prediction"))
 query("bleu")(lambda s, d: text.bleu(_pairs(s, d)))
 query("sentence_bleu")(lambda s, d: text.scored(_pairs(s, d), lambda r, p: [text.bleu_from(text.bleu_statistics(r, p), effective=True)], ["sentence_bleu"]).select("doc_id", "sentence_bleu"))
 query("chrf")(lambda s, d: text.scored(_pairs(s, d), lambda r, p: [text.chrf_from(text.chrf_statistics(r, p))], ["chrf"]).select("doc_id", "chrf"))
