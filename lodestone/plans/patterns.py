@@ -108,3 +108,43 @@ def reached(score: Column, edges: Sequence[float]) -> Column:
 def binned(df: DataFrame, score: str, bins: int) -> DataFrame:
     """``df`` with ``bin``: the number of inner edges k / bins that the score reaches (edges are the literal quotients)."""
     return df.withColumn("bin", reached(F.col(score), [k / bins for k in range(1, bins)]))
+
+
+def dealt(df: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
+    """``df`` in ranges of ``order``, with the number of each row's range as ``__range``. Bounds are sampled anew by each
+    evaluation, so the rows are written once. ``order`` should tell rows apart, or equal ones share a range."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    return written(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def running_by(ranges: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``dealt`` with, for each sum, ``cum_<name>``: its total over the rows of the same group (``by``, without nulls) up
+    to this one in ``order``, and ``all_<name>``: over the whole group.
+
+    A window sees a group's rows of one range only; the totals of ranges, a row for each pair of range and group, give what
+    lies before. So a group that holds most rows is as many tasks as it has ranges.
+    """
+    keys = ["__range", *by]
+    totals = ranges.groupBy(*keys).agg(*(F.sum(c).alias(f"__own_{n}") for n, c in sums.items()))
+    before, whole = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    edges = [x for n in sums for x in (F.coalesce(F.sum(f"__own_{n}").over(before), F.lit(0)).alias(f"__off_{n}"), F.sum(f"__own_{n}").over(whole).alias(f"all_{n}"))]
+    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranges.select("*", *(F.sum(c).over(own).alias(f"__run_{n}") for n, c in sums.items())).join(totals.select(*keys, *edges), keys)
+    return summed.select(*ranges.columns, *(x for n in sums for x in ((F.col(f"__run_{n}") + F.col(f"__off_{n}")).alias(f"cum_{n}"), F.col(f"all_{n}"))))
+
+
+#: Keys that ``split_join`` sends to all tasks, at most.
+HEAVY = 100_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, whose keys are unique and whose ``weight`` is the number of rows of a key, of ``total`` in all.
+
+    Keys of more than a ``HEAVY``-th of the rows are at most ``HEAVY``, as weights add up to the total: these are broadcast, so
+    a hot key meets no shuffle. The others are joined by shuffle, and none is large.
+    """
+    heavy, light = table.filter(F.col(weight) * HEAVY > total), table.filter(~(F.col(weight) * HEAVY > total))
+    met = rows.join(F.broadcast(heavy), list(on))
+    rest = rows.join(F.broadcast(heavy.select(*on)), list(on), "left_anti").join(light, list(on), how)
+    return met.unionByName(rest)
