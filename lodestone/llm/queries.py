@@ -15,6 +15,7 @@ from lodestone.llm.byte_bpe import encode_and_decode
 from lodestone.llm.chat import NO_CONVERSATION, conversation_messages, format_paths, parse, unescaped
 from lodestone.llm.language import identify, training_text
 from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.merkle import folded, manifest, siblings_digest, value_digest
 from lodestone.llm.near_duplicates import near_duplicates
 from lodestone.llm.nearest import nearest
 from lodestone.llm.packing import pack_documents
@@ -106,6 +107,59 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, training_text(docs)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language)}
-
-ORACLE: dict[str, str] = {}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what the proofs say of rows of which some were tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    values = [docs[c] for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    hit = F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8")) % 7 == 0
+    other = value_digest([*values[:3], docs["n_chars"] + 1, values[4]])
+    leaves = docs.select("doc_id", "lang", value_digest(values).alias("leaf"), F.when(hit, other).alias("tampered"))
+    proven = manifest(leaves, order="doc_id", group="lang")
+    checked = proven.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return checked.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language, op11_merkle)}
+
+def _crc32(digits: str) -> str:
+    """SQL: the unsigned CRC-32 of a number's digits; eight shifts for each."""
+    shifts = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = f"list_transform(string_split({digits}, ''), lambda d: ascii(d)::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {codes}), lambda c, b: {shifts}), 4294967295)"
+
+
+ORACLE: dict[str, str] = {
+    "op11_merkle": f"""
+with recursive marked as (
+  select row_number() over () as r, *, {_crc32("doc_id::varchar")} % 7 = 0 as hit from documents),
+said as (
+  select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail from marked),
+leaf as (
+  select r, doc_id, lang, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as h,
+    sha256(head || coalesce(strlen((n_chars + case when hit then 1 else 0 end)::varchar) || ':' || (n_chars + case when hit then 1 else 0 end), '-') || tail) as t from said),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as i, count(*) over (partition by lang) as n from leaf),
+up as (
+  select lang, 0 as level, i, n, h from placed
+  union all
+  select lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from up where n > 1 group by lang, level, i // 2, n),
+subs as (select lang, level, h, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as level, i, n, h from subs
+  union all
+  select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from top where n > 1 group by level, i // 2, n),
+steps as (
+  select p.r, u.level, u.i % 2 as slot, s.h from placed p join up u on u.lang is not distinct from p.lang and u.i = p.i >> u.level and u.n > 1
+    left join up s on s.lang is not distinct from u.lang and s.level = u.level and s.i = xor(u.i, 1)
+  union all
+  select p.r, b.level + u.level, u.i % 2, s.h from placed p join subs b on b.lang is not distinct from p.lang join top u on u.i = b.i >> u.level and u.n > 1
+    left join top s on s.level = u.level and s.i = xor(u.i, 1)),
+walk as (
+  select r, 0 as level, t as h from placed
+  union all
+  select w.r, w.level + 1, sha256(case when s.slot = 1 then s.h || w.h else w.h || coalesce(s.h, '') end) from walk w join steps s on s.r = w.r and s.level = w.level),
+ends as (select r, arg_max(h, level) as h from walk group by r),
+proofs as (select r, sha256(string_agg(coalesce(h, ''), '' order by level)) as proof from steps group by r)
+select p.doc_id, p.h as leaf, b.h as subroot, t.h as root, coalesce(f.proof, sha256('')) as proof_sha256, e.h as folded_root, e.h = t.h as verified
+from placed p join subs b on b.lang is not distinct from p.lang join top t on t.n = 1 join ends e on e.r = p.r left join proofs f on f.r = p.r""",
+}
