@@ -58,9 +58,10 @@ def siblings_digest(proof: Column) -> Column:
     return F.sha2(F.array_join(F.flatten(F.transform(proof, lambda s: s["siblings"])), ""), 256)
 
 
-def combined(nodes: Iterable[tuple[int, int, str]], size: int, arity: int) -> tuple[dict[Node, tuple[int, list[str]]], dict[Node, str]]:
+def combined(nodes: Iterable[tuple[int, int, str]], size: int, arity: int, to_level: int) -> tuple[dict[Node, tuple[int, list[str]]], dict[Node, str]]:
     """(links, frontier) of nodes (level, index, digest), in any order, of a tree of ``size`` leaves: for each node whose parent
-    became complete its slot and siblings; and the nodes that are left, without a complete parent."""
+    became complete its slot and siblings; and the nodes that are left, without a complete parent or on ``to_level``, above which
+    an only child would rise out of its key."""
     widths = [size]
     while widths[-1] > 1:
         widths.append(-(-widths[-1] // arity))
@@ -69,7 +70,7 @@ def combined(nodes: Iterable[tuple[int, int, str]], size: int, arity: int) -> tu
     tops: dict[Node, str] = {}
     for level, index, digest in nodes:
         while True:
-            if widths[level] == 1:
+            if widths[level] == 1 or level == to_level:
                 tops[level, index] = digest
                 break
             parent = index // arity
@@ -107,7 +108,7 @@ def _pass(nodes: DataFrame, arity: int, to_level: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         levels, indexes = table.column("level").to_pylist(), table.column("index").to_pylist()
-        links, tops = combined(zip(levels, indexes, table.column("digest").to_pylist(), strict=True), table.column("size")[0].as_py(), arity)
+        links, tops = combined(zip(levels, indexes, table.column("digest").to_pylist(), strict=True), table.column("size")[0].as_py(), arity, to_level)
         known = {}
         for node in zip(levels, indexes, strict=True):
             known[node] = _climb(links, node, arity)[1]
@@ -134,7 +135,7 @@ def _paths(nodes: DataFrame, above: DataFrame, arity: int, to_level: int, extra:
         levels, indexes = table.column("level").to_pylist(), table.column("index").to_pylist()
         if not levels:
             return pa.Table.from_arrays([*(table.column(c) for c in extra), *(table.column(c) for c in ("tree", "level", "index")), pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], _LINK)], names=[*extra, "tree", "level", "index", "top", "root", "proof"])
-        links, _ = combined(zip(levels, indexes, table.column("digest").to_pylist(), strict=True), table.column("size")[0].as_py(), arity)
+        links, _ = combined(zip(levels, indexes, table.column("digest").to_pylist(), strict=True), table.column("size")[0].as_py(), arity, to_level)
         known = {(u["level"], u["index"]): (u["top"], u["root"], [(s["slot"], s["siblings"]) for s in u["proof"]]) for u in upper.select(["level", "index", "top", "root", "proof"]).to_pylist()}
         top, root, proofs = [], [], []
         for node in zip(levels, indexes, strict=True):
