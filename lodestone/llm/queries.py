@@ -20,6 +20,7 @@ from lodestone.llm.near_duplicates import near_duplicates
 from lodestone.llm.nearest import nearest
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import apply_rules
+from lodestone.llm.repeated_windows import repeated_windows
 from lodestone.llm.shared import new_path
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.token_store import read_store, write_store
@@ -119,7 +120,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language, op11_merkle)}
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language, op11_merkle, op12_repeated_windows)}
 
 def _crc32(digits: str) -> str:
     """SQL: the unsigned CRC-32 of a number's digits; eight shifts for each."""
@@ -162,4 +167,12 @@ ends as (select r, arg_max(h, level) as h from walk group by r),
 proofs as (select r, sha256(string_agg(coalesce(h, ''), '' order by level)) as proof from steps group by r)
 select p.doc_id, p.h as leaf, b.h as subroot, t.h as root, coalesce(f.proof, sha256('')) as proof_sha256, e.h as folded_root, e.h = t.h as verified
 from placed p join subs b on b.lang is not distinct from p.lang join top t on t.n = 1 join ends e on e.r = p.r left join proofs f on f.r = p.r""",
+    "op12_repeated_windows": r"""
+with docs as (select row_number() over (order by doc_id, sha256(coalesce(text, ''))) as o, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+said as (select o, unnest(w) as word, generate_subscripts(w, 1) as i from docs),
+seen as (select o, i, array_to_string(docs.w[i:i + 19], ' ') as win from docs, unnest(range(1, len(w) - 18)) as t(i) where len(w) >= 20),
+later as (select o, i from (select o, i, row_number() over (partition by win order by o, i) as k from seen) where k > 1),
+gone as (select distinct o, i + d as i from later, range(20) as r(d)),
+kept as (select s.o, count(*) as n, string_agg(s.word, ' ' order by s.i) as t from said s anti join gone g on g.o = s.o and g.i = s.i group by s.o)
+select d.doc_id, len(d.w) as n_words, len(d.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from docs d left join kept k on k.o = d.o""",
 }
