@@ -20,8 +20,9 @@ from lodestone.llm.near_duplicates import near_duplicates
 from lodestone.llm.nearest import nearest
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import apply_rules
+from lodestone.llm.prefix_trie import prefix_trie, turn_digests, with_shared_heads
 from lodestone.llm.repeated_windows import repeated_windows
-from lodestone.llm.shared import new_path
+from lodestone.llm.shared import new_path, written
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.token_store import read_store, write_store
 from lodestone.llm.words import tidied
@@ -124,7 +125,16 @@ def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language, op11_merkle, op12_repeated_windows)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with the head of the first of its five."""
+    read = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id")
+    head = F.crc32(F.encode(conv.cast("string"), "UTF-8")) % 9
+    turns = written(turn_digests(read), "turns")
+    return prefix_trie(with_shared_heads(turns, read, head, conv - conv % 5, 8), read).drop("position", "subtree_end")
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_chat, op3_near_duplicates, op4_packing, op5_token_store, op6_byte_bpe, op7_nearest, op8_quality, op9_licenses, op10_language, op11_merkle, op12_repeated_windows, op13_prefix_trie)}
 
 def _crc32(digits: str) -> str:
     """SQL: the unsigned CRC-32 of a number's digits; eight shifts for each."""
@@ -175,4 +185,22 @@ later as (select o, i from (select o, i, row_number() over (partition by win ord
 gone as (select distinct o, i + d as i from later, range(20) as r(d)),
 kept as (select s.o, count(*) as n, string_agg(s.word, ' ' order by s.i) as t from said s anti join gone g on g.o = s.o and g.i = s.i group by s.o)
 select d.doc_id, len(d.w) as n_words, len(d.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from docs d left join kept k on k.o = d.o""",
+    "op13_prefix_trie": f"""
+with own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as p, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) as said
+  from conversations where conv_id is not null),
+ids as (select distinct conv_id as c, conv_id - conv_id % 5 as s, {_crc32("conv_id::varchar")} % 9 as h from own),
+rebuilt as (
+  select c, p, said from ids join own on own.conv_id = s and p < h
+  union all
+  select c, p, said from ids join own on own.conv_id = c and p >= h),
+whole as (select i.c, coalesce(list(said order by p) filter (where said is not null), []) as l from ids i left join rebuilt r on r.c = i.c group by i.c),
+nodes as (
+  select list_slice(l, 1, d) as k, d, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(c::varchar, ',' order by c) filter (where len(l) = d), '') as ends
+  from whole, unnest(range(0, len(l) + 1)) as t(d) group by 1, 2),
+kids as (select list_slice(k, 1, d - 1) as k, count(*) as n from nodes where d > 0 group by 1),
+full_ as (select n.*, coalesce(kids.n, 0) as n_children, (n_convs - 1) * case when d = 0 then 0 else strlen(n.k[d].t) end as saved from nodes n left join kids on kids.k = n.k),
+sub as (select list_slice(k, 1, j) as k, count(*) filter (where n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from full_, unnest(range(0, d + 1)) as t(j) group by 1)
+select f.conv_id, f.d as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) as ends_sha256
+from full_ f join sub s on s.k = f.k left join nodes p on p.d = f.d - 1 and p.k = list_slice(f.k, 1, f.d - 1)""",
 }
