@@ -1,16 +1,17 @@
-"""Segmentation by the pixel cube, detection by greedy matching for each image and class."""
+"""Segmentation by the pixel cube, surfaces by image; detection is in ``detection.py``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.detection import average_precisions, detection_average_precision, matched_detections, mean_average_precision
 from lodestone.plans.patterns import cube, one_vs_rest, ratio
 
+__all__ = ["average_precisions", "box_iou", "detection_average_precision", "matched_detections", "mean_average_precision", "pixels", "segmentation_scores", "segmentation_summary", "surface_distances"]
+
 
 def pixels(df: DataFrame, image: str, truth: str, pred: str) -> DataFrame:
     """(image, y, x, t, p) from masks as arrays of rows."""
@@ -64,66 +65,3 @@ def box_iou(a: str, b: str) -> str:
     inter = f"greatest(least({a}_x2, {b}_x2) - greatest({a}_x1, {b}_x1), 0.0) * greatest(least({a}_y2, {b}_y2) - greatest({a}_y1, {b}_y1), 0.0)"
     area = lambda c: f"({c}_x2 - {c}_x1) * ({c}_y2 - {c}_y1)"
     return f"({inter}) / nullif({area(a)} + {area(b)} - {inter}, 0)"
-
-
-IOUS = tuple(k / 100 for k in range(50, 100, 5))
-
-
-def matched_detections(truth: DataFrame, found: DataFrame, iou: float = 0.5, most: int = 100) -> DataFrame:
-    """(image, label, score, det, hit): each detection, from the best score on, takes the free true box it overlaps most, if by
-    ``iou`` at least (ties: the later box). Inputs: (image, label, box, [score], id); groups are one image and class."""
-    return matched_at(truth, found, (iou,), most).drop("iou")
-
-
-def matched_at(truth: DataFrame, found: DataFrame, ious: Sequence[float] = IOUS, most: int = 100) -> DataFrame:
-    """(iou, image, label, score, det, hit): the matches at several overlaps; a group's overlaps are computed once."""
-    top = found.withColumn("i", F.row_number().over(Window.partitionBy("image", "label").orderBy(F.desc("score"), "id"))).filter(F.col("i") <= most)
-
-    def match(t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("i")
-        true, own = (np.array(x.tolist(), dtype=float).reshape(-1, 4) for x in (t.sort_values("id")["box"], d["box"]))
-        sides = [np.clip(np.minimum(own[:, None, k + 2], true[None, :, k + 2]) - np.maximum(own[:, None, k], true[None, :, k]), 0, None) for k in (0, 1)]
-        both = sides[0] * sides[1]
-        area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        overlap = both / np.maximum(area(own)[:, None] + area(true)[None] - both, 1e-12)
-        out = []
-        for least in ious:
-            taken, hits = np.zeros(len(true), dtype=bool), np.zeros(len(own), dtype=int)
-            for i in np.flatnonzero((overlap >= least).any(axis=1)) if len(true) else ():
-                o = np.where(taken, -1.0, overlap[i])
-                j = len(o) - 1 - int(np.argmax(o[::-1]))
-                if o[j] >= least:
-                    taken[j], hits[i] = True, 1
-            out.append(pd.DataFrame({"iou": least, "image": d["image"], "label": d["label"], "score": d["score"], "det": d["id"], "hit": hits}))
-        return pd.concat(out)
-
-    return truth.groupBy("image", "label").cogroup(top.groupBy("image", "label")).applyInPandas(match, "iou double, image long, label int, score double, det long, hit int")
-
-
-def average_precisions(truth: DataFrame, found: DataFrame, ious: Sequence[float] = IOUS, most: int = 100) -> DataFrame:
-    """(iou, label, ap): 101-point interpolated precision of each class with true boxes. A recall step stands for the grid points
-    between it and the step before, at the best precision from there on, so no row meets the grid."""
-    m = matched_at(truth, found, ious, most)
-    by = Window.partitionBy("iou", "label")
-    first = by.orderBy(F.desc("score"), "image", "det").rowsBetween(Window.unboundedPreceding, 0)
-    n = truth.groupBy("label").agg(F.count("*").alias("n"))
-    c = m.select("iou", "label", "score", "image", "det", F.sum("hit").over(first).alias("tp"), F.count("*").over(first).alias("k")).join(n, "label")
-    best = c.groupBy("iou", "label", "tp").agg(F.first("n").alias("n"), F.max(F.col("tp") / F.col("k")).alias("p"))
-    upto = lambda x: F.floor(100 * x / F.col("n") + 1e-9) + 1  # noqa: E731  grid points that a recall reaches
-    before = F.lag("tp").over(by.orderBy("tp"))
-    p = F.max("p").over(by.orderBy(F.desc("tp")).rowsBetween(Window.unboundedPreceding, 0))
-    steps = best.select("iou", "label", p.alias("p"), (upto(F.col("tp")) - F.when(before.isNull(), 0).otherwise(upto(before))).alias("points"))
-    area = steps.groupBy("iou", "label").agg((F.sum(F.col("p") * F.col("points")) / 101).alias("ap"))
-    every = n.select("label").crossJoin(truth.sparkSession.createDataFrame([(float(i),) for i in ious], "iou double"))
-    return every.join(area, ["iou", "label"], "left").select("iou", "label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-
-
-def detection_average_precision(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
-    """(label, ap) at one overlap."""
-    return average_precisions(truth, found, (iou,)).select("label", "ap")
-
-
-def mean_average_precision(truth: DataFrame, found: DataFrame, ious: Sequence[float] = IOUS) -> DataFrame:
-    """(map, map_50, map_75): mean over classes, over all overlaps and at 0.5 and 0.75."""
-    a = average_precisions(truth, found, ious)
-    return a.agg(F.avg("ap").alias("map"), *(F.avg(F.when(F.abs(F.col("iou") - x) < 1e-9, F.col("ap"))).alias(f"map_{k}") for x, k in ((0.5, 50), (0.75, 75))))
