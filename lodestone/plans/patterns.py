@@ -11,10 +11,14 @@ from lodestone.plans.durable import written
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan that has fewer partitions than there are cores, as of a file of one row group, dealt to all of them, for stages
-    that cost much more than a shuffle of their rows; one of more partitions is left alone."""
+    """A scan that has fewer partitions than there are cores, as of a file of one row group, cut into ranges of stored rows for all
+    of them, in the stored order, for stages that cost much more than a shuffle of their rows; one of more partitions is left
+    alone. The order of rows is the same either way."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    placed = scan.withColumn("__at", F.monotonically_increasing_id())
+    return placed.repartitionByRange(cores, "__at").sortWithinPartitions("__at").drop("__at")
 
 
 def ratio(num: Column, den: Column, zero: float | None = 0.0) -> Column:
