@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import agents, catalog, classification, exact_tests, groups, judges, retrieval, safety, selective, statistics, structured, text, vision
+from lodestone.operators import agents, catalog, classification, exact_tests, groups, judges, neighbours, retrieval, safety, selective, statistics, structured, text, vision
 from lodestone.plans.patterns import spread
 from lodestone.streaming.rates import windowed_rates
 
@@ -254,13 +254,10 @@ _SIMILAR = "v as (select vec_id, label, e from (select vec_id, label, embedding
 
 def _retrieval(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The run of a cosine search (queries: every 25th vector, a stated set) and judgements by equal label."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
-    q = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    pairs = q.join(v, F.col("query") != F.col("vec_id"))
-    sim = F.round(dot(F.col("qe"), F.col("e")) / (F.col("qn") * F.col("norm")), 9)
-    ranked = pairs.select("query", F.col("vec_id").alias("doc"), sim.alias("sim")).withColumn("rank", F.expr("row_number() over (partition by query order by sim desc, doc)")).filter("rank <= 20")
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("v"))
+    q = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), "v")
+    near = neighbours.neighbours(q.select(F.col("query").alias("id"), "v"), v.select(F.col("vec_id").alias("id"), "v"), k=20, skip_same=True)
+    ranked = near.select(F.col("query_id").alias("query"), F.col("id").alias("doc"), F.round("score", 9).alias("sim")).withColumn("rank", F.expr("row_number() over (partition by query order by sim desc, doc)"))
     qrels = q.join(v, (F.col("ql") == F.col("label")) & (F.col("query") != F.col("vec_id"))).select("query", F.col("vec_id").alias("doc"), (1 + F.col("vec_id") % 3).alias("grade"))
     return ranked.select("query", "doc", "rank"), qrels
 
