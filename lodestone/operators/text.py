@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import math
 import re
 import string
@@ -85,9 +84,15 @@ def scored(df: DataFrame, function: Callable[[str, str], Sequence[float]], names
 #: The public 13a rules: separate symbols; periods and commas unless between digits; dashes after digits.
 _RULES = ((re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "), (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "), (re.compile(r"([\.,])([^0-9])"), r" \1 \2"), (re.compile(r"([0-9])(-)"), r"\1 \2 "))
 
+#: The character references that 13a decodes, in this order.
+_REFERENCES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
 
 def tokens_13a(line: str) -> list[str]:
-    line = f" {html.unescape(line.replace('<skipped>', '').replace('-' + chr(10), '').replace(chr(10), ' '))} "
+    line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for name, sign in _REFERENCES:
+        line = line.replace(name, sign)
+    line = f" {line} "
     for rule, out in _RULES:
         line = rule.sub(out, line)
     return line.split()
@@ -116,7 +121,7 @@ def bleu_from(stats: Sequence[float], effective: bool = False) -> float:
             logs += math.log(1 / (smooth * total))
         else:
             logs += math.log(hit / total)
-    if not used or not effective and used < 4 or stats[8] == 0:
+    if not used or not effective and used < 4 or stats[8] == 0 or not any(stats[0:8:2]):
         return 0.0
     short = 1.0 if stats[8] >= stats[9] else math.exp(1 - stats[9] / stats[8])
     return 100 * short * math.exp(logs / used)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import neighbours
-from lodestone.queries import ORACLE, query
+from lodestone.operators import neighbours, self_bleu
+from lodestone.plans.patterns import spread
+from lodestone.queries import query
 
 
 def _translated(spark: SparkSession, d: str) -> DataFrame:
@@ -20,3 +21,16 @@ _ACCURACY = "w as (select i, j, sim{over} as sim from m{joins}), r as (select av
 _AROUND = ", f as (select i, avg(sim) as f from (select i, sim, row_number() over (partition by i order by sim desc) as k from m) where k <= 4 group by i), g as (select j, avg(sim) as g from (select j, sim, row_number() over (partition by j order by sim desc) as k from m) where k <= 4 group by j)"
 query("bitext_mining", f"with {_SIDES}, {_ACCURACY.format(over='', joins='')}")(lambda s, d: neighbours.bitext_mining(_translated(s, d), "a", "b"))
 query("bitext_mining_margin", f"with {_SIDES}{_AROUND}, {_ACCURACY.format(over=' / ((f + g) / 2)', joins=' join f using (i) join g using (j)')}")(lambda s, d: neighbours.bitext_mining(_translated(s, d), "a", "b", scoring="margin"))
+
+_RULED = "' ' || replace(replace(replace(coalesce(text, ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ') || ' '"
+for _name, _sign in self_bleu.REFERENCES_13A:
+    _RULED = f"replace({_RULED}, '{_name}', '{_sign}')"
+for _rule, _out in self_bleu.RULES_13A:
+    _RULED = f"regexp_replace({_RULED}, '{_rule}', '{_out.replace('$', chr(92))}', 'g')"
+_GRAMS = " union all ".join(f"select k, {n} as n, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], chr(1)))) as g from w" for n in range(1, 5))
+_BEST = "c as (select k, n, g, count(*) as c from grams group by all), o as (select *, max(c) over (partition by n, g) as m, count(*) over (partition by n, g) as r from c), p as (select *, sum(cast(c = m as int)) over (partition by n, g) as u, max(case when c < m then c end) over (partition by n, g) as s from o), h as (select k, n, sum(least(c, case when r = 1 then 0 when c = m and u = 1 then coalesce(s, 0) else m end)) as h from p group by k, n)"
+_NEAR = "z as (select k, len(w) as l from w), q as (select a.k, a.l, arg_min(b.l, abs(a.l - b.l) * 1000000 + b.l) as o from z a join z b on a.k <> b.k group by a.k, a.l)"
+_PER = "t as (select q.k, q.l, q.o, n.n, greatest(q.l - n.n + 1, 0) as t, coalesce(h.h, 0) as h from q, (values (1), (2), (3), (4)) n(n) left join h on h.k = q.k and h.n = n.n), x as (select *, sum(cast(t > 0 and h = 0 as int)) over (partition by k order by n) as z from t), y as (select k, min(l) as l, min(o) as o, max(h) as h, sum(case when t = 0 then 0e0 when h > 0 then ln(h * 1e0 / t) else -ln(power(2e0, z) * t) end) as s, sum(cast(t > 0 as int)) as u from x group by k), sb as (select k, case when h > 0 then 100 * case when l >= o then 1 else exp(1 - o * 1e0 / l) end * exp(s / u) else 0e0 end as v from y)"
+_SELF = rf"with w as (select doc_id as k, list_filter(string_split_regex({_RULED}, '\s+'), lambda x: x <> '') as w from documents), grams as ({_GRAMS}), {_BEST}, {_NEAR}, {_PER}"
+query("self_bleu", f"{_SELF} select round(avg(v), 6) as self_bleu from sb")(lambda s, d: self_bleu.self_bleu(spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "doc_id", "text"))
+query("self_bleu_scores", f"{_SELF} select k as doc_id, round(v, 6) as self_bleu from sb")(lambda s, d: self_bleu.self_bleu_scores(spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "doc_id", "text"))
