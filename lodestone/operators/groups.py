@@ -128,17 +128,21 @@ def judge_agreement(df: DataFrame, judge: str, human: str) -> DataFrame:
     return df.agg(F.corr(F.col(judge).cast("double"), F.col(human).cast("double")).alias("pearson"), F.avg((F.col(judge) == F.col(human)).cast("double")).alias("raw_agreement"), F.count(F.when(F.col(judge).isNotNull() & F.col(human).isNotNull(), 1)).alias("n"))
 
 
+def _call_counts(expected: DataFrame, predicted: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(columns, e, p): how often each combination is expected and predicted; nulls are values like others."""
+    side = lambda d, e, p: d.select(*(F.col(c).alias(n) for n, c in columns.items()), F.lit(e).alias("e"), F.lit(p).alias("p"))
+    return side(expected, 1, 0).unionByName(side(predicted, 0, 1)).groupBy(*columns).agg(F.sum("e").alias("e"), F.sum("p").alias("p"))
+
+
 def tool_selection(expected: DataFrame, predicted: DataFrame, task: str, tool: str) -> DataFrame:
-    """Share of tasks whose predicted tools are the expected ones, as multisets; a task may lack either."""
-    side = lambda d, n: d.groupBy(F.col(task).alias("task"), F.col(tool).alias("tool")).agg(F.count("*").alias(n))
-    both = side(expected, "e").join(side(predicted, "p"), ["task", "tool"], "full")
-    t = both.groupBy("task").agg(F.min((F.coalesce("e", F.lit(0)) == F.coalesce("p", F.lit(0))).cast("int")).alias("ok"))
+    """Share of tasks whose predicted tools are the expected ones, as multisets; a task may lack either. A null tool equals
+    another one of the same task."""
+    t = _call_counts(expected, predicted, {"task": task, "tool": tool}).groupBy("task").agg(F.min((F.col("e") == F.col("p")).cast("int")).alias("ok"))
     return t.agg(F.avg(F.col("ok").cast("double")).alias("tool_selection_accuracy"))
 
 
 def tool_arguments(expected: DataFrame, predicted: DataFrame, task: str, tool: str, arguments: str) -> DataFrame:
-    """Share of expected calls met by a predicted call of equal tool and arguments, each used once. Arguments compare as the
-    columns' own values: parse JSON texts first."""
-    side = lambda d, n: d.groupBy(F.col(task).alias("task"), F.col(tool).alias("tool"), F.col(arguments).alias("args")).agg(F.count("*").alias(n))
-    j = side(expected, "e").join(side(predicted, "p"), ["task", "tool", "args"], "left")
-    return j.agg((F.sum(F.least("e", F.coalesce("p", F.lit(0)))) / F.sum("e")).alias("tool_argument_accuracy"))
+    """Share of expected calls met by a predicted call of equal tool and arguments, each used once; calls without arguments (null)
+    are equal in them. Arguments compare as the columns' own values: parse JSON texts first."""
+    j = _call_counts(expected, predicted, {"task": task, "tool": tool, "args": arguments})
+    return j.agg(F.try_divide(F.sum(F.least("e", "p")), F.sum("e")).alias("tool_argument_accuracy"))

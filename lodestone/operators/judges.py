@@ -106,12 +106,14 @@ def rater_z_scores(df: DataFrame, rater: str, score: str, system: str) -> DataFr
 
 def sample_agreement(df: DataFrame, item: str, answer: str) -> DataFrame:
     """(unanimous, pairwise, modal_share) over items: from counts of equal answers."""
-    c = df.groupBy(item, answer).agg(F.count("*").alias("c")).groupBy(item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.max("c").alias("top"), F.count("*").alias("k"))
+    own = df.select(F.col(item).alias("item"), F.col(answer).alias("answer"))
+    c = own.groupBy("item", "answer").agg(F.count("*").alias("c")).groupBy("item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.max("c").alias("top"), F.count("*").alias("k"))
     return c.agg(F.avg((F.col("k") == 1).cast("double")).alias("unanimous"), F.avg(F.when(F.col("n") > 1, F.col("same") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1)))).alias("pairwise"), F.avg(F.col("top") / F.col("n")).alias("modal_share"))
 
 
 def majority_vote(df: DataFrame, item: str, answer: str, position: str, reference: str) -> DataFrame:
     """Share of items whose most frequent answer (ties: seen first) equals the reference."""
-    c = df.groupBy(item, answer).agg(F.count("*").alias("c"), F.min(position).alias("p"), F.min(reference).alias("r"))
-    top = c.withColumn("i", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("c"), "p"))).filter("i = 1")
-    return top.agg(F.avg((F.col(answer) == F.col("r")).cast("double")).alias("majority_vote_accuracy"))
+    own = df.select(F.col(item).alias("item"), F.col(answer).alias("answer"), F.col(position).alias("position"), F.col(reference).alias("reference"))
+    c = own.groupBy("item", "answer").agg(F.count("*").alias("c"), F.min("position").alias("p"), F.min("reference").alias("r"))
+    top = c.withColumn("i", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("c"), "p"))).filter("i = 1")
+    return top.agg(F.avg((F.col("answer") == F.col("r")).cast("double")).alias("majority_vote_accuracy"))

@@ -39,9 +39,11 @@ def ngrams(words: Column, n: int) -> Column:
 
 def overlap(df: DataFrame, key: str, reference: Column, prediction: Column, n: int = 1) -> DataFrame:
     """(key, hits, n_ref, n_pred): clipped matches of the n-grams of two word arrays; both sides are counted in one shuffle."""
-    both = df.select(key, F.explode_outer(F.concat(F.transform(ngrams(reference, n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("r"), F.lit(0).alias("p"))), F.transform(ngrams(prediction, n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("r"), F.lit(1).alias("p"))))).alias("x")).select(key, "x.*")
-    grams = both.groupBy(key, "g").agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
-    return grams.groupBy(key).agg(F.sum(F.least("r", "p")).alias("hits"), F.sum("r").alias("n_ref"), F.sum("p").alias("n_pred"))
+    side = lambda words, r, p: F.transform(ngrams(words, n), lambda g: F.struct(g.alias("g"), F.lit(r).alias("r"), F.lit(p).alias("p")))
+    both = df.select(F.col(key).alias("__key"), F.explode_outer(F.concat(side(reference, 1, 0), side(prediction, 0, 1))).alias("__x")).select("__key", "__x.*")
+    grams = both.groupBy("__key", "g").agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    counts = grams.groupBy("__key").agg(F.sum(F.least("r", "p")).alias("hits"), F.sum("r").alias("n_ref"), F.sum("p").alias("n_pred"))
+    return counts.withColumnRenamed("__key", key)
 
 
 def overlap_scores(df: DataFrame, key: str, reference: Column, prediction: Column, n: int = 1) -> DataFrame:
@@ -68,15 +70,18 @@ def exact_match(df: DataFrame, reference: str, prediction: str) -> DataFrame:
 
 
 def scored(df: DataFrame, function: Callable[[str, str], Sequence[float]], names: Sequence[str], reference: str = "reference", prediction: str = "prediction") -> DataFrame:
-    """``df`` with one double column for each name: ``function`` of each row's two texts (null: empty), in Arrow batches."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{n} double" for n in names)])
+    """``df`` with one double column for each name, in place of one that it has: ``function`` of each row's two texts (null: empty),
+    in Arrow batches."""
+    kept = [f for f in df.schema if f.name not in names]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             values = [function(r or "", p or "") for r, p in zip(b[reference], b[prediction], strict=True)]
+            out = b[[f.name for f in kept]].copy()
             for i, n in enumerate(names):
-                b[n] = [float(v[i]) for v in values]
-            yield b
+                out[n] = [float(v[i]) for v in values]
+            yield out
 
     return df.mapInPandas(run, schema)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.operators import detection
-from lodestone.queries import query, view
+from lodestone.operators import detection, vision
+from lodestone.queries import _PX, _pixels, query, view
 
 
 def _scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -23,3 +23,7 @@ query("detection_report")(lambda s, d: detection.detection_report(*_scenes(s, d)
 query("detection_by_class")(lambda s, d: detection.detection_by_class(*_scenes(s, d)))
 query("detection_pr_curve")(lambda s, d: detection.detection_pr_curve(*_scenes(s, d)))
 query("detection_average_precision_voc")(lambda s, d: detection.detection_average_precision(*_scenes(s, d), interpolation="voc"))
+
+_NEAR = "b as (select a.image, a.y, a.x, min(a.t) as t, min(a.p) as p, count(*) filter (where n.t = a.t) < 25 as bt, count(*) filter (where n.p = a.p) < 25 as bp from px a left join px n on n.image = a.image and n.y between a.y - 2 and a.y + 2 and n.x between a.x - 2 and a.x + 2 group by a.image, a.y, a.x), e as (select t as label, bt::bigint as edge, (bt and bp and t = p)::bigint as both_ from b union all select p, bp::bigint, 0 from b), z as (select label, sum(both_)::bigint as i, (sum(edge) - sum(both_))::bigint as u from e where label <> 0 group by label)"
+query("boundary_iou", f"with {_PX}, {_NEAR} select cast(label as int) as label, round(i * 1e0 / u, 6) as boundary_iou, u as support from z")(lambda s, d: vision.boundary_iou(_pixels(s, d), ratio_of_diagonal=0.05))
+query("segmentation_report", f"with {_PX}, {_NEAR} select cast(k.label as int) as label, round(tp / (tp + fp + fn), 6) as iou, round(2 * tp / (2 * tp + fp + fn), 6) as dice, round(tp / (tp + fn), 6) as recall, round(tp + fn, 6) as support, round(i * 1e0 / u, 6) as boundary_iou from k left join z on z.label = k.label where k.label <> 0")(lambda s, d: vision.segmentation_report(_pixels(s, d), ratio_of_diagonal=0.05))
