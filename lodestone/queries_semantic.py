@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import neighbours, self_bleu
+from lodestone.operators import mauve, neighbours, self_bleu, spice, token_matching
 from lodestone.plans.patterns import spread
-from lodestone.queries import query
+from lodestone.queries import _PAIRS_DUCK, _pairs, query
 
 
 def _translated(spark: SparkSession, d: str) -> DataFrame:
@@ -34,3 +34,51 @@ _PER = "t as (select q.k, q.l, q.o, n.n, greatest(q.l - n.n + 1, 0) as t, coales
 _SELF = rf"with w as (select doc_id as k, list_filter(string_split_regex({_RULED}, '\s+'), lambda x: x <> '') as w from documents), grams as ({_GRAMS}), {_BEST}, {_NEAR}, {_PER}"
 query("self_bleu", f"{_SELF} select round(avg(v), 6) as self_bleu from sb")(lambda s, d: self_bleu.self_bleu(spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "doc_id", "text"))
 query("self_bleu_scores", f"{_SELF} select k as doc_id, round(v, 6) as self_bleu from sb")(lambda s, d: self_bleu.self_bleu_scores(spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "doc_id", "text"))
+
+
+def _tokens(spark: SparkSession, d: str, column: str) -> DataFrame:
+    """Eight vectors an example, as of its tokens; the vector's label is the token."""
+    v = _translated(spark, d).join(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("token")), "id")
+    return v.select(F.floor(F.col("id") / 8).cast("long").alias("example"), F.col("id").alias("at"), F.col(column).alias("v"), "token")
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _tokens(spark, d, "a"), _tokens(spark, d, "b").filter("at % 5 <> 0")
+    return token_matching.bertscore(token_matching.token_weights(a, a), token_matching.token_weights(a, b), baseline=0.1)
+
+
+_BERT = "v as (select vec_id as id, vec_id // 8 as e, cast(label as varchar) as k, cast(embedding as double[]) as a from embeddings), p as (select *, list_transform(a, lambda x, i: x + ((id * 31 + (i - 1) * 17) % 7 - 3) * 8e-2) as b from v), n as (select count(distinct e) as n from v), i as (select k, ln(((select n from n) + 1e0) / (count(distinct e) + 1)) as w from v group by k), m as (select r.e, r.id as i, q.id as j, list_cosine_similarity(r.a, q.b) as s, {w} from p r join p q on q.e = r.e and q.id % 5 <> 0{joins}), x as (select e, sum(s * w) / nullif(sum(w), 0) as r from (select e, i, max(s) as s, any_value(wi) as w from m group by e, i) group by e), y as (select e, sum(s * w) / nullif(sum(w), 0) as p from (select e, j, max(s) as s, any_value(wj) as w from m group by e, j) group by e), z as (select e, {p} as p, {r} as r from x join y using (e)) select e as example, round(p, 6) as \"precision\", round(r, 6) as recall, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 6) as f1 from z".replace(chr(92), "")
+query("bertscore", "with " + _BERT.format(w="1e0 as wi, 1e0 as wj", joins="", p="p", r="r"))(lambda s, d: token_matching.bertscore(_tokens(s, d, "a"), _tokens(s, d, "b").filter("at % 5 <> 0")))
+query("bertscore_weighted", "with " + _BERT.format(w="ri.w as wi, qi.w as wj", joins=" join i ri on ri.k = r.k join i qi on qi.k = q.k", p="(p - 0.1e0) / 0.9e0", r="(r - 0.1e0) / 0.9e0"))(_weighted)
+query("mauve")(lambda s, d: mauve.mauve(s.read.parquet(f"{d}/embeddings.parquet").withColumn("side", F.when(F.col("vec_id") % 2 == 0, "human").otherwise("model")), "side", "embedding", "vec_id", reference="human", generated="model"))
+
+
+def _scene_tuples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Tuples of one, two and three words in turn, of the whole texts of each document, and of its prediction, where each third
+    tuple has another spelling."""
+    cut = lambda c: F.expr(f"transform(sequence(1, size(split({c}, ' '))), i -> transform(slice(split({c}, ' '), i, (i - 1) % 3 + 1), w -> lower(w)))")
+    rows = _pairs(spark, d)
+    spelled = F.transform("words", lambda w: F.replace(w, F.lit("th"), F.lit("t")))
+    own = rows.select(F.col("doc_id").alias("image"), F.posexplode(cut("prediction")).alias("i", "words")).select("image", F.when(F.col("i") % 3 == 0, spelled).otherwise(F.col("words")).alias("words"))
+    return own, rows.select(F.col("doc_id").alias("image"), F.explode(cut("reference")).alias("words"))
+
+
+def _spellings(own: DataFrame, other: DataFrame) -> DataFrame:
+    words = own.unionByName(other).select(F.explode("words").alias("word")).distinct()
+    return words.select("word", F.replace("word", F.lit("th"), F.lit("t")).alias("key"))
+
+
+def _spelled(spark: SparkSession, d: str) -> DataFrame:
+    own, other = _scene_tuples(spark, d)
+    return spice.spice_scores(own, other, _spellings(own, other))
+
+
+_CUT = "list_transform(range(1, len({x}) + 1), lambda i: list_transform({x}[i:i + (i - 1) % 3], lambda w: lower(w)))"
+_KEYED = "list_transform({x}, lambda w: replace(w, 'th', 't'))"
+_SCENES = f"{_PAIRS_DUCK}, c as (select distinct doc_id as image, t from (select doc_id, unnest(list_transform({_CUT.format(x='p')}, lambda t, i: case when i % 3 = 1 then {_KEYED.format(x='t')} else t end)) as t from pr) where len(t) > 0 and list_min(list_transform(t, lambda w: length(w))) > 0), r as (select distinct doc_id as image, t from (select doc_id, unnest({_CUT.format(x='r')}) as t from pr) where len(t) > 0 and list_min(list_transform(t, lambda w: length(w))) > 0), x as (select c.image, c.t from c join r on r.image = c.image and r.t = c.t)"
+_SPICE = "select image, round(m * 1e0 / nullif(c, 0), 6) as \"precision\", round(m * 1e0 / nullif(r, 0), 6) as recall, round(2e0 * m / (c + r), 6) as spice from (select image, sum(c) as c, sum(r) as r, sum(m) as m from ({rows}) group by image)".replace(chr(92), "")
+_SIDES3 = "select image, 1 as c, 0 as r, 0 as m from c union all select image, 0, 1, 0 from r union all select image, 0, 0, 1 from x"
+_LEFT = f"lc as (select image, {_KEYED.format(x='t')} as k, count(*) as n from c anti join x on x.image = c.image and x.t = c.t group by 1, 2), lr as (select image, {_KEYED.format(x='t')} as k, count(*) as n from r anti join x on x.image = r.image and x.t = r.t group by 1, 2)"
+query("spice_scores", f"with {_SCENES} {_SPICE.format(rows=_SIDES3)}")(lambda s, d: spice.spice_scores(*_scene_tuples(s, d)))
+query("spice_synonyms", f"with {_SCENES}, {_LEFT} {_SPICE.format(rows=_SIDES3 + ' union all select lc.image, 0, 0, least(lc.n, lr.n) from lc join lr on lr.image = lc.image and lr.k = lc.k')}")(_spelled)
+query("spice")(lambda s, d: spice.spice(*_scene_tuples(s, d)))
