@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lodestone.operators.text import lcs
-from lodestone.plans.patterns import ratio
+from lodestone.plans.patterns import dealt, group_percentiles, ratio, successor
 
 
 def repeated_calls(df: DataFrame, task: str, order: str, call: str, *, loop: int = 3) -> DataFrame:
@@ -36,15 +36,21 @@ def invalid_tools(df: DataFrame, tool: str, catalogue: list[str]) -> DataFrame:
 
 
 def energy(df: DataFrame, time: str, watts: str) -> DataFrame:
-    """Joules by the trapezoid rule over one series of samples, in order of time."""
-    w = Window.partitionBy(F.lit(1)).orderBy(time)
-    d = df.groupBy(time).agg(F.avg(watts).alias("p")).select(F.col(time).alias("t"), "p", F.lead(time).over(w).alias("u"), F.lead("p").over(w).alias("q"))
-    return d.agg(F.sum((F.col("u") - F.col("t")) * (F.col("p") + F.col("q")) / 2).alias("joules"))
+    """Joules by the trapezoid rule over one series of samples, in order of time; samples of one time are averaged. The series is
+    dealt to ranges of time, each of which looks at the first sample of the next."""
+    samples = df.filter(F.col(time).isNotNull()).groupBy(F.col(time).alias("t")).agg(F.avg(watts).alias("p"))
+    d = successor(dealt(samples, ["t"]), "t", ["t", "p"])
+    return d.agg(F.sum((F.col("next_t") - F.col("t")) * (F.col("p") + F.col("next_p")) / 2).alias("joules"))
 
 
 def summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, mean, sd, min, max, p50, p90, p95, p99) with exact linear percentiles; sd of one row is 0."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), *(F.percentile(value, F.lit(q / 100)).alias(f"p{q}") for q in (50, 90, 95, 99)))
+    """(by, n, mean, sd, min, max, p50, p90, p95, p99) with exact linear percentiles, found by ranges of values; sd of one row is 0."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    shares = group_percentiles(df, F.col(value), {f"p{q}": q / 100 for q in (50, 90, 95, 99)}, by)
+    if not by:
+        return plain.crossJoin(shares)  # a row each
+    same = [plain[c].eqNullSafe(shares[c]) for c in by]
+    return plain.join(shares, same, "left").select(*(plain[c] for c in plain.columns), "p50", "p90", "p95", "p99")
 
 
 def accuracy_grid(df: DataFrame, correct: str, length: str, depth: str) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.patterns import group_percentiles
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -182,6 +184,8 @@ perplexity | logprob | exp(-avg(logprob)) | logprob <= 0
 """)
 
 
+_QUANTILE = re.compile(r"(?:median\((?P<value>.+)\)|quantile\((?P<of>.+), (?P<share>[0-9.]+)\))")
+
 _DECIMAL = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
 
 
@@ -191,7 +195,8 @@ def for_spark(sql: str) -> str:
 
 
 def evaluate(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), digits: int | None = None, strict: bool = True, **params: object) -> DataFrame:
-    """One row (for each group of ``by``) with a column for each metric, all in one pass with partial aggregation.
+    """One row (for each group of ``by``) with a column for each metric, all in one pass with partial aggregation; medians and
+    quantiles are found by ranges of values, one by one.
 
     ``strict``: raise MetricInputError if any row lacks a value that a metric needs or breaks its condition; the counts come
     from one aggregate before. Otherwise such rows are the caller's. A metric without rows is null.
@@ -202,9 +207,20 @@ def evaluate(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), digi
         failed = [f"{m.category}.{m.name}: {bad[m.name]} rows" for m in chosen if bad[m.name]]
         if failed:
             raise MetricInputError("; ".join(failed))
-    columns = [F.expr(for_spark(m.expression(**params))).cast("double") for m in chosen]
-    columns = [F.round(c, digits) if digits is not None else c for c in columns]
-    return df.groupBy(*by).agg(*(c.alias(m.name) for c, m in zip(columns, chosen, strict=True)))
+    rounded = lambda c: F.round(c, digits) if digits is not None else c
+    placed = {m.name: found for m in chosen if (found := _QUANTILE.fullmatch(m.expression(**params)))}
+    plain = [m for m in chosen if m.name not in placed]
+    out = df.groupBy(*by).agg(*(rounded(F.expr(for_spark(m.expression(**params))).cast("double")).alias(m.name) for m in plain)) if plain or not placed else None
+    for name, found in placed.items():
+        share = group_percentiles(df, F.expr(for_spark(found["value"] or found["of"])), {name: float(found["share"] or 0.5)}, by).withColumn(name, rounded(F.col(name)))
+        if out is None:
+            out = share
+        elif by:
+            joined = out.join(share, [out[c].eqNullSafe(share[c]) for c in by])
+            out = joined.select(*(out[c] for c in out.columns), share[name])
+        else:
+            out = out.crossJoin(share)  # a row each
+    return out.select(*by, *(m.name for m in chosen))
 
 
 def list_metrics(category: str | None = None) -> list[str]:

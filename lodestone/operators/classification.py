@@ -183,16 +183,26 @@ def risk_coverage(df: DataFrame, correct: str, confidence: str) -> DataFrame:
 
 
 def diagnostic_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """(metric, value, low, high) of a binary test: shares with Wilson intervals, ratios without; null where undefined. One pass."""
+    """(metric, value, low, high) of a binary test: shares with Wilson intervals, ratios with those of their logarithm; null where
+    undefined. One pass."""
     is_ = lambda t, p: F.count_if((F.col(truth) == t) & (F.col(pred) == p))
     c = df.agg(is_(1, 1).alias("tp"), is_(0, 1).alias("fp"), is_(1, 0).alias("fn"), is_(0, 0).alias("tn"))
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     shares = {"sensitivity": (tp, tp + fn), "specificity": (tn, tn + fp), "ppv": (tp, tp + fp), "npv": (tn, tn + fn), "accuracy": (tp + tn, tp + fp + fn + tn), "prevalence": (tp + fn, tp + fp + fn + tn)}
     none = F.lit(None).cast("double")
-    row = lambda name, value, low, high: F.struct(F.lit(name).alias("metric"), value.alias("value"), low.alias("low"), high.alias("high"))
-    rows = [row(name, ratio(k, n, None), *(F.when(n > 0, F.least(F.greatest(b, F.lit(0.0)), F.lit(1.0))) for b in wilson(k, F.when(n > 0, n)))) for name, (k, n) in shares.items()]
-    rows += [row("lr_positive", ratio(tp * (fp + tn), fp * (tp + fn), None), none, none), row("lr_negative", ratio(fn * (fp + tn), tn * (tp + fn), None), none, none), row("diagnostic_odds_ratio", ratio(tp * tn, fp * fn, None), none, none), row("youden_j", ratio(tp, tp + fn, None) + ratio(tn, tn + fp, None) - 1, none, none)]
-    return c.select(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    row = lambda name, value, low, high, spread: F.struct(F.lit(name).alias("metric"), value.alias("value"), low.alias("low"), high.alias("high"), spread.alias("spread"))
+    rows = [row(name, ratio(k, n, None), *(F.when(n > 0, F.least(F.greatest(b, F.lit(0.0)), F.lit(1.0))) for b in wilson(k, F.when(n > 0, n))), none) for name, (k, n) in shares.items()]
+    # the variance of a ratio's logarithm is a sum of reciprocals; there is none where a cell is 0
+    of_ratio = lambda name, value, variance: row(name, value, none, none, F.expr(variance))
+    rows += [
+        of_ratio("lr_positive", ratio(tp * (fp + tn), fp * (tp + fn), None), "case when tp * fp > 0 then sqrt(greatest(0, 1D / tp - 1D / (tp + fn) + 1D / fp - 1D / (fp + tn))) end"),
+        of_ratio("lr_negative", ratio(fn * (fp + tn), tn * (tp + fn), None), "case when fn * tn > 0 then sqrt(greatest(0, 1D / fn - 1D / (tp + fn) + 1D / tn - 1D / (fp + tn))) end"),
+        of_ratio("diagnostic_odds_ratio", ratio(tp * tn, fp * fn, None), "case when tp > 0 and fp > 0 and fn > 0 and tn > 0 then sqrt(1D / tp + 1D / fp + 1D / fn + 1D / tn) end"),
+        row("youden_j", ratio(tp, tp + fn, None) + ratio(tn, tn + fp, None) - 1, none, none, none),
+    ]
+    z = 1.959963984540054
+    bound = lambda c, sign: F.coalesce(c, F.when(F.col("value") > 0, F.col("value") * F.exp(sign * z * F.col("spread")))).alias(c)
+    return c.select(F.array(*rows).alias("rows")).select(F.inline("rows")).select("metric", "value", bound("low", -1), bound("high", 1))
 
 
 def calibration_report(df: DataFrame, truth: str, score: str, row_id: str, *, bins: int = 10) -> DataFrame:

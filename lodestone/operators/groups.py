@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.classification import class_scores
-from lodestone.plans.patterns import binned, ratio
+from lodestone.plans.durable import written
+from lodestone.plans.patterns import binned, group_percentiles, ranks, ratio
 
 
 def plain(answer: Column) -> Column:
@@ -119,13 +120,37 @@ def state_tracking(df: DataFrame, turn: str, slot: str, expected: str, predicted
 
 
 def resource_utilization(df: DataFrame, series: str, value: str) -> DataFrame:
-    """(series, peak, mean, p95) of readings."""
-    return df.groupBy(F.col(series).alias("series")).agg(F.max(value).cast("double").alias("peak"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    """(series, peak, mean, p95) of readings; the percentile is found by ranges of values."""
+    own = df.select(F.col(series).alias("series"), F.col(value).alias("value"))
+    plain = own.groupBy("series").agg(F.max("value").cast("double").alias("peak"), F.avg("value").alias("mean"))
+    shares = group_percentiles(own, F.col("value"), {"p95": 0.95}, ["series"])
+    return plain.join(shares, plain["series"].eqNullSafe(shares["series"])).select(plain["series"], "peak", "mean", "p95")
 
 
 def judge_agreement(df: DataFrame, judge: str, human: str) -> DataFrame:
-    """(pearson, raw_agreement, n) of a judge's and human scores; kappas of categories come from ``agreement_scores``."""
-    return df.agg(F.corr(F.col(judge).cast("double"), F.col(human).cast("double")).alias("pearson"), F.avg((F.col(judge) == F.col(human)).cast("double")).alias("raw_agreement"), F.count(F.when(F.col(judge).isNotNull() & F.col(human).isNotNull(), 1)).alias("n"))
+    """(pearson, spearman, raw_agreement, cohen_kappa, quadratic_kappa, n) of a judge's and human scores, over the rows that have
+    both. Equal pairs are counted first; ranks of equal scores are their mean; the quadratic kappa weighs by squared
+    differences of the scores themselves."""
+    known = df.select(F.col(judge).cast("double").alias("x"), F.col(human).cast("double").alias("y")).dropna()
+    pairs = written(known.groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
+    placed = lambda c: ranks(known.select(c), c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
+    sides = {c: written(placed(c), "ranks") for c in "xy"}
+    both = pairs.join(sides["x"], "x").join(sides["y"], "y")
+
+    def correlation(a: str, b: str) -> Column:
+        w, u, v = F.col("n"), F.col(a), F.col(b)
+        n, mu, mv = F.sum(w), F.sum(w * u), F.sum(w * v)
+        return ratio(n * F.sum(w * u * v) - mu * mv, F.sqrt((n * F.sum(w * u * u) - mu * mu) * (n * F.sum(w * v * v) - mv * mv)), None)
+
+    n, w = F.sum("n"), F.col("n")
+    same = F.sum(F.when(F.col("x") == F.col("y"), w).otherwise(0))
+    apart = ratio(F.sum(w * F.pow(F.col("x") - F.col("y"), 2.0)), n, None)
+    chance = F.sum(w * F.pow("x", 2.0)) / n + F.sum(w * F.pow("y", 2.0)) / n - 2 * (F.sum(w * F.col("x")) / n) * (F.sum(w * F.col("y")) / n)
+    told = both.agg(correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"), ratio(same, n, None).alias("raw_agreement"), F.when(n > 0, 1 - ratio(apart, chance, None)).alias("quadratic_kappa"), F.coalesce(n, F.lit(0)).alias("n"))
+    meet = sides["x"].join(sides["y"].withColumnRenamed("y", "x"), "x").agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)).alias("__chance"))
+    by_chance = ratio(F.col("__chance").cast("double"), F.pow("n", 2.0), None)
+    kappa = ratio(F.col("raw_agreement") - by_chance, 1 - by_chance, None)
+    return told.crossJoin(meet).select("pearson", "spearman", "raw_agreement", kappa.alias("cohen_kappa"), "quadratic_kappa", "n")  # a row each
 
 
 def _call_counts(expected: DataFrame, predicted: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import special
-from lodestone.plans.patterns import ranks, ratio, thresholds
+from lodestone.plans.durable import written
+from lodestone.plans.patterns import dealt, ranks, ratio, running_by, running_extreme, thresholds
 
 
 def two_sample(df: DataFrame, value: str, group: str, a: object, b: object) -> dict[str, float | None]:
@@ -121,18 +122,23 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def adjust_pvalues(df: DataFrame, key: str, p: str, family: Sequence[str] = ()) -> DataFrame:
-    """``df`` with bonferroni, holm, hochberg and bh adjusted values, within each family: a running maximum or a reverse
-    running minimum over the ordered p-values."""
-    w = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(1))
-    up, down = w.orderBy(p, key), w.orderBy(F.desc(p), F.desc(key))
-    n, i = F.count("*").over(w), F.row_number().over(up)
-    d = df.withColumn("__n", n).withColumn("__i", i)
-    step = (F.col("__n") - F.col("__i") + 1) * F.col(p)
-    one = F.lit(1.0)
-    return d.select(
-        *df.columns, F.least(one, F.col(p) * F.col("__n")).alias("bonferroni"), F.least(one, F.max(step).over(up)).alias("holm"),
-        F.least(one, F.min(step).over(down)).alias("hochberg"), F.least(one, F.min(F.col(p) * F.col("__n") / F.col("__i")).over(down)).alias("bh"),
-    )
+    """``df`` with bonferroni, holm, hochberg, bh and by adjusted values, within each family: numbers, a running maximum and running
+    minima from the end over the ordered p-values, by ranges, so a large family is many tasks. A null p stays null and does
+    not count."""
+    named = df.withColumns({"__family": F.to_json(F.struct(F.lit(0).alias("x"), *family)), "__p": F.col(p).cast("double"), "__key": F.col(key)})
+    known = named.filter("__p is not null")
+    order = ["__p", "__key"]
+    placed = running_by(dealt(known, ["__family", *order]), order, {"n": F.lit(1)}, ["__family"])
+    i, n, value = F.col("cum_n"), F.col("all_n"), F.col("__p")
+    step, share = (n - i + 1) * value, value * n / i
+    tuned = running_extreme(written(placed, "numbered"), order, {"holm": (step, "max", False), "hochberg": (step, "min", True), "bh": (share, "min", True)}, ["__family"])
+    one = lambda c: F.least(F.lit(1.0), c)
+    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(1000))), F.lit(0.0), lambda a, k: a + 1.0 / k)
+    # beyond 1,000 the sum follows from its expansion, which is exact to the last digits there
+    sums = F.when(n <= 1000, harmonic).otherwise(F.log(n.cast("double")) + 0.5772156649015329 + 1 / (2.0 * n) - 1 / (12.0 * n * n))
+    told = tuned.select(*df.columns, one(value * n).alias("bonferroni"), *(one(F.col(c)).alias(c) for c in ("holm", "hochberg", "bh")), one(F.col("bh") * sums).alias("by"))
+    none = F.lit(None).cast("double")
+    return told.unionByName(named.filter("__p is null").select(*df.columns, *(none.alias(c) for c in ("bonferroni", "holm", "hochberg", "bh", "by"))))
 
 
 def delong(df: DataFrame, truth: str, score: str) -> DataFrame:

@@ -152,3 +152,52 @@ def split_join(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str
     met = rows.join(F.broadcast(heavy), list(on))
     rest = rows.join(F.broadcast(heavy.select(*on)), list(on), "left_anti").join(light, list(on), how)
     return met.unionByName(rest)
+
+
+def running_extreme(ranges: DataFrame, order: Sequence[str | Column], values: dict[str, tuple[Column, str, bool]], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``dealt`` with, for each name (column, "max" or "min", from the end?), the extreme of the column over the rows of the
+    group up to this one in ``order``, or from it on. As ``running_by``, with one row for each pair of range and group."""
+    keys = ["__range", *by]
+    pick = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    totals = ranges.groupBy(*keys).agg(*(pick[k][0](c).alias(f"__own_{n}") for n, (c, k, _) in values.items()))
+    whole, own = Window.partitionBy(*by).orderBy("__range"), Window.partitionBy(*keys).orderBy(*order)
+    before = lambda w, back: w.rowsBetween(1, Window.unboundedFollowing) if back else w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w, back: w.rowsBetween(0, Window.unboundedFollowing) if back else w.rowsBetween(Window.unboundedPreceding, 0)
+    edges = [pick[k][0](f"__own_{n}").over(before(whole, back)).alias(f"__off_{n}") for n, (_, k, back) in values.items()]
+    run = ranges.select("*", *(pick[k][0](c).over(upto(own, back)).alias(f"__run_{n}") for n, (c, k, back) in values.items())).join(totals.select(*keys, *edges), keys)
+    return run.select(*ranges.columns, *(pick[k][1](f"__run_{n}", f"__off_{n}").alias(n) for n, (_, k, _b) in values.items()))
+
+
+def successor(ranges: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``dealt`` by ``order``, a column that tells them apart, with ``next_<c>`` for each column: its value in the row that
+    follows, null in the last. The last row of a range looks at the first one of the next that has rows."""
+    first = ranges.groupBy("__range").agg(F.min(F.struct(*dict.fromkeys([order, *columns]))).alias("__first"))
+    after = first.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__after"))  # a row a range
+    own = Window.partitionBy("__range").orderBy(order)
+    led = ranges.withColumn("__next", F.lead(F.struct(*columns)).over(own)).join(after, "__range")
+    value = lambda c: F.when(F.col("__next").isNotNull(), F.col("__next")[c]).otherwise(F.col("__after")[c]).alias(f"next_{c}")
+    return led.select(*ranges.columns, *(value(c) for c in columns))
+
+
+def group_percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, <names>): exact percentiles with linear interpolation, null for a group without values. Values are counted, dealt by
+    ranges and numbered, so no buffer holds a group's values."""
+    names = [f"__g{i}" for i in range(len(by))]
+    own = df.select(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.to_json(F.struct(F.lit(0).alias("x"), *by)).alias("__by"), value.cast("double").alias("__value"))
+    counted = own.filter("__value is not null").groupBy("__by", "__value").agg(F.count("*").alias("__n"))
+    placed = running_by(dealt(counted, ["__by", "__value"]), ["__value"], {"n": F.col("__n")}, ["__by"])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("cum_n") > rank) & (F.col("cum_n") - F.col("__n") <= rank), F.col("__value")))
+
+    def share(q: float) -> Column:
+        place = (F.col("all_n") - 1) * F.lit(q)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    found = placed.groupBy(*(["__by"] if by else [])).agg(*(share(q).alias(n) for n, q in shares.items()))
+    if not by:
+        return found
+    head = own.groupBy("__by").agg(*(F.first(n).alias(n) for n in names))
+    joined = head.join(found, "__by", "left")
+    return joined.select(*(F.col(n).alias(c) for c, n in zip(by, names, strict=True)), *shares)

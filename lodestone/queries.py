@@ -224,7 +224,7 @@ ORACLE["chi_square"] = f"{_OBS}, c as (select l_returnflag as a, label_pred as b
 _PVALUES = "select s_suppkey as k, s_nationkey % 5 as family, ((s_suppkey * 37) % 1000 + 1) / 20000e0 as p from supplier"
 
 
-@query("adjust_pvalues", f"with x as (select *, count(*) over (partition by family) as n, row_number() over (partition by family order by p, k) as i from ({_PVALUES})) select k, family, round(p, 6) as p, round(least(1e0, p * n), 6) as bonferroni, round(least(1e0, max((n - i + 1) * p) over (partition by family order by p, k)), 6) as holm, round(least(1e0, min((n - i + 1) * p) over (partition by family order by p desc, k desc)), 6) as hochberg, round(least(1e0, min(p * n / i) over (partition by family order by p desc, k desc)), 6) as bh from x")
+@query("adjust_pvalues", f"with x as (select *, count(*) over (partition by family) as n, row_number() over (partition by family order by p, k) as i from ({_PVALUES})) select k, family, round(p, 6) as p, round(least(1e0, p * n), 6) as bonferroni, round(least(1e0, max((n - i + 1) * p) over (partition by family order by p, k)), 6) as holm, round(least(1e0, min((n - i + 1) * p) over (partition by family order by p desc, k desc)), 6) as hochberg, round(least(1e0, min(p * n / i) over (partition by family order by p desc, k desc)), 6) as bh, round(least(1e0, list_sum(list_transform(range(1, n + 1), lambda j: 1e0 / j)) * min(p * n / i) over (partition by family order by p desc, k desc)), 6) as \"by\" from x")
 def _(spark, d):  # noqa: ANN001, ANN202
     view(spark, d, "supplier")
     return statistics.adjust_pvalues(spark.sql(_PVALUES), "k", "p", ["family"])
@@ -440,7 +440,7 @@ query("embedding_similarity", f"select round(avg({_COS}), 6) as embedding_simila
 query("answer_relevance", f"select round(avg(c), 6) as answer_relevance from (select avg({_COS}) as c from ({_TWINS}) group by vec_id // 4)")(lambda s, d: groups.answer_relevance(_plain(s, _TWINS, embeddings=s.read.parquet(f"{d}/embeddings.parquet")).withColumn("a", F.expr("vec_id div 4")), "a", "x", "y"))
 query("state_tracking_accuracy", ", t as (select count(*) as n, count(*) filter (where l_returnflag = label_pred) as ok from obs group by l_orderkey) select round(avg(cast(n = ok as int) * 1e0), 6) as joint_goal_accuracy, round(sum(ok) * 1e0 / sum(n), 6) as slot_accuracy from t")(lambda s, d: groups.state_tracking(observations(s, d), "l_orderkey", "l_linenumber", "l_returnflag", "label_pred"))
 query("resource_utilization", f"select tool as series, round(max(value), 6) as peak, round(avg(value), 6) as mean, round(quantile_cont(value, 0.95), 6) as p95 from ({_CALLS}) group by 1")(lambda s, d: groups.resource_utilization(_calls(s, d), "tool", "value"))
-query("judge_agreement", "select round(corr(l_quantity, l_linenumber), 6) as pearson, round(avg(cast(l_quantity = l_linenumber as int) * 1e0), 6) as raw_agreement, count(*) as n from lineitem")(lambda s, d: groups.judge_agreement(observations(s, d), "l_quantity", "l_linenumber"))
+query("judge_agreement", "with j as (select l_quantity as x, l_linenumber as y, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2e0 as rx, rank() over (order by l_linenumber) + (count(*) over (partition by l_linenumber) - 1) / 2e0 as ry from lineitem), c as (select sum(a.n * b.n) * 1e0 / power((select count(*) from j), 2) as c from (select x, count(*) as n from j group by x) a join (select y, count(*) as n from j group by y) b on a.x = b.y), t as (select corr(x, y) as pearson, corr(rx, ry) as spearman, avg(cast(x = y as int) * 1e0) as o, 1 - avg(power(x - y, 2)) / (avg(x * x) + avg(y * y) - 2 * avg(x) * avg(y)) as quadratic, count(*) as n from j) select round(pearson, 6) as pearson, round(spearman, 6) as spearman, round(o, 6) as raw_agreement, round((o - c) / (1 - c), 6) as cohen_kappa, round(quadratic, 6) as quadratic_kappa, n from t, c")(lambda s, d: groups.judge_agreement(observations(s, d), "l_quantity", "l_linenumber"))
 query("tool_selection_accuracy", f"with e as (select task, tool, count(*) as e, count(*) filter (where o % 5 <> 0) as p from ({_CALLS}) group by 1, 2), t as (select min(cast(e = p as int)) as ok from e group by task) select round(avg(ok * 1e0), 6) as tool_selection_accuracy from t")(lambda s, d: groups.tool_selection(_calls(s, d), _calls(s, d).filter("o % 5 <> 0"), "task", "tool"))
 query("tool_argument_accuracy", f"with e as (select task, tool, args, count(*) as e, count(*) filter (where o % 5 <> 0) as p from ({_CALLS}) group by 1, 2, 3) select round(sum(least(e, p)) * 1e0 / sum(e), 6) as tool_argument_accuracy from e")(lambda s, d: groups.tool_arguments(_calls(s, d), _calls(s, d).filter("o % 5 <> 0"), "task", "tool", "args"))
 query("plan_adherence")(lambda s, d: agents.plan_adherence(_calls(s, d).groupBy("task").agg(*(F.expr(f"transform(sort_array(collect_list(case when {c} then struct(o, tool) end)), x -> x.tool)").alias(k) for k, c in (("plan", "true"), ("done", "o % 5 <> 0")))), "plan", "done"))
@@ -451,7 +451,7 @@ query("paired_bootstrap")(lambda s, d: _one(s, exact_tests.paired_bootstrap(obse
 _SHARES = {"sensitivity": ("tp", "tp + fn"), "specificity": ("tn", "tn + fp"), "ppv": ("tp", "tp + fp"), "npv": ("tn", "tn + fn"), "accuracy": ("tp + tn", "tp + fp + fn + tn"), "prevalence": ("tp + fn", "tp + fp + fn + tn")}
 _WILSON = "select metric, round(k / n, 6) as value, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as low, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as high from sh"
 query("diagnostic_report")(lambda s, d: classification.diagnostic_report(observations(s, d), "t", "p"))
-ORACLE["diagnostic_report"] = f"{_OBS}, c as (select cast(sum(t * p) as double) as tp, cast(sum((1 - t) * p) as double) as fp, cast(sum(t * (1 - p)) as double) as fn, cast(sum((1 - t) * (1 - p)) as double) as tn from obs), sh as ({' union all '.join(f'select {chr(39)}{m}{chr(39)} as metric, {k} as k, {n} as n, 1.959963984540054e0 as z from c' for m, (k, n) in _SHARES.items())}) {_WILSON} union all select 'lr_positive', round(tp * (fp + tn) / (fp * (tp + fn)), 6), null, null from c union all select 'lr_negative', round(fn * (fp + tn) / (tn * (tp + fn)), 6), null, null from c union all select 'diagnostic_odds_ratio', round(tp * tn / (fp * fn), 6), null, null from c union all select 'youden_j', round(tp / (tp + fn) + tn / (tn + fp) - 1, 6), null, null from c"
+ORACLE["diagnostic_report"] = f"{_OBS}, c as (select cast(sum(t * p) as double) as tp, cast(sum((1 - t) * p) as double) as fp, cast(sum(t * (1 - p)) as double) as fn, cast(sum((1 - t) * (1 - p)) as double) as tn from obs), sh as ({' union all '.join(f'select {chr(39)}{m}{chr(39)} as metric, {k} as k, {n} as n, 1.959963984540054e0 as z from c' for m, (k, n) in _SHARES.items())}) {_WILSON} union all select 'lr_positive', round(tp * (fp + tn) / (fp * (tp + fn)), 6), round(exp(ln(tp * (fp + tn) / (fp * (tp + fn))) - 1.959963984540054e0 * sqrt(1 / tp - 1 / (tp + fn) + 1 / fp - 1 / (fp + tn))), 6), round(exp(ln(tp * (fp + tn) / (fp * (tp + fn))) + 1.959963984540054e0 * sqrt(1 / tp - 1 / (tp + fn) + 1 / fp - 1 / (fp + tn))), 6) from c union all select 'lr_negative', round(fn * (fp + tn) / (tn * (tp + fn)), 6), round(exp(ln(fn * (fp + tn) / (tn * (tp + fn))) - 1.959963984540054e0 * sqrt(1 / fn - 1 / (tp + fn) + 1 / tn - 1 / (fp + tn))), 6), round(exp(ln(fn * (fp + tn) / (tn * (tp + fn))) + 1.959963984540054e0 * sqrt(1 / fn - 1 / (tp + fn) + 1 / tn - 1 / (fp + tn))), 6) from c union all select 'diagnostic_odds_ratio', round(tp * tn / (fp * fn), 6), round(exp(ln(tp * tn / (fp * fn)) - 1.959963984540054e0 * sqrt(1 / tp + 1 / fp + 1 / fn + 1 / tn)), 6), round(exp(ln(tp * tn / (fp * fn)) + 1.959963984540054e0 * sqrt(1 / tp + 1 / fp + 1 / fn + 1 / tn)), 6) from c union all select 'youden_j', round(tp / (tp + fn) + tn / (tn + fp) - 1, 6), null, null from c"
 query("calibration_report")(lambda s, d: classification.calibration_report(_keyed(s, d), "t", "prob", "row_id"))
 ORACLE["calibration_report"] = f"{_OBS}, {_BINS}, hl as (select sum(power(o - e, 2) / (e * (1 - e / m))) as x, count(*) - 2 as df from (select g, sum(t) as o, sum(prob) as e, count(*) as m from (select t, prob, ntile(10) over (order by prob, {_BY_KEY}) as g from obs) group by g)) select round(sum(w * abs(observed - predicted)) / sum(w), 6) as expected_calibration_error, round(max(abs(observed - predicted)), 6) as maximum_calibration_error, (select round(avg((prob - t) * (prob - t)), 6) from obs) as brier_score, (select round(avg(prob), 6) from obs) as mean_score, (select round(avg(t * 1e0), 6) from obs) as prevalence, (select round(x, 6) from hl) as hosmer_lemeshow, (select df from hl) as df from bi"
 query("mean_average_precision")(lambda s, d: vision.mean_average_precision(*_boxes(s, d)))
