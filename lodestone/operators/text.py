@@ -316,24 +316,24 @@ def rouge_lsum(reference: str, prediction: str) -> list[float]:
 
 
 def _lcs_places(a: Sequence[str], b: Sequence[str]) -> list[int]:
-    """Places of ``a`` in one longest common subsequence with ``b``."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    words = np.array(b, dtype=object)
-    for i, x in enumerate(a):  # a row: the best of above, and of the diagonal where words are equal, made rising
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(words == x, table[i, :-1] + 1, 0)))
+    """Places of ``a`` in one longest common subsequence with ``b``. The lengths for each beginning of ``a`` are one integer, whose
+    zero bits are where they grow along ``b``: a bit for each pair of words."""
+    known, full = _places(b), (1 << len(b)) - 1
+    rows = [full]
+    for x in a:
+        hit = rows[-1] & known.get(x, 0)
+        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     out, i, j = [], len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif table[i, j - 1] > table[i - 1, j]:
+        elif length(i, j - 1) > length(i - 1, j):
             j -= 1
         else:
             i -= 1
-    return out[::-1]
-
-
-_NUMERAL = r"-?[$]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)"
+    return out
 
 
 def extract_answer(column: Column, style: str = "number") -> Column:

@@ -445,7 +445,8 @@ query("tool_selection_accuracy", f"with e as (select task, tool, count(*) as e,
 query("tool_argument_accuracy", f"with e as (select task, tool, args, count(*) as e, count(*) filter (where o % 5 <> 0) as p from ({_CALLS}) group by 1, 2, 3) select round(sum(least(e, p)) * 1e0 / sum(e), 6) as tool_argument_accuracy from e")(lambda s, d: groups.tool_arguments(_calls(s, d), _calls(s, d).filter("o % 5 <> 0"), "task", "tool", "args"))
 query("plan_adherence")(lambda s, d: agents.plan_adherence(_calls(s, d).groupBy("task").agg(*(F.expr(f"transform(sort_array(collect_list(case when {c} then struct(o, tool) end)), x -> x.tool)").alias(k) for k, c in (("plan", "true"), ("done", "o % 5 <> 0")))), "plan", "done"))
 query("benchmark_accuracy", "select round(avg(cast(l_partkey % 10 > 0 and l_suppkey % 5 = l_linenumber % 5 as int) * 1e0), 6) as accuracy, count(*) filter (where l_partkey % 10 = 0) as no_answer from lineitem")(lambda s, d: text.benchmark_accuracy(observations(s, d).selectExpr("cast(l_linenumber % 5 as string) as gold", "case when l_partkey % 10 = 0 then 'no idea' when l_partkey % 10 < 5 then concat('first $', l_partkey, ' then ', l_suppkey % 5, '.0 in all') else concat(l_partkey, ' so #### ', l_suppkey % 5, ' of 7') end as output"), "gold", "output"))
-query("rouge_lsum")(lambda s, d: text.scored(_pairs(s, d), text.rouge_lsum, ["precision", "recall", "f1"]).select("doc_id", "precision", "recall", "f1"))
+_LINES = "array_join(transform(sequence(0, size(split({c}, ' ')) - 1, 40), i -> array_join(slice(split({c}, ' '), i + 1, 40), ' ')), '\n') as {c}"
+query("rouge_lsum")(lambda s, d: text.scored(_pairs(s, d).selectExpr("doc_id", _LINES.format(c="reference"), _LINES.format(c="prediction")), text.rouge_lsum, ["precision", "recall", "f1"]).select("doc_id", "precision", "recall", "f1"))
 query("accuracy_ci", ", c as (select cast(sum(cast(t = p as int)) as double) as k, cast(count(*) as double) as n from obs), z as (select k, n, k / n as q, 1.959963984540054e0 as z from c) select round(q, 6) as accuracy, round((q + z * z / (2 * n) - z * sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as low, round((q + z * z / (2 * n) + z * sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as high, cast(n as bigint) as n from z")(lambda s, d: exact_tests.accuracy_interval(observations(s, d), "t", "p"))
 query("paired_bootstrap")(lambda s, d: _one(s, exact_tests.paired_bootstrap(observations(s, d), "t", "p", "succeeded")))
 _SHARES = {"sensitivity": ("tp", "tp + fn"), "specificity": ("tn", "tn + fp"), "ppv": ("tp", "tp + fp"), "npv": ("tn", "tn + fn"), "accuracy": ("tp + tn", "tp + fp + fn + tn"), "prevalence": ("tp + fn", "tp + fp + fn + tn")}

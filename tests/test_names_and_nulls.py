@@ -34,3 +34,25 @@ def test_votes_with_any_name(spark):
     df = spark.createDataFrame([(1, "a", 0, "a"), (1, "b", 1, "a"), (1, "a", 2, "a")], "c long, p string, i long, r string")
     assert judges.majority_vote(df, "c", "p", "i", "r").first()[0] == 1.0
     assert judges.sample_agreement(df, "c", "p").first()["modal_share"] == pytest.approx(2 / 3)
+
+
+def test_subsequences_equal_the_whole_table():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        got = text._lcs_places(a, b)
+        assert len(got) == best[-1][-1] and got == sorted(got, reverse=True)
+        rest = iter(b)
+        assert all(any(a[i] == y for y in rest) for i in reversed(got))
+
+
+def test_summaries_of_lines_take_the_union():
+    """Each reference line gathers what any predicted line has of it."""
+    got = text.rouge_lsum("w1 w2 w3 w4 w5\nx y", "w1 w2 w6 w7 w8\nw1 w3 w8 w9 w5")
+    assert got[1] == pytest.approx(4 / 7) and got[0] == pytest.approx(4 / 10)
