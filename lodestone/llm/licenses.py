@@ -27,6 +27,7 @@ TEMPLATES = {
     "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "unlicense-text": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
     "bsd-2-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
@@ -119,9 +120,28 @@ def _candidates(shingles: np.ndarray, whole: np.ndarray, t: Templates) -> set[tu
     return found
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float = SHARE) -> DataFrame:
+def _told_apart(hits: list[tuple[int, float, int, int]], t: Templates, share: float) -> list[tuple[int, float, int, int]]:
+    """The hits (template, containment, begin, end) of a document that no other one explains. A hit is explained by one over half of
+    its words: if both lie over half of each other, by the fuller one, then the longer; else by one whose template has its wording."""
+    out = []
+    for i, c, a, b in hits:
+        for j, d, x, y in hits:
+            shared = min(b, y) - max(a, x)
+            if j == i or 2 * shared < b - a:
+                continue
+            alike = 2 * shared >= y - x
+            larger = not alike and len(np.intersect1d(t.sets[i], t.sets[j])) >= share * len(t.sets[i])
+            if larger or alike and (d, len(t.sets[j]), -j) > (c, len(t.sets[i]), -i):
+                break
+        else:
+            out.append((i, c, a, b))
+    return out
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float = SHARE, *, overlapping: bool = True) -> DataFrame:
     """(doc_id, template, containment, first_word, n_words) of each template of which a window of a document's text holds at
-    least ``share`` of the shingles; of several windows the fullest, then the first.
+    least ``share`` of the shingles; of several windows the fullest, then the first. Without ``overlapping``, of templates that were found in
+    the same place only the best is told: the text of one licence that holds most of another's names one.
 
     Takes columns ``doc_id`` and ``text``; others are not read. Words are runs without white space, lower-cased, of letters,
     digits and non-ASCII characters. A null or empty text, or one of fewer words than a shingle, has no licence; a null
@@ -152,14 +172,19 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share:
                 whole = doc[: len(shingles)] == doc[SHINGLE - 1 :] if len(shingles) else np.zeros(0, dtype=bool)
                 ids = some.column(0).to_pylist()
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
+                hits_of: dict[int, list[tuple[int, float, int, int]]] = {}
                 for i, a, b in sorted(_candidates(shingles, whole, t)):
                     inside = np.flatnonzero(np.isin(shingles[a:b], t.sets[i]) & whole[a:b]) + a
                     for d in np.unique(doc[inside]).tolist():
                         hits = inside[doc[inside] == d]
                         c = len(np.unique(shingles[hits])) / len(t.sets[i])
-                        if c >= share and ((d, i) not in best or c > best[d, i][0]):
+                        if c >= share:
                             begin, end = real[hits[0]], real[hits[-1] + SHINGLE - 1]
-                            best[d, i] = (c, int(begin - w.first[d]), int(end - begin) + 1)
+                            hits_of.setdefault(d, []).append((i, c, int(begin - w.first[d]), int(end - w.first[d]) + 1))
+                for d, hits in hits_of.items():
+                    for i, c, a, b in hits if overlapping else _told_apart(hits, t, share):
+                        if (d, i) not in best or c > best[d, i][0]:
+                            best[d, i] = (c, a, b - a)
                 out = [(ids[d], t.names[i], *best[d, i]) for d, i in sorted(best)]
                 if out:
                     kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())

@@ -100,7 +100,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir))
+    return scan_licenses(documents(spark, sf_dir), overlapping=False)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
