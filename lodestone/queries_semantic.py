@@ -81,4 +81,6 @@ _SIDES3 = "select image, 1 as c, 0 as r, 0 as m from c union all select image, 0
 _LEFT = f"lc as (select image, {_KEYED.format(x='t')} as k, count(*) as n from c anti join x on x.image = c.image and x.t = c.t group by 1, 2), lr as (select image, {_KEYED.format(x='t')} as k, count(*) as n from r anti join x on x.image = r.image and x.t = r.t group by 1, 2)"
 query("spice_scores", f"with {_SCENES} {_SPICE.format(rows=_SIDES3)}")(lambda s, d: spice.spice_scores(*_scene_tuples(s, d)))
 query("spice_synonyms", f"with {_SCENES}, {_LEFT} {_SPICE.format(rows=_SIDES3 + ' union all select lc.image, 0, 0, least(lc.n, lr.n) from lc join lr on lr.image = lc.image and lr.k = lc.k')}")(_spelled)
-query("spice")(lambda s, d: spice.spice(*_scene_tuples(s, d)))
+_MEANS = "z as ({scores}), n as (select image, {u} as n, c, r, m from ({rows})), f as (select n, 2e0 * sum(m) / (sum(c) + sum(r)) as f from n group by n)"
+_SIZED = "select image, len(t) as size, 1 as c, 0 as r, 0 as m from c union all select image, len(t), 0, 1, 0 from r union all select image, len(t), 0, 0, 1 from x"
+query("spice", f"with {_SCENES}, {_MEANS.format(scores=_SPICE.format(rows=_SIDES3), u='size', rows=_SIZED)} select round(avg(spice), 6) as spice, round(avg(coalesce(\"precision\", 0)), 6) as \"precision\", round(avg(coalesce(recall, 0)), 6) as recall, (select round(f, 6) from f where n = 1) as object, (select round(f, 6) from f where n = 2) as attribute, (select round(f, 6) from f where n = 3) as relation from z")(lambda s, d: spice.spice(*_scene_tuples(s, d)))
