@@ -144,6 +144,15 @@ def _crc32(digits: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op3_near_duplicates": r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from docs),
+each as (select doc_id, unnest(s) as g from sets),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from each a join each b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from pairs join sets p on p.doc_id = x join sets q on q.doc_id = y where 100 * c >= 80 * (len(p.s) + len(q.s) - c)),
+reach as (select doc_id as x, doc_id as y from sets union select r.x, l.y from reach r join links l on l.x = r.y),
+least as (select x, min(y) as m from reach group by x)
+select doc_id, len(s) as n_shingles, m as component_id, doc_id = m as kept from sets join least on x = doc_id""",
     "op11_merkle": f"""
 with recursive marked as (
   select row_number() over () as r, *, {_crc32("doc_id::varchar")} % 7 = 0 as hit from documents),
