@@ -72,16 +72,25 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         i = k + len(stop)
 
 
-def root_paths(nodes: DataFrame, *, best: int | None = None) -> DataFrame:
+def single_nodes(nodes: DataFrame) -> DataFrame:
+    """One row for each tree and node: of several the one of greatest score (null: 0), then of greatest parent, role and text, of the
+    columns that there are."""
+    others = [c for c in ("parent", "role", "text") if c in nodes.columns]
+    first = F.max(F.struct(F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), *others)).alias("one")
+    return nodes.groupBy("tree", "node").agg(first).select("tree", "node", "one.*")
+
+
+def root_paths(nodes: DataFrame, *, best: int | None = None, unique: bool = False) -> DataFrame:
     """Every node of every root-to-leaf path of reply trees: (tree, leaf, place, node), place 0 at the root.
 
-    Takes ``tree``, ``node`` (unique in its tree), ``parent`` (null at a root; a parent that is missing makes a root) and
-    ``score`` (null: 0). Paths grow by self-joins: round k extends each path by its nodes' ancestors at distance 2^k, so
+    Takes ``tree``, ``node``, ``parent`` (null at a root; a parent that is missing makes a root) and ``score`` (null: 0). Of rows of
+    one node one counts (``single_nodes``), unless the caller knows that nodes are ``unique``. Paths grow by self-joins: round k extends each path by its nodes' ancestors at distance 2^k, so
     their number is the logarithm of the longest path, and only ids move. ``best``: keep that many paths of each tree, by
     the mean score of their nodes (ties: smaller leaf); None keeps all. A cycle has no leaf of its own and gives no path;
     rows with a null tree or node are left out; an empty table gives no rows. A node whose ancestors lead into a cycle gives
     no path either: no path has more nodes than its tree.
     """
+    nodes = nodes if unique else single_nodes(nodes.select("tree", "node", "parent", "score"))
     known = nodes.filter("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     parents = known.select("tree", F.col("node").alias("parent")).distinct()
     up = known.filter("parent is not null").select("tree", "node", "parent").join(parents, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
@@ -134,14 +143,15 @@ def _best_leaves(leaves: DataFrame, jumps: list[DataFrame], known: DataFrame, be
     return leaves.join(rivals.select("tree").distinct(), "tree", "left_anti").select("tree", "node").unionByName(chosen)
 
 
-def format_paths(messages: DataFrame, *, best: int | None = 1) -> DataFrame:
+def format_paths(messages: DataFrame, *, best: int | None = 1, unique: bool = False) -> DataFrame:
     """(tree, leaf, n_turns, formatted, spans) of each chosen root-to-leaf path of ``messages``.
 
     Takes ``tree``, ``node``, ``parent``, ``score``, ``role`` and ``text``; others are not read. ``spans``: (begin, end) in
     code points of ``formatted`` under the loss mask, the assistant's texts. A null text is empty and a null role ``user``. Rows
-    are sorted by path and read as a stream, so a task holds one conversation at a time.
+    are sorted by path and read as a stream, so a task holds one conversation at a time. ``unique``: as in ``root_paths``.
     """
-    paths = root_paths(messages, best=best)
+    messages = messages if unique else written(single_nodes(messages), "chat-nodes")
+    paths = root_paths(messages, best=best, unique=True)
     said = messages.select("tree", "node", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = paths.join(said, ["tree", "node"]).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place").select("tree", "leaf", "role", "text")
 
