@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.special import chi2_sf
 from lodestone.plans.durable import written
 from lodestone.plans.patterns import binned, cube, one_vs_rest, ratio, reached, thresholds, wilson
 
@@ -118,28 +119,26 @@ def calibration_errors(df: DataFrame, truth: str, score: str, *, bins: int = 10,
 
 
 def calibration_line(df: DataFrame, truth: str, score: str, *, offset: bool = False, tolerance: float = 1e-12, rounds: int = 100) -> tuple[float, float]:
-    """(intercept, slope) of logit P(y) = a + b logit(score) by Newton steps, each one aggregate of five sums over a cached
-    projection; ``offset``: b is held at 1."""
+    """(intercept, slope) of logit P(y) = a + b logit(score) by Newton steps, each one aggregate of five sums over the written
+    counts of distinct scores; ``offset``: b is held at 1."""
     x = F.least(F.greatest(F.col(score).cast("double"), F.lit(1e-15)), F.lit(1 - 1e-15))
-    data = df.select(F.col(truth).cast("double").alias("y"), F.log(x / (1 - x)).alias("x")).groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("n")).cache()
+    counted = df.select(F.col(truth).cast("double").alias("y"), F.log(x / (1 - x)).alias("x")).groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    data = written(counted, "scores")
     a, b = 0.0, 1.0 if offset else 0.0
-    try:
-        for _ in range(rounds):
-            p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-            v = F.col("n") * p * (1 - p)
-            g0, g1, h00, h01, h11 = data.agg(F.sum(F.col("y") - F.col("n") * p), F.sum((F.col("y") - F.col("n") * p) * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") * F.col("x"))).first()
-            if offset:
-                da, db = g0 / h00, 0.0
-            else:
-                det = h00 * h11 - h01 * h01
-                if det == 0:
-                    raise ValueError("the fit is singular")
-                da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-            a, b = a + da, b + db
-            if max(abs(da), abs(db)) < tolerance:
-                return a, b
-    finally:
-        data.unpersist()
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
+        v = F.col("n") * p * (1 - p)
+        g0, g1, h00, h01, h11 = data.agg(F.sum(F.col("y") - F.col("n") * p), F.sum((F.col("y") - F.col("n") * p) * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") * F.col("x"))).first()
+        if offset:
+            da, db = g0 / h00, 0.0
+        else:
+            det = h00 * h11 - h01 * h01
+            if det == 0:
+                raise ValueError("the fit is singular")
+            da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        a, b = a + da, b + db
+        if max(abs(da), abs(db)) < tolerance:
+            return a, b
     raise ValueError("the fit does not converge")
 
 
@@ -205,8 +204,15 @@ def diagnostic_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return c.select(F.array(*rows).alias("rows")).select(F.inline("rows")).select("metric", "value", bound("low", -1), bound("high", 1))
 
 
-def calibration_report(df: DataFrame, truth: str, score: str, row_id: str, *, bins: int = 10) -> DataFrame:
-    """(expected_calibration_error, maximum_calibration_error, brier_score, mean_score, prevalence, hosmer_lemeshow, df) as one row."""
+def calibration_report(df: DataFrame, truth: str, score: str, row_id: str, *, bins: int = 10, fit: bool = False) -> DataFrame:
+    """(expected_calibration_error, maximum_calibration_error, brier_score, mean_score, prevalence, hosmer_lemeshow, df) as one row; with
+    ``fit`` also (slope, intercept, intercept_at_slope_one, hosmer_lemeshow_p) of the fitted logistic line and the test."""
     y, p = F.col(truth).cast("double"), F.col(score).cast("double")
     plain = df.agg(F.avg((p - y) * (p - y)).alias("brier_score"), F.avg(p).alias("mean_score"), F.avg(y).alias("prevalence"))
-    return calibration_errors(df, truth, score, bins=bins).crossJoin(plain).crossJoin(hosmer_lemeshow(df, truth, score, row_id).withColumnRenamed("statistic", "hosmer_lemeshow"))
+    told = calibration_errors(df, truth, score, bins=bins).crossJoin(plain).crossJoin(hosmer_lemeshow(df, truth, score, row_id).withColumnRenamed("statistic", "hosmer_lemeshow"))
+    if not fit:
+        return told
+    intercept, slope = calibration_line(df, truth, score)
+    tail = F.udf(lambda x, k: None if x is None or k is None or k <= 0 else chi2_sf(x, k), "double")  # one row
+    numbers = {"slope": slope, "intercept": intercept, "intercept_at_slope_one": calibration_line(df, truth, score, offset=True)[0]}
+    return told.withColumns({n: F.lit(v) for n, v in numbers.items()} | {"hosmer_lemeshow_p": tail("hosmer_lemeshow", "df")})

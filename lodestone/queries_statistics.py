@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.operators import multiclass, resampling, statistics
-from lodestone.queries import _PVALUES, observations, query, view
+from lodestone.operators import classification, multiclass, resampling, statistics
+from lodestone.queries import _keyed, _PVALUES, observations, query, view
 
 #: Columns that tell line items apart.
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -41,3 +41,6 @@ query("multiclass_scores", f"{_WITH}, {_PAIRS2}, {_AREA.format(n='ov', g='c, o',
 def _(spark, d):  # noqa: ANN001, ANN202
     view(spark, d, "supplier")
     return statistics.adjust_pvalues(spark.sql(_PVALUES).drop("family"), "k", "p")
+
+
+query("calibration_report_fit")(lambda s, d: classification.calibration_report(_keyed(s, d), "t", "prob", "row_id", fit=True))

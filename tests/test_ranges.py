@@ -134,3 +134,16 @@ def test_intervals_of_ratios(spark):
     assert (got["lr_positive"]["low"], got["lr_positive"]["high"]) == (pytest.approx(8 * np.exp(-1.959963984540054 * sd)), pytest.approx(8 * np.exp(1.959963984540054 * sd)))
     none = {r["metric"]: r for r in classification.diagnostic_report(df.filter("p = 1"), "t", "p").collect()}
     assert none["diagnostic_odds_ratio"]["low"] is None and none["sensitivity"]["value"] == 1.0
+
+
+def test_calibration_report_with_fit(spark):
+    rng = random.Random(1)
+    made = [(i, int(rng.random() < 0.2 + 0.5 * (k := rng.randint(1, 19) / 20)), k) for i in range(600)]
+    df = spark.createDataFrame(made, "id long, t int, s double")
+    got = classification.calibration_report(df, "t", "s", "id", fit=True).first()
+    assert (got["intercept"], got["slope"]) == pytest.approx(classification.calibration_line(df, "t", "s"))
+    x, y = (np.array(v, dtype=float) for v in ([np.log(r[2] / (1 - r[2])) for r in made], [r[1] for r in made]))
+    rest = y - 1 / (1 + np.exp(-(got["intercept"] + got["slope"] * x)))
+    assert abs(rest.sum()) < 1e-6 and abs((rest * x).sum()) < 1e-6  # the fit's own equations
+    assert abs((y - 1 / (1 + np.exp(-(got["intercept_at_slope_one"] + x)))).sum()) < 1e-6
+    assert 0 <= got["hosmer_lemeshow_p"] <= 1
