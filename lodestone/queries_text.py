@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.operators import self_bleu
-from lodestone.queries import _PAIRS_DUCK, ORACLE
+from pyspark.sql import functions as F
+
+from lodestone.operators import self_bleu, structured
+from lodestone.queries import _OUTPUTS, _PAIRS_DUCK, ORACLE, _outputs, query
 
 
 def _ruled(text: str) -> str:
@@ -30,3 +32,9 @@ ORACLE["bleu"] = f"{_BLEU}, all_ as (select 0 as k, n, sum(l) as l, sum(o) as o,
 
 _LOWER = "list_transform({x}, lambda v: lower(v))"
 ORACLE["cider"] = f"with {_PAIRS_DUCK}, w as (select doc_id as k, {_LOWER.format(x='r')} as r, {_LOWER.format(x='p')} as p from pr), {_COUNTS}, d as (select n, g, ln((select count(*) from w)) - ln(count(*)) as idf from c where r > 0 group by n, g), v as (select c.k, c.n, c.r * coalesce(d.idf, ln((select count(*) from w))) as wr, c.p * coalesce(d.idf, ln((select count(*) from w))) as wp from c left join d on d.n = c.n and d.g = c.g), s as (select k, n, sum(least(wp, wr) * wr) as dot, sqrt(sum(wr * wr) * sum(wp * wp)) as norm from v group by k, n), e as (select k, sum(case when norm > 0 then dot / norm else 0 end) as s from s group by k) select w.k as doc_id, round(10 * s / 4 * exp(-power(len(w.p) - len(w.r), 2) / 72e0), 6) as cider from w join e using (k)"
+
+_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 79, "multipleOf": 3}}, "additionalProperties": False}
+_K = "cast(json_extract_string(output, '$.k') as bigint)"
+query("json_schema_fields", f"select round(avg(cast(case when json_valid(output) then {_K} between 10 and 79 and {_K} % 3 = 0 else false end as int) * 1e0), 6) as json_schema_compliance from ({_OUTPUTS})")(lambda s, d: _outputs(s, d).agg(F.avg(structured.schema_error(F.col("output"), _SCHEMA).isNull().cast("double")).alias("json_schema_compliance")))
+# every output is a JSON object, or one without its last brace, in which no object or array is whole
+ORACLE["extra_content_rate"] = f"select round(avg(cast(not json_valid(output) and regexp_matches(output, '\\{{[^{{}}]*\\}}|\\[[^\\[\\]]*\\]') as int) * 1e0), 6) as extra_content_rate from ({_OUTPUTS})"
