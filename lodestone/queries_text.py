@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import self_bleu, structured
+from lodestone.operators import perturb, self_bleu, structured
+from lodestone.plans.patterns import spread
 from lodestone.queries import _OUTPUTS, _PAIRS_DUCK, ORACLE, _outputs, query
 
 
@@ -38,3 +39,7 @@ _K = "cast(json_extract_string(output, '$.k') as bigint)"
 query("json_schema_fields", f"select round(avg(cast(case when json_valid(output) then {_K} between 10 and 79 and {_K} % 3 = 0 else false end as int) * 1e0), 6) as json_schema_compliance from ({_OUTPUTS})")(lambda s, d: _outputs(s, d).agg(F.avg(structured.schema_error(F.col("output"), _SCHEMA).isNull().cast("double")).alias("json_schema_compliance")))
 # every output is a JSON object, or one without its last brace, in which no object or array is whole
 ORACLE["extra_content_rate"] = f"select round(avg(cast(not json_valid(output) and regexp_matches(output, '\\{{[^{{}}]*\\}}|\\[[^\\[\\]]*\\]') as int) * 1e0), 6) as extra_content_rate from ({_OUTPUTS})"
+
+
+_CHARS = "d as (select doc_id, text, i, substring(text, i + 1, 1) as c, md5('7:' || doc_id || ':' || i) as h from (select doc_id, text, unnest(range(length(text))) as i from documents where text is not null)), o as (select doc_id, i, c, case when regexp_matches(c, '^\\p{L}$') and ('0x' || substr(h, 1, 8))::bigint < 214748364 then ('0x' || substr(h, 9, 8))::bigint % 4 else 4 end as op, chr((97 + ('0x' || substr(h, 17, 8))::bigint % 26)::int) as n from d), a as (select *, lead(c) over w as nc, coalesce(lag(op) over w, 4) as p, coalesce(lag(op, 2) over w, 4) as q from o window w as (partition by doc_id order by i)), e as (select doc_id, i, case when p = 0 and q <> 0 then '' when op = 0 and p <> 0 and nc is not null then nc || c when op = 1 then '' when op = 2 then c || n when op = 3 then n else c end as t from a)"
+query("add_typos", f"with {_CHARS} select d.doc_id, case when d.text is not null then md5(coalesce(string_agg(e.t, '' order by e.i), '')) end as noisy_md5 from documents d left join e on e.doc_id = d.doc_id group by d.doc_id, d.text")(lambda s, d: spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", F.md5(perturb.typos(F.col("text"), F.col("doc_id"), seed=7)).alias("noisy_md5")))
