@@ -333,7 +333,7 @@ def _lcs_places(a: Sequence[str], b: Sequence[str]) -> list[int]:
             j -= 1
         else:
             i -= 1
-    return out
+    return out[::-1]
 
 
 _NUMERAL = r"-?[$]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)"
