@@ -174,3 +174,19 @@ def test_entry_imports_without_the_training_data_operators():
     import __spark_entry__ as entry
 
     assert "classification_report" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("run", [7, 40, 1000])
+def test_elo_runs_equal_one_stream(spark, run):
+    snap = 1.5 * 2.0**20
+    games = [(None if k == 5 else k * 37 % 300, ("l", "m")[k % 3 == 0], "abcde"[k % 5], "abcde"[(k // 5 + k + 1) % 5], (k * 7 % 5) / 4) for k in range(300)]
+    want: dict = {}
+    for _, league, x, y, w in sorted(games, key=lambda g: (g[0] is None, g[0] or 0)):
+        rx, ry = want.get((league, x), 1000.0), want.get((league, y), 1000.0)
+        gain = 4.0 * (w - 1 / (1 + 10 ** ((ry - rx) / 400))) + snap - snap
+        want[league, x] = rx + gain
+        want[league, y] = ry - gain
+    df = spark.createDataFrame(games, "o int, league string, a string, b string, w double").repartition(3)
+    got = judges.elo(df, "o", "a", "b", "w", league="league", run=run).collect()
+    assert {(r["league"], r["system"]): r["rating"] for r in got} == want
+    assert judges.elo(df.limit(0), "o", "a", "b", "w", run=run).isEmpty()
