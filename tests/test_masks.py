@@ -65,3 +65,10 @@ def test_odd_masks_are_refused(spark, tmp_path):
     np.save(tmp_path / "float.npy", np.zeros((2, 2)))
     with pytest.raises(Exception, match="two or three dimensions"):
         read_masks(spark, str(tmp_path)).collect()
+
+
+def test_boundary_iou_sends_no_pixels_to_all_tasks(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "images"))
+    px = spark.read.parquet(str(tmp_path / "images")).selectExpr("id as image", "explode(sequence(0, 9)) as y").selectExpr("image", "y", "explode(sequence(0, 9)) as x", "cast(image % 2 as int) as t", "1 as p")
+    plan = vision.boundary_iou(px)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan  # a small file holds many pixels: they were broadcast
