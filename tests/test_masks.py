@@ -72,3 +72,12 @@ def test_boundary_iou_sends_no_pixels_to_all_tasks(spark, tmp_path):
     px = spark.read.parquet(str(tmp_path / "images")).selectExpr("id as image", "explode(sequence(0, 9)) as y").selectExpr("image", "y", "explode(sequence(0, 9)) as x", "cast(image % 2 as int) as t", "1 as p")
     plan = vision.boundary_iou(px)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "BroadcastExchange" not in plan  # a small file holds many pixels: they were broadcast
+
+
+def test_segmentation_report_sends_no_pixels_to_all_tasks(spark, tmp_path):
+    spark.range(6).write.parquet(str(tmp_path / "images"))
+    px = spark.read.parquet(str(tmp_path / "images")).selectExpr("id as image", "explode(sequence(0, 9)) as y").selectExpr("image", "y", "explode(sequence(0, 9)) as x", "cast(image % 3 as int) as t", "1 as p")
+    report = vision.segmentation_report(px)
+    # The one join by which all pixels could be sent was that on the image.
+    assert "[image" not in "".join(line for line in report._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert {r["label"]: (r["iou"], r["support"]) for r in report.collect()} == {1: (pytest.approx(2 / 6), 200.0), 2: (0.0, 200.0)}
