@@ -1,79 +1,147 @@
-"""SPICE: the F-score of matched tuples of a caption's scene graph and its references', one to one, by rounds of joins.
-
-Equal tuples match first. The rest match if all their words do: as equals, or by a key that both have. Each candidate, in the order
-of tuples, has the first reference that is still free. Rounds find that without a sequence: each candidate asks its first
-reference that has not refused it, and each reference keeps the first candidate that ever asked and refuses the others.
+"""SPICE: the F-score of matched tuples of a caption's scene graph and its references', one to one.
+
+A scene is a row with the tuples of both sides, so equal ones are met inside the row and no tuple is shuffled. The rest match if all
+their words do: as equals, or by a key that both have. Only words that share a key with another word can add to what is equal, so
+only tuples with such a word go on, named by a key for each place. Where every tuple of an image has one name, each name matches
+as many as the smaller side has. Elsewhere each candidate, in the order of tuples, has the first reference that is still free; rounds
+of joins find that: each candidate asks its first reference that has not refused it, and each reference keeps the first candidate
+that ever asked and refuses the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.durable import written
+from lodestone.plans.patterns import once
+
+#: Between words of a tuple's name; U+0001 inside a word becomes ``_ESCAPED``.
+_BETWEEN, _ESCAPED = "\x01\x01", "\x01\x02"
+
+
+def scenes(candidates: DataFrame, references: DataFrame) -> DataFrame:
+    """(image, own, other) of rows (image, words) of both sides: the tuples of an image as arrays."""
+    side = lambda rows, own, other: rows.select("image", "words").distinct().select("image", own.alias("own"), other.alias("other"))
+    both = side(candidates, F.col("words"), F.lit(None)).unionByName(side(references, F.lit(None), F.col("words")))
+    return both.groupBy("image").agg(F.collect_list("own").alias("own"), F.collect_list("other").alias("other"))
 
 
-def _tuples(rows: DataFrame) -> DataFrame:
-    """(image, words): distinct tuples of one to three words, in lower case and trimmed; others are left out."""
-    clean = F.transform("words", lambda w: F.lower(F.trim(w)))
-    return rows.select("image", clean.alias("words")).filter(F.size("words").between(1, 3) & F.forall("words", lambda w: F.length(w) > 0)).distinct()
+def _named(tuples: Column) -> Column:
+    """Distinct tuples of one to three words, in lower case and trimmed, each as a string of its size and words; others are left out."""
+    flat = F.flatten(tuples)
+    text = F.array_join(flat, "", "\x01")  # a null word counts as one to be looked at
+    odd = F.contains(text, F.lit(" ")) | F.contains(text, F.lit("\x01")) | F.array_contains(flat, "") | F.exists(tuples, lambda t: ~F.size(t).between(1, 3))
+    clean = F.transform(tuples, lambda t: F.transform(t, lambda w: F.replace(F.lower(F.trim(w)), F.lit("\x01"), F.lit(_ESCAPED))))
+    good = F.filter(clean, lambda t: F.size(t).between(1, 3) & ~F.array_contains(t, ""))  # null with a null word
+    name = lambda t: F.concat(F.size(t).cast("string"), F.array_join(t, _BETWEEN))
+    # Words are looked at one by one only where the whole scene has some that need it.
+    return F.array_distinct(F.when(odd.eqNullSafe(F.lit(False)), F.transform(tuples, lambda t: F.lower(name(t)))).otherwise(F.transform(good, name)))
 
 
-def _edges(candidates: DataFrame, references: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(image, c, r): pairs of tuples of one image and length whose words all match. Words that share a key meet by joins: first
-    the pairs of words, then the tuples that have them in the same place."""
-    keys = synonyms.select("word", "key").distinct().unionByName(synonyms.select("word", F.concat(F.lit("\x00"), "word").alias("key")).distinct())
-    placed = lambda rows, n: rows.select("image", F.size("words").alias("size"), F.col("words").alias(n), F.posexplode("words").alias("at", "word"))
-    keyed = lambda rows: rows.join(keys, "word", "left").withColumn("key", F.coalesce("key", F.concat(F.lit("\x00"), "word"))).drop("word")
-    met = keyed(placed(candidates, "c")).join(keyed(placed(references, "r")), ["image", "size", "at", "key"])
-    whole = met.select("image", "size", "c", "r", "at").distinct().groupBy("image", "size", "c", "r").agg(F.count("*").alias("n"))
-    return whole.filter("n = size").select("image", "c", "r")
+def _whole(scenes: DataFrame) -> DataFrame:
+    """(image, own, other): named tuples, a row for each image; only images of several rows are shuffled."""
+    several = written(scenes.groupBy("image").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("image").alias("i")), "several")
+    rows = scenes.select("image", "own", "other")
+    if not several.isEmpty():
+        same = F.col("image").eqNullSafe(F.col("i"))
+        all_ = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        rows = rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").groupBy("image").agg(all_("own"), all_("other")))
+    named = once(rows, ["image"], **{c: F.coalesce(_named(F.col(c)), F.array().cast("array<string>")) for c in ("own", "other")})
+    return named.filter((F.size("own") > 0) | (F.size("other") > 0))
 
 
 def _paired(edges: DataFrame) -> DataFrame:
-    """(image, c, r): each candidate's reference, as if candidates chose in order."""
-    left = written(edges, "edges")
+    """(image, c, r): each candidate's reference, as if candidates chose in order. Images without a refusal are done."""
+    left, done = written(edges, "edges"), None
     while True:
         asked = left.groupBy("image", "c").agg(F.min("r").alias("r"))
         first = asked.groupBy("image", "r").agg(F.min("c").alias("held"))
         refused = written(asked.join(first, ["image", "r"]).filter("c <> held").select("image", "c", "r"), "refused")
         if refused.isEmpty():
-            return asked
-        left = written(left.join(refused, ["image", "c", "r"], "left_anti"), "edges")
+            return asked if done is None else done.unionByName(asked)
+        images = refused.select("image").distinct()
+        settled = asked.join(images, "image", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        left = written(left.join(images, "image", "left_semi").join(refused, ["image", "c", "r"], "left_anti"), "edges")
+
+
+def _by_keys(named: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(image, size, m): the number of matches between tuples that are on one side only."""
+    known = synonyms.select("word", "key").filter("word is not null and key is not null").distinct()
+    shared = known.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    keys = written(known.join(shared, "key").groupBy("word").agg(F.collect_list(F.concat(F.lit("k"), "key")).alias("keys")), "keys")
+    alone = once(named.filter("image is not null"), ["image"], own=F.array_except("own", "other"), other=F.array_except("other", "own"))
+    side = lambda c, n: F.transform(c, lambda t: F.struct(F.lit(n).alias("side"), t.alias("t")))
+    rows = alone.filter((F.size("own") > 0) & (F.size("other") > 0)).select("image", F.inline(F.concat(side("own", 0), side("other", 1))))
+    plain = lambda w: F.replace(w, F.lit(_ESCAPED), F.lit("\x01"))
+    split = lambda t: F.split(F.substr(t, F.lit(2)), _BETWEEN)
+    met = rows.select("*", F.posexplode(split(F.col("t"))).alias("at", "word")).withColumn("word", plain(F.col("word"))).join(keys, "word")
+    found = met.groupBy("image", "side", "t").agg(F.collect_list(F.struct("at", "keys")).alias("found")).withColumn("words", F.transform(split(F.col("t")), plain))
+
+    def place(k: int) -> Column:
+        hit = F.get(F.filter("found", lambda x: x["at"] == k), F.lit(0))["keys"]
+        return F.when(F.size("words") <= k, F.array(F.lit(""))).otherwise(F.coalesce(hit, F.array(F.concat(F.lit("w"), F.get("words", F.lit(k))))))
+
+    placed = found.select("image", "side", "words", *(place(k).alias(f"p{k}") for k in range(3)))
+    name = ["k0", "k1", "k2"]
+    placed = placed.withColumn("many", F.size("p0") * F.size("p1") * F.size("p2") > 1)
+    for k in range(3):
+        placed = placed.withColumn(f"k{k}", F.explode(f"p{k}"))
+    keyed = written(placed.select("image", "side", "words", "many", *name), "keyed")
+    several = written(keyed.filter("many").select("image").distinct(), "several")
+    sides = keyed.join(several, "image", "left_anti").groupBy("image", *name).agg(F.first(F.size("words")).alias("size"), F.count_if(F.col("side") == 0).alias("c"), F.count_if(F.col("side") == 1).alias("r"))
+    counted = sides.select("image", "size", F.least("c", "r").alias("m"))
+    if several.isEmpty():
+        return counted
+    rest = keyed.join(several, "image", "left_semi")
+    of = lambda n, c: rest.filter(F.col("side") == n).select("image", *name, F.col("words").alias(c))
+    pairs = _paired(of(0, "c").join(of(1, "r"), ["image", *name]).select("image", "c", "r").distinct())
+    return counted.unionByName(pairs.select("image", F.size("c").alias("size"), F.lit(1).cast("long").alias("m")))
+
+
+def _counts(scenes: DataFrame, synonyms: DataFrame | None) -> DataFrame:
+    """(image, c1, r1, m1 .. c3, r3, m3): tuples of each size of both sides, and matches."""
+    named = _whole(scenes)
+    both = F.when(F.col("image").isNotNull(), F.array_intersect("own", "other")).otherwise(F.array().cast("array<string>"))
+    sides = once(named, ["image"], c=F.col("own"), r=F.col("other"), m=both)
+    of = lambda x, k: F.size(F.filter(x, lambda t: F.startswith(t, F.lit(str(k))))).cast("long")
+    sized = sides.select("image", *(F.size(x).cast("long").alias(x) for x in "crm"), *(of(x, k).alias(f"{x}{k}") for x in "crm" for k in (1, 2)))
+    n = sized.select("image", *(c for x in "crm" for c in (f"{x}1", f"{x}2", (F.col(x) - F.col(f"{x}1") - F.col(f"{x}2")).alias(f"{x}3"))), *"crm")
+    if synonyms is None:
+        return n
+    more = _by_keys(named, synonyms).groupBy("image").agg(*(F.sum(F.when(F.col("size") == k, F.col("m")).otherwise(0)).alias(f"x{k}") for k in (1, 2, 3)))
+    x = {k: F.coalesce(f"x{k}", F.lit(0)) for k in (1, 2, 3)}
+    return n.join(more, "image", "left").withColumns({f"m{k}": F.col(f"m{k}") + x[k] for k in x} | {"m": F.col("m") + x[1] + x[2] + x[3]}).drop("x1", "x2", "x3")
 
 
-def matched_tuples(candidates: DataFrame, references: DataFrame, synonyms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, candidates, references): (image, c, r) and the tuples (image, words) of both sides."""
-    own, other = written(_tuples(candidates), "candidates"), written(_tuples(references), "references")
-    equal = own.join(other, ["image", "words"]).select("image", F.col("words").alias("c"), F.col("words").alias("r"))
-    if synonyms is None:
-        return equal, own, other
-    equal = written(equal, "equal")
-    done = equal.select("image", F.col("c").alias("words"))
-    rest = lambda rows: rows.join(done, ["image", "words"], "left_anti")
-    return equal.unionByName(_paired(_edges(rest(own), rest(other), synonyms))), own, other
+def _scored(n: DataFrame) -> DataFrame:
+    share = lambda x: F.coalesce(F.try_divide(F.col("m").cast("double"), F.col(x)), F.lit(0.0))
+    return n.withColumns({"precision": share("c"), "recall": share("r"), "spice": 2.0 * F.col("m") / (F.col("c") + F.col("r"))})
 
 
-def spice_scores(candidates: DataFrame, references: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+def scene_scores(scenes: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """(image, precision, recall, spice) of every image with a tuple on either side.
 
-    Both have (image, words: array of one to three strings); the references of an image are one set. ``synonyms``: (word, key); words match
-    that share a key. Repeated tuples count once; 0 where nothing matches or a side is empty.
+    ``scenes`` has (image, own, other: arrays of tuples, arrays of one to three strings); rows of one image are one scene. ``synonyms``:
+    (word, key); words match that share a key. Repeated tuples count once; 0 where nothing matches or a side is empty.
     """
-    matches, own, other = matched_tuples(candidates, references, synonyms)
-    side = lambda rows, c, r, m: rows.select("image", F.lit(c).alias("c"), F.lit(r).alias("r"), F.lit(m).alias("m"))
-    n = side(own, 1, 0, 0).unionByName(side(other, 0, 1, 0)).unionByName(side(matches, 0, 0, 1)).groupBy("image").agg(*(F.sum(x).alias(x) for x in "crm"))
-    share = lambda x: F.coalesce(F.try_divide(F.col("m").cast("double"), F.col(x)), F.lit(0.0))
-    return n.select("image", share("c").alias("precision"), share("r").alias("recall"), (2.0 * F.col("m") / (F.col("c") + F.col("r"))).alias("spice"))
+    return _scored(_counts(scenes, synonyms)).select("image", "precision", "recall", "spice")
 
 
-def spice(candidates: DataFrame, references: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+def scene_summary(scenes: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """One row (spice, precision, recall, object, attribute, relation): means over images, and the F-scores of tuples of one, two and
     three words over all images."""
-    scores = spice_scores(candidates, references, synonyms).agg(F.avg("spice").alias("spice"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
-    matches, own, other = matched_tuples(candidates, references, synonyms)
-    side = lambda rows, words, kind: rows.select(F.size(words).alias("n"), F.lit(kind).alias("kind"))
-    n = side(own, "words", "c").unionByName(side(other, "words", "r")).unionByName(side(matches, "c", "m"))
-    count = lambda k, kind: F.count_if((F.col("n") == k) & (F.col("kind") == kind))
-    by_size = n.agg(*(F.coalesce(F.try_divide(2.0 * count(k, "m"), count(k, "c") + count(k, "r")), F.lit(0.0)).alias(name) for k, name in ((1, "object"), (2, "attribute"), (3, "relation"))))
-    return scores.crossJoin(by_size)  # a row each
+    total = lambda k, x: F.sum(f"{x}{k}")
+    by_size = (F.coalesce(F.try_divide(2.0 * total(k, "m"), total(k, "c") + total(k, "r")), F.lit(0.0)).alias(name) for k, name in ((1, "object"), (2, "attribute"), (3, "relation")))
+    return _scored(_counts(scenes, synonyms)).agg(*(F.avg(c).alias(c) for c in ("spice", "precision", "recall")), *by_size)
+
+
+def spice_scores(candidates: DataFrame, references: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """``scene_scores`` of rows (image, words: array of one to three strings) of both sides; the references of an image are one set."""
+    return scene_scores(scenes(candidates, references), synonyms)
+
+
+def spice(candidates: DataFrame, references: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """``scene_summary`` of rows (image, words) of both sides."""
+    return scene_summary(scenes(candidates, references), synonyms)

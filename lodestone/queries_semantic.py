@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import mauve, neighbours, self_bleu, spice, token_matching
-from lodestone.plans.patterns import spread
+from lodestone.plans.patterns import once, spread
 from lodestone.queries import _PAIRS_DUCK, _pairs, query
 
 
@@ -53,24 +55,29 @@ query("bertscore_weighted", "with " + _BERT.format(w="ri.w as wi, qi.w as wj", j
 query("mauve")(lambda s, d: mauve.mauve(s.read.parquet(f"{d}/embeddings.parquet").withColumn("side", F.when(F.col("vec_id") % 2 == 0, "human").otherwise("model")), "side", "embedding", "vec_id", reference="human", generated="model"))
 
 
-def _scene_tuples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _scenes(spark: SparkSession, d: str) -> DataFrame:
     """Tuples of one, two and three words in turn, of the whole texts of each document, and of its prediction, where each third
-    tuple has another spelling."""
-    cut = lambda c: F.expr(f"transform(sequence(1, size(split({c}, ' '))), i -> transform(slice(split({c}, ' '), i, (i - 1) % 3 + 1), w -> lower(w)))")
-    rows = _pairs(spark, d)
-    spelled = F.transform("words", lambda w: F.replace(w, F.lit("th"), F.lit("t")))
-    own = rows.select(F.col("doc_id").alias("image"), F.posexplode(cut("prediction")).alias("i", "words")).select("image", F.when(F.col("i") % 3 == 0, spelled).otherwise(F.col("words")).alias("words"))
-    return own, rows.select(F.col("doc_id").alias("image"), F.explode(cut("reference")).alias("words"))
+    tuple has another spelling. Words are split once a text and zipped with those that follow, not split for each tuple."""
+
+    def cut(words: Column, first: Callable[[Column], Column]) -> Column:
+        near = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"), F.slice(words, F.lit(3), F.size(words)).alias("c"))
+        two = lambda z: F.when(z["b"].isNull(), F.array(z["a"])).otherwise(F.array(z["a"], z["b"]))
+        part = lambda z, i: F.when(i % 3 == 0, F.array(first(z["a"]))).when((i % 3 == 1) | z["c"].isNull(), two(z)).otherwise(F.array(z["a"], z["b"], z["c"]))
+        return F.transform(near, part)
+
+    spelled = lambda w: F.replace(w, F.lit("th"), F.lit("t"))
+    words = once(_pairs(spark, d), [F.col("doc_id").alias("image")], own=F.split(F.lower("prediction"), " "), other=F.split(F.lower("reference"), " "))
+    return once(words, ["image"], own=cut(F.col("own"), spelled), other=cut(F.col("other"), lambda w: w))
 
 
-def _spellings(own: DataFrame, other: DataFrame) -> DataFrame:
-    words = own.unionByName(other).select(F.explode("words").alias("word")).distinct()
+def _spellings(scenes: DataFrame) -> DataFrame:
+    words = scenes.select(F.explode(F.array_distinct(F.flatten(F.concat("own", "other")))).alias("word")).distinct()
     return words.select("word", F.replace("word", F.lit("th"), F.lit("t")).alias("key"))
 
 
 def _spelled(spark: SparkSession, d: str) -> DataFrame:
-    own, other = _scene_tuples(spark, d)
-    return spice.spice_scores(own, other, _spellings(own, other))
+    scenes = _scenes(spark, d)
+    return spice.scene_scores(scenes, _spellings(scenes))
 
 
 _CUT = "list_transform(range(1, len({x}) + 1), lambda i: list_transform({x}[i:i + (i - 1) % 3], lambda w: lower(w)))"
@@ -79,8 +86,8 @@ _SCENES = f"{_PAIRS_DUCK}, c as (select distinct doc_id as image, t from (select
 _SPICE = "select image, round(m * 1e0 / nullif(c, 0), 6) as \"precision\", round(m * 1e0 / nullif(r, 0), 6) as recall, round(2e0 * m / (c + r), 6) as spice from (select image, sum(c) as c, sum(r) as r, sum(m) as m from ({rows}) group by image)".replace(chr(92), "")
 _SIDES3 = "select image, 1 as c, 0 as r, 0 as m from c union all select image, 0, 1, 0 from r union all select image, 0, 0, 1 from x"
 _LEFT = f"lc as (select image, {_KEYED.format(x='t')} as k, count(*) as n from c anti join x on x.image = c.image and x.t = c.t group by 1, 2), lr as (select image, {_KEYED.format(x='t')} as k, count(*) as n from r anti join x on x.image = r.image and x.t = r.t group by 1, 2)"
-query("spice_scores", f"with {_SCENES} {_SPICE.format(rows=_SIDES3)}")(lambda s, d: spice.spice_scores(*_scene_tuples(s, d)))
+query("spice_scores", f"with {_SCENES} {_SPICE.format(rows=_SIDES3)}")(lambda s, d: spice.scene_scores(_scenes(s, d)))
 query("spice_synonyms", f"with {_SCENES}, {_LEFT} {_SPICE.format(rows=_SIDES3 + ' union all select lc.image, 0, 0, least(lc.n, lr.n) from lc join lr on lr.image = lc.image and lr.k = lc.k')}")(_spelled)
 _MEANS = "z as ({scores}), n as (select image, {u} as n, c, r, m from ({rows})), f as (select n, 2e0 * sum(m) / (sum(c) + sum(r)) as f from n group by n)"
 _SIZED = "select image, len(t) as size, 1 as c, 0 as r, 0 as m from c union all select image, len(t), 0, 1, 0 from r union all select image, len(t), 0, 0, 1 from x"
-query("spice", f"with {_SCENES}, {_MEANS.format(scores=_SPICE.format(rows=_SIDES3), u='size', rows=_SIZED)} select round(avg(spice), 6) as spice, round(avg(coalesce(\"precision\", 0)), 6) as \"precision\", round(avg(coalesce(recall, 0)), 6) as recall, (select round(f, 6) from f where n = 1) as object, (select round(f, 6) from f where n = 2) as attribute, (select round(f, 6) from f where n = 3) as relation from z")(lambda s, d: spice.spice(*_scene_tuples(s, d)))
+query("spice", f"with {_SCENES}, {_MEANS.format(scores=_SPICE.format(rows=_SIDES3), u='size', rows=_SIZED)} select round(avg(spice), 6) as spice, round(avg(coalesce(\"precision\", 0)), 6) as \"precision\", round(avg(coalesce(recall, 0)), 6) as recall, (select round(f, 6) from f where n = 1) as object, (select round(f, 6) from f where n = 2) as attribute, (select round(f, 6) from f where n = 3) as relation from z")(lambda s, d: spice.scene_summary(_scenes(s, d)))

@@ -120,3 +120,29 @@ def test_spice_equals_loops(spark):
         for k, name in ((1, "object"), (2, "attribute"), (3, "relation")):
             assert one[name] == pytest.approx(2 * totals[k][0] / (totals[k][1] + totals[k][2]))
     assert sp.spice_scores(sides[0].limit(0), sides[1].limit(0), table).isEmpty()
+
+
+def test_scenes_in_rows_equal_loops(spark):
+    rng = random.Random(7)
+    words = ["dog", "Hound", " cat", "red\x01", "red", "", "on", "by"]
+    keys = {"dog": {"k1"}, "hound": {"k1"}, "on": {"k4"}, "by": {"k4"}}
+    make = lambda: [tuple(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 12))]
+    rows = [(i // 2, make(), make()) for i in range(30)]  # two rows an image
+    df = spark.createDataFrame(rows, "image long, own array<array<string>>, other array<array<string>>")
+    table = spark.createDataFrame([(w, k) for w, ks in keys.items() for k in ks], "word string, key string")
+    good = lambda ts: [t for t in ts if 1 <= len(t) <= 3 and all(w.strip() for w in t)]
+    for synonyms, known in ((None, {}), (table, keys)):
+        want = {}
+        for i in {r[0] for r in rows}:
+            own, other = (good([t for r in rows if r[0] == i for t in r[k]]) for k in (1, 2))
+            n, c, r = spice_of(own, other, known)
+            want[i] = 2 * n / (c + r)
+        assert {r["image"]: r["spice"] for r in sp.scene_scores(df, synonyms).collect()} == pytest.approx(want)
+
+
+def test_scene_words_are_split_once_a_text(spark):
+    """Each tuple split its whole text anew: 20,000 words took as many splits of the whole text."""
+    from lodestone import queries_semantic
+
+    plan = queries_semantic._scenes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower") == 2 and "slice(split(" not in plan
