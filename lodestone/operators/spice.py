@@ -66,14 +66,13 @@ def _paired(edges: DataFrame) -> DataFrame:
         left = written(left.join(images, "image", "left_semi").join(refused, ["image", "c", "r"], "left_anti"), "edges")
 
 
-def _by_keys(named: DataFrame, synonyms: DataFrame) -> DataFrame:
+def _by_keys(alone: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(image, size, m): the number of matches between tuples that are on one side only."""
     known = synonyms.select("word", "key").filter("word is not null and key is not null").distinct()
     shared = known.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keys = written(known.join(shared, "key").groupBy("word").agg(F.collect_list(F.concat(F.lit("k"), "key")).alias("keys")), "keys")
-    alone = once(named.filter("image is not null"), ["image"], own=F.array_except("own", "other"), other=F.array_except("other", "own"))
     side = lambda c, n: F.transform(c, lambda t: F.struct(F.lit(n).alias("side"), t.alias("t")))
-    rows = alone.filter((F.size("own") > 0) & (F.size("other") > 0)).select("image", F.inline(F.concat(side("own", 0), side("other", 1))))
+    rows = alone.filter("image is not null").filter((F.size("own") > 0) & (F.size("other") > 0)).select("image", F.inline(F.concat(side("own", 0), side("other", 1))))
     plain = lambda w: F.replace(w, F.lit(_ESCAPED), F.lit("\x01"))
     split = lambda t: F.split(F.substr(t, F.lit(2)), _BETWEEN)
     met = rows.select("*", F.posexplode(split(F.col("t"))).alias("at", "word")).withColumn("word", plain(F.col("word"))).join(keys, "word")
@@ -104,15 +103,18 @@ def _counts(scenes: DataFrame, synonyms: DataFrame | None) -> DataFrame:
     """(image, c1, r1, m1 .. c3, r3, m3): tuples of each size of both sides, and matches."""
     named = _whole(scenes)
     both = F.when(F.col("image").isNotNull(), F.array_intersect("own", "other")).otherwise(F.array().cast("array<string>"))
-    sides = once(named, ["image"], c=F.col("own"), r=F.col("other"), m=both)
+    # Tuples of one side only are written with the counts, so texts are gone through once.
+    rest = {} if synonyms is None else {"own": F.array_except("own", "other"), "other": F.array_except("other", "own")}
+    sides = once(named, ["image"], c=F.col("own"), r=F.col("other"), m=both, **rest)
     of = lambda x, k: F.size(F.filter(x, lambda t: F.startswith(t, F.lit(str(k))))).cast("long")
-    sized = sides.select("image", *(F.size(x).cast("long").alias(x) for x in "crm"), *(of(x, k).alias(f"{x}{k}") for x in "crm" for k in (1, 2)))
-    n = sized.select("image", *(c for x in "crm" for c in (f"{x}1", f"{x}2", (F.col(x) - F.col(f"{x}1") - F.col(f"{x}2")).alias(f"{x}3"))), *"crm")
+    sized = sides.select("image", *rest, *(F.size(x).cast("long").alias(x) for x in "crm"), *(of(x, k).alias(f"{x}{k}") for x in "crm" for k in (1, 2)))
+    n = sized.select("image", *rest, *(c for x in "crm" for c in (f"{x}1", f"{x}2", (F.col(x) - F.col(f"{x}1") - F.col(f"{x}2")).alias(f"{x}3"))), *"crm")
     if synonyms is None:
         return n
-    more = _by_keys(named, synonyms).groupBy("image").agg(*(F.sum(F.when(F.col("size") == k, F.col("m")).otherwise(0)).alias(f"x{k}") for k in (1, 2, 3)))
+    n = written(n, "scenes")
+    more = _by_keys(n.select("image", *rest), synonyms).groupBy("image").agg(*(F.sum(F.when(F.col("size") == k, F.col("m")).otherwise(0)).alias(f"x{k}") for k in (1, 2, 3)))
     x = {k: F.coalesce(f"x{k}", F.lit(0)) for k in (1, 2, 3)}
-    return n.join(more, "image", "left").withColumns({f"m{k}": F.col(f"m{k}") + x[k] for k in x} | {"m": F.col("m") + x[1] + x[2] + x[3]}).drop("x1", "x2", "x3")
+    return n.drop(*rest).join(more, "image", "left").withColumns({f"m{k}": F.col(f"m{k}") + x[k] for k in x} | {"m": F.col("m") + x[1] + x[2] + x[3]}).drop("x1", "x2", "x3")
 
 
 def _scored(n: DataFrame) -> DataFrame:
