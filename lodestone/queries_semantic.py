@@ -70,14 +70,12 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
     return once(words, ["image"], own=cut(F.col("own"), spelled), other=cut(F.col("other"), lambda w: w))
 
 
-def _spellings(scenes: DataFrame) -> DataFrame:
-    words = scenes.select(F.explode(F.array_distinct(F.flatten(F.concat("own", "other")))).alias("word")).distinct()
-    return words.select("word", F.replace("word", F.lit("th"), F.lit("t")).alias("key"))
-
-
 def _spelled(spark: SparkSession, d: str) -> DataFrame:
-    scenes = _scenes(spark, d)
-    return spice.scene_scores(scenes, _spellings(scenes))
+    """Words that are one but for th and t are synonyms. A prediction has words of its text, or their other spelling."""
+    words = _pairs(spark, d).select(F.explode(F.array_distinct(F.split(F.lower("reference"), " "))).alias("word")).distinct()
+    spelled = F.replace("word", F.lit("th"), F.lit("t"))
+    both = words.select(F.explode(F.array_distinct(F.array("word", spelled))).alias("word"))
+    return spice.scene_scores(_scenes(spark, d), both.select("word", spelled.alias("key")))
 
 
 _CUT = "list_transform(range(1, len({x}) + 1), lambda i: list_transform({x}[i:i + (i - 1) % 3], lambda w: lower(w)))"
