@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.operators import vision
+from lodestone.operators import contours, vision
 from lodestone.sources.readers import mask_pixels, read_masks
 
 
@@ -81,3 +82,44 @@ def test_segmentation_report_sends_no_pixels_to_all_tasks(spark, tmp_path):
     # The one join by which all pixels could be sent was that on the image.
     assert "[image" not in "".join(line for line in report._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
     assert {r["label"]: (r["iou"], r["support"]) for r in report.collect()} == {1: (pytest.approx(2 / 6), 200.0), 2: (0.0, 200.0)}
+
+
+def test_segmentation_report_reads_pixels_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    px = spark.range(3).selectExpr("id as image", "explode(sequence(0, 9)) as y").selectExpr("image", "y", "explode(sequence(0, 9)) as x", "cast(image as int) as t", "1 as p")
+    report = vision.segmentation_report(px.mapInArrow(counted, px.schema)).collect()
+    assert {r["label"]: r["iou"] for r in report} == {1: pytest.approx(1 / 3), 2: 0.0}
+    assert seen.value == 300
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3])
+def test_contours_by_bands_equal_loops(spark, monkeypatch, share):
+    monkeypatch.setattr(contours, "STRIP", 2)
+    monkeypatch.setattr(contours, "BAND", 3)
+    monkeypatch.setattr(contours, "PIXELS", 50)
+    rng = np.random.default_rng(5)
+    images = {None: (31, 6), "a": (8, 8), "b": (1, 9), "c": (13, 2)}
+    rows, both, union = [], {c: 0 for c in "uvw"}, {c: 0 for c in "uvw"}
+    for name, (h, w) in images.items():
+        t = np.array(list("uvw"))[np.kron(rng.integers(0, 3, (math.ceil(h / 7), 2)), np.ones((7, 5), dtype=int))[:h, :w]]
+        p = np.where(rng.random(t.shape) < 0.03, "w", t)
+        there = rng.random(t.shape) < 0.98  # pixels that are not there have no class
+        rows += [(name, y, x, str(t[y, x]), str(p[y, x])) for y in range(h) for x in range(w) if there[y, x]]
+        bottom, right = np.argwhere(there).max(0)
+        d = max(1, round(share * math.hypot(bottom + 1, right + 1)))
+        for c in "uvw":
+            a, b = edge((t == c) & there, d), edge((p == c) & there, d)
+            both[c] += (a & b).sum()
+            union[c] += (a | b).sum()
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(r) for r in rows], "image string, y int, x int, t string, p string").repartition(3)
+    got = {r["label"]: (r["boundary_iou"], r["support"]) for r in vision.boundary_iou(df, ratio_of_diagonal=share, background=None).collect()}
+    assert got == {c: (pytest.approx(both[c] / union[c]), union[c]) for c in "uvw"}
+    cells = contours.contour_cells(df, "image", share).agg(F.sum("pixels")).first()[0]
+    assert cells == len(rows)
