@@ -121,7 +121,7 @@ class Block:
                 shared[at] = known[n][0][which] > 0
 
 
-def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts and how many each has; a text is an array of words, or a string to split at ASCII white space."""
     if pa.types.is_list(column.type):
         return column.flatten().cast(pa.string()), np.diff(column.offsets.to_numpy())
@@ -133,7 +133,7 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(some), np.diff(upto[ends - ends[0]])
 
 
-def _encoded(sides: int) -> Callable:
+def _encoded(sides: int, cut: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, words, sizes, held = [], [[] for _ in range(sides)], [[] for _ in range(sides)], 0
 
@@ -155,7 +155,7 @@ def _encoded(sides: int) -> Callable:
                 some = batch.slice(begin, 256)
                 keys.append(some.column(0))
                 for k in range(sides):
-                    for held_by, part in zip((words, sizes), _words(some.column(k + 1)), strict=True):
+                    for held_by, part in zip((words, sizes), cut(some.column(k + 1)), strict=True):
                         held_by[k].append(part)
                     held += len(words[k][-1])
                 if held >= BLOCK_WORDS or 256 * len(keys) >= BLOCK_TEXTS:
@@ -179,10 +179,10 @@ def _rows(batches: Iterator[pa.RecordBatch], sides: int) -> Iterator[tuple[dict,
             yield row, Block(row, sides), known
 
 
-def gram_scores(df: DataFrame, key: str, words: list[Column], order: int, top: bool, score: Callable[[Block, dict, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
+def gram_scores(df: DataFrame, key: str, words: list[Column], order: int, top: bool, score: Callable[[Block, dict, int], dict[str, np.ndarray]], schema: str, cut: Callable[[pa.Array], tuple[pa.Array, np.ndarray]] = split_words) -> DataFrame:
     """(key, ...): what ``score`` makes of a block and of what is known of its n-grams, a value a text; ``schema``: of these columns.
 
-    ``words``: for each side an array of words, or a string that is split at ASCII white space, without nulls; n-grams of the first are counted, those of others only ask. Known of an n-gram are
+    ``words``: for each side an array of words, or a string that ``cut`` splits, at ASCII white space by default, without nulls; n-grams of the first are counted, those of others only ask. Known of an n-gram are
     two numbers: the texts that have it and 0, or, with ``top``, the greatest and the second of its counts in texts; both are 0
     if it is in fewer than two texts. ``key`` tells rows apart. N-grams are told apart by 64 bits.
     """
@@ -190,7 +190,7 @@ def gram_scores(df: DataFrame, key: str, words: list[Column], order: int, top: b
     kind = df.schema[key].dataType.simpleString()
     parts = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     split = df.select(F.col(key), *(w.alias(f"w{k}") for k, w in enumerate(words)))
-    encoded = split.mapInArrow(_encoded(sides), f"block long, keys array<{kind}>, hashes binary, codes binary, sizes binary")
+    encoded = split.mapInArrow(_encoded(sides, cut), f"block long, keys array<{kind}>, hashes binary, codes binary, sizes binary")
     table = f"blocks_{uuid.uuid4().hex}"
     encoded.write.bucketBy(parts, "block").option("path", new_path(spark, "blocks")).saveAsTable(table)
     blocks, answers = spark.table(table), None
