@@ -8,7 +8,6 @@ these. Blocks are written once, in the buckets that the answers are shuffled to,
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +35,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
+def word_names(words: pa.Array) -> np.ndarray:
+    """A 64-bit name of each word: the sum of a mixed number for each byte and its place, mixed with the length."""
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(ends)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    place = (np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)).astype(np.uint64)
+    upto = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_mixed((place << np.uint64(8) | data) * _ODD + _M1), out=upto[1:])
+    return _mixed(upto[ends[1:] - ends[0]] - upto[ends[:-1] - ends[0]] + size.astype(np.uint64) * _M2)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Bytes of equal weight together, as those of most weight are nearly all alike."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T) if len(values) else values
@@ -144,8 +155,7 @@ def _encoded(sides: int, cut: Callable) -> Callable:
             often = np.argsort(-np.bincount(codes, minlength=len(every.dictionary)), kind="stable")
             rank = np.empty(len(often), dtype=np.uint32)
             rank[often] = np.arange(len(often), dtype=np.uint32)
-            named = every.dictionary.to_pylist()
-            hashes = np.frombuffer(b"".join(hashlib.blake2b(named[i].encode("utf-8", "surrogatepass"), digest_size=8).digest() for i in often.tolist()), dtype="<u8").astype(np.uint64)
+            hashes = word_names(every.dictionary)[often]
             every_key = pa.concat_arrays(keys)
             row = [pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.ListArray.from_arrays(pa.array([0, len(every_key)], type=pa.int32()), every_key), *(pa.array([x], type=pa.binary()) for x in (_packed(hashes), _packed(rank[codes]), _packed(np.concatenate([s for side in sizes for s in side]).astype(np.uint32))))]
             return pa.RecordBatch.from_arrays(row, names=["block", "keys", "hashes", "codes", "sizes"])

@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import gram_blocks
 from lodestone.operators.gram_blocks import unique
 from lodestone.operators.text import cider
 
@@ -57,3 +59,11 @@ def test_names_that_share_their_upper_bits():
     some, first, which = unique(x)
     assert some.tolist() == [5, 6, 7, 1 << 63] and first.tolist() == [1, 2, 0, 5] and some[which].tolist() == x.tolist()
     assert [len(v) for v in unique(x[:0])] == [0, 0, 0]
+
+
+def test_names_of_words_are_those_of_their_bytes():
+    words = ["", "a", "b", "ab", "ba", "aa", "aaa", "\x00", "\x00\x00", "é", "é", *map(str, range(50000))]
+    names = gram_blocks.word_names(pa.array(words))
+    assert len(set(names.tolist())) == len(words)
+    assert gram_blocks.word_names(pa.array(["x", *words, "y"])[1:-1]).tolist() == names.tolist()
+    assert gram_blocks.word_names(pa.array([], type=pa.string())).tolist() == []
