@@ -2,10 +2,9 @@
 
 A scene is a row with the tuples of both sides, so equal ones are met inside the row and no tuple is shuffled. The rest match if all
 their words do: as equals, or by a key that both have. Only words that share a key with another word can add to what is equal, so
-only tuples with such a word go on, named by a key for each place. Where every tuple of an image has one name, each name matches
-as many as the smaller side has. Elsewhere each candidate, in the order of tuples, has the first reference that is still free; rounds
-of joins find that: each candidate asks its first reference that has not refused it, and each reference keeps the first candidate
-that ever asked and refuses the others.
+only tuples with such a word are looked at again, named by a key for each place (``scene_blocks``). Where every tuple of an image has
+one name, each name matches as many as the smaller side has. Elsewhere each candidate, in the order of tuples, has the first
+reference that is still free.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.scene_blocks import Cut, keyed_counts
 from lodestone.plans.durable import written
 from lodestone.plans.patterns import once
 
@@ -39,82 +39,41 @@ def _named(tuples: Column) -> Column:
     return F.array_distinct(F.when(odd.eqNullSafe(F.lit(False)), F.transform(tuples, lambda t: F.lower(name(t)))).otherwise(F.transform(good, name)))
 
 
-def _whole(scenes: DataFrame) -> DataFrame:
-    """(image, own, other): named tuples, a row for each image; only images of several rows are shuffled."""
+def _rows(scenes: DataFrame) -> DataFrame:
+    """(image, own, other), a row for each image; only images of several rows are shuffled."""
     several = written(scenes.groupBy("image").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("image").alias("i")), "several")
     rows = scenes.select("image", "own", "other")
     if not several.isEmpty():
         same = F.col("image").eqNullSafe(F.col("i"))
         all_ = lambda c: F.flatten(F.collect_list(c)).alias(c)
         rows = rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").groupBy("image").agg(all_("own"), all_("other")))
-    named = once(rows, ["image"], **{c: F.coalesce(_named(F.col(c)), F.array().cast("array<string>")) for c in ("own", "other")})
+    return rows
+
+
+def _whole(scenes: DataFrame) -> DataFrame:
+    """``_rows`` with named tuples."""
+    named = once(_rows(scenes), ["image"], **{c: F.coalesce(_named(F.col(c)), F.array().cast("array<string>")) for c in ("own", "other")})
     return named.filter((F.size("own") > 0) | (F.size("other") > 0))
 
 
-def _paired(edges: DataFrame) -> DataFrame:
-    """(image, c, r): each candidate's reference, as if candidates chose in order. Images without a refusal are done."""
-    left, done = written(edges, "edges"), None
-    while True:
-        asked = left.groupBy("image", "c").agg(F.min("r").alias("r"))
-        first = asked.groupBy("image", "r").agg(F.min("c").alias("held"))
-        refused = written(asked.join(first, ["image", "r"]).filter("c <> held").select("image", "c", "r"), "refused")
-        if refused.isEmpty():
-            return asked if done is None else done.unionByName(asked)
-        images = refused.select("image").distinct()
-        settled = asked.join(images, "image", "left_anti")
-        done = settled if done is None else done.unionByName(settled)
-        left = written(left.join(images, "image", "left_semi").join(refused, ["image", "c", "r"], "left_anti"), "edges")
-
-
-def _by_keys(alone: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(image, size, m): the number of matches between tuples that are on one side only."""
-    known = synonyms.select("word", "key").filter("word is not null and key is not null").distinct()
-    shared = known.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    keys = written(known.join(shared, "key").groupBy("word").agg(F.collect_list(F.concat(F.lit("k"), "key")).alias("keys")), "keys")
-    side = lambda c, n: F.transform(c, lambda t: F.struct(F.lit(n).alias("side"), t.alias("t")))
-    rows = alone.filter("image is not null").filter((F.size("own") > 0) & (F.size("other") > 0)).select("image", F.inline(F.concat(side("own", 0), side("other", 1))))
-    plain = lambda w: F.replace(w, F.lit(_ESCAPED), F.lit("\x01"))
-    split = lambda t: F.split(F.substr(t, F.lit(2)), _BETWEEN)
-    met = rows.select("*", F.posexplode(split(F.col("t"))).alias("at", "word")).withColumn("word", plain(F.col("word"))).join(keys, "word")
-    found = met.groupBy("image", "side", "t").agg(F.collect_list(F.struct("at", "keys")).alias("found")).withColumn("words", F.transform(split(F.col("t")), plain))
-
-    def place(k: int) -> Column:
-        hit = F.get(F.filter("found", lambda x: x["at"] == k), F.lit(0))["keys"]
-        return F.when(F.size("words") <= k, F.array(F.lit(""))).otherwise(F.coalesce(hit, F.array(F.concat(F.lit("w"), F.get("words", F.lit(k))))))
-
-    placed = found.select("image", "side", "words", *(place(k).alias(f"p{k}") for k in range(3)))
-    name = ["k0", "k1", "k2"]
-    placed = placed.withColumn("many", F.size("p0") * F.size("p1") * F.size("p2") > 1)
-    for k in range(3):
-        placed = placed.withColumn(f"k{k}", F.explode(f"p{k}"))
-    keyed = written(placed.select("image", "side", "words", "many", *name), "keyed")
-    several = written(keyed.filter("many").select("image").distinct(), "several")
-    sides = keyed.join(several, "image", "left_anti").groupBy("image", *name).agg(F.first(F.size("words")).alias("size"), F.count_if(F.col("side") == 0).alias("c"), F.count_if(F.col("side") == 1).alias("r"))
-    counted = sides.select("image", "size", F.least("c", "r").alias("m"))
-    if several.isEmpty():
-        return counted
-    rest = keyed.join(several, "image", "left_semi")
-    of = lambda n, c: rest.filter(F.col("side") == n).select("image", *name, F.col("words").alias(c))
-    pairs = _paired(of(0, "c").join(of(1, "r"), ["image", *name]).select("image", "c", "r").distinct())
-    return counted.unionByName(pairs.select("image", F.size("c").alias("size"), F.lit(1).cast("long").alias("m")))
-
-
-def _counts(scenes: DataFrame, synonyms: DataFrame | None) -> DataFrame:
-    """(image, c1, r1, m1 .. c3, r3, m3): tuples of each size of both sides, and matches."""
+def _cleaned(tuples: Column) -> Column:
+    """Tuples whose words are in lower case and trimmed; words are looked at one by one only where the scene has some that need it."""
+    text = F.array_join(F.flatten(tuples), "\n", " ")  # a null word counts as one to be looked at
+    plain = ~F.contains(text, F.lit(" ")) & (F.lower(text) == text)
+    return F.when(plain.eqNullSafe(F.lit(True)), tuples).otherwise(F.transform(tuples, lambda t: F.transform(t, lambda w: F.lower(F.trim(w)))))
+
+
+def _counts(scenes: DataFrame, synonyms: DataFrame | None, cuts: tuple[Cut, Cut] | None = None) -> DataFrame:
+    """(image, c1, r1, m1 .. c3, r3, m3, c, r, m): tuples of each size of both sides, and matches."""
+    if synonyms is not None:
+        rows = _rows(scenes) if cuts else _rows(scenes).select("image", *(_cleaned(F.col(c)).alias(c) for c in ("own", "other")))
+        return keyed_counts(rows, synonyms, cuts).withColumns({x: F.col(f"{x}1") + F.col(f"{x}2") + F.col(f"{x}3") for x in "crm"})
     named = _whole(scenes)
     both = F.when(F.col("image").isNotNull(), F.array_intersect("own", "other")).otherwise(F.array().cast("array<string>"))
-    # Tuples of one side only are written with the counts, so texts are gone through once.
-    rest = {} if synonyms is None else {"own": F.array_except("own", "other"), "other": F.array_except("other", "own")}
-    sides = once(named, ["image"], c=F.col("own"), r=F.col("other"), m=both, **rest)
+    sides = once(named, ["image"], c=F.col("own"), r=F.col("other"), m=both)
     of = lambda x, k: F.size(F.filter(x, lambda t: F.startswith(t, F.lit(str(k))))).cast("long")
-    sized = sides.select("image", *rest, *(F.size(x).cast("long").alias(x) for x in "crm"), *(of(x, k).alias(f"{x}{k}") for x in "crm" for k in (1, 2)))
-    n = sized.select("image", *rest, *(c for x in "crm" for c in (f"{x}1", f"{x}2", (F.col(x) - F.col(f"{x}1") - F.col(f"{x}2")).alias(f"{x}3"))), *"crm")
-    if synonyms is None:
-        return n
-    n = written(n, "scenes")
-    more = _by_keys(n.select("image", *rest), synonyms).groupBy("image").agg(*(F.sum(F.when(F.col("size") == k, F.col("m")).otherwise(0)).alias(f"x{k}") for k in (1, 2, 3)))
-    x = {k: F.coalesce(f"x{k}", F.lit(0)) for k in (1, 2, 3)}
-    return n.drop(*rest).join(more, "image", "left").withColumns({f"m{k}": F.col(f"m{k}") + x[k] for k in x} | {"m": F.col("m") + x[1] + x[2] + x[3]}).drop("x1", "x2", "x3")
+    sized = sides.select("image", *(F.size(x).cast("long").alias(x) for x in "crm"), *(of(x, k).alias(f"{x}{k}") for x in "crm" for k in (1, 2)))
+    return sized.select("image", *(c for x in "crm" for c in (f"{x}1", f"{x}2", (F.col(x) - F.col(f"{x}1") - F.col(f"{x}2")).alias(f"{x}3"))), *"crm")
 
 
 def _scored(n: DataFrame) -> DataFrame:
@@ -122,13 +81,15 @@ def _scored(n: DataFrame) -> DataFrame:
     return n.withColumns({"precision": share("c"), "recall": share("r"), "spice": 2.0 * F.col("m") / (F.col("c") + F.col("r"))})
 
 
-def scene_scores(scenes: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+def scene_scores(scenes: DataFrame, synonyms: DataFrame | None = None, cuts: tuple[Cut, Cut] | None = None) -> DataFrame:
     """(image, precision, recall, spice) of every image with a tuple on either side.
 
     ``scenes`` has (image, own, other: arrays of tuples, arrays of one to three strings); rows of one image are one scene. ``synonyms``:
-    (word, key); words match that share a key. Repeated tuples count once; 0 where nothing matches or a side is empty.
+    (word, key); words match that share a key. Repeated tuples count once; 0 where nothing matches or a side is empty. With synonyms,
+    ``own`` and ``other`` may also be arrays of texts, of which ``cuts``, one for each side, make tuples inside the tasks; their words
+    are taken as they are.
     """
-    return _scored(_counts(scenes, synonyms)).select("image", "precision", "recall", "spice")
+    return _scored(_counts(scenes, synonyms, cuts)).select("image", "precision", "recall", "spice")
 
 
 def scene_summary(scenes: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import mauve, neighbours, self_bleu, spice, token_matching
+from lodestone.operators import mauve, neighbours, scene_blocks, self_bleu, spice, token_matching
 from lodestone.plans.patterns import once, spread
 from lodestone.queries import _PAIRS_DUCK, _pairs, query
 
@@ -70,12 +74,27 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
     return once(words, ["image"], own=cut(F.col("own"), spelled), other=cut(F.col("other"), lambda w: w))
 
 
+def _windows(texts: pa.Array, spelled: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The tuples of ``_scenes`` as a cut of whole texts: of each word with up to two that follow."""
+    split = pc.split_pattern(texts, " ")
+    words, n = split.flatten(), scene_blocks.lengths(split)
+    i = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.arange(len(words))[:, None] + np.arange(3)
+    at[np.arange(3) >= np.minimum(i % 3 + 1, np.repeat(n, n) - i)[:, None]] = -1
+    if spelled:
+        first = np.flatnonzero(i % 3 == 0)
+        at[first, 0] = len(words) + np.arange(len(first))
+        words = pa.concat_arrays([words, pc.replace_substring(words.take(pa.array(first)), "th", "t")])
+    return words, at, n
+
+
 def _spelled(spark: SparkSession, d: str) -> DataFrame:
     """Words that are one but for th and t are synonyms. A prediction has words of its text, or their other spelling."""
     words = _pairs(spark, d).select(F.explode(F.array_distinct(F.split(F.lower("reference"), " "))).alias("word")).distinct()
     spelled = F.replace("word", F.lit("th"), F.lit("t"))
     both = words.select(F.explode(F.array_distinct(F.array("word", spelled))).alias("word"))
-    return spice.scene_scores(_scenes(spark, d), both.select("word", spelled.alias("key")))
+    texts = _pairs(spark, d).select(F.col("doc_id").alias("image"), F.array(F.lower("prediction")).alias("own"), F.array(F.lower("reference")).alias("other"))
+    return spice.scene_scores(texts, both.select("word", spelled.alias("key")), (partial(_windows, spelled=True), _windows))
 
 
 _CUT = "list_transform(range(1, len({x}) + 1), lambda i: list_transform({x}[i:i + (i - 1) % 3], lambda w: lower(w)))"

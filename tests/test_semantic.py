@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import mauve as mv
@@ -146,3 +147,70 @@ def test_scene_words_are_split_once_a_text(spark):
 
     plan = queries_semantic._scenes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(lower") == 2 and "slice(split(" not in plan
+
+
+def _scattered(spark, rng, cut):
+    """25 scenes of two rows, and one without a name, as tuples or as texts of tuples."""
+    words = ["dog", "hound", "cat", "red", "pink", "on", "by", "τh", "a\x01b"]
+    make = lambda: [tuple(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 12))]
+    rows = [(None if i == 0 else i // 2, make(), make()) for i in range(50)]
+    if not cut:
+        return rows, spark.createDataFrame(rows, "image long, own array<array<string>>, other array<array<string>>")
+    texts = [(i, *(["|".join(" ".join(t) for t in side), None] for side in sides)) for i, *sides in rows]
+    return rows, spark.createDataFrame(texts, "image long, own array<string>, other array<string>")
+
+
+@pytest.mark.parametrize("cut", [False, True])
+@pytest.mark.parametrize("several", [False, True])
+def test_blocks_of_scenes_equal_loops(spark, monkeypatch, cut, several):
+    from lodestone.operators import scene_blocks
+
+    def by_bars(texts):
+        tuples = [[t.split(" ") for t in (x or "").split("|") if t] for x in texts.to_pylist()]
+        flat = [t for x in tuples for t in x]
+        ends = np.cumsum([0, *map(len, flat)])
+        at = np.array([[e + k if k < len(t) else -1 for k in range(3)] for e, t in zip(ends[:-1], flat, strict=True)], dtype=np.int64).reshape(-1, 3)
+        return pa.array([w for t in flat for w in t], type=pa.string()), at, np.array([len(x) for x in tuples], dtype=np.int64)
+
+    monkeypatch.setattr(scene_blocks, "BLOCK_TUPLES", 60)
+    monkeypatch.setattr(scene_blocks, "_SLICE", 2)
+    rows, df = _scattered(spark, random.Random(11), cut)
+    keys = {"dog": {"k1"}, "hound": {"k1"}, "red": {"k3"}, "pink": {"k3"}, "τh": {"k5"}, "cat": {"k5"}, "on": {"lonely"}}
+    if several:
+        keys["dog"], keys["red"] = {"k1", "k5"}, {"k3", "k1"}
+    table = spark.createDataFrame([(w, k) for w, ks in keys.items() for k in ks] + [(None, "k1"), ("by", None)], "word string, key string")
+    want = {}
+    for i in {r[0] for r in rows}:
+        own, other = ([t for r in rows if r[0] == i for t in r[k]] for k in (1, 2))
+        n, c, r = spice_of(own, other, keys)
+        if c + r:
+            want[i] = 2 * (0 if i is None else n) / (c + r)
+    got = sp.scene_scores(df, table, (by_bars, by_bars) if cut else None)
+    assert {r["image"]: r["spice"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_tuples_are_not_written_or_shuffled(spark, monkeypatch):
+    """All tuples of one side only were written as texts, and those with a known word shuffled as rows: over 7 times the input."""
+    from lodestone.operators import scene_blocks
+    from lodestone.plans import durable
+
+    tables = []
+    for module in (sp, scene_blocks):
+        monkeypatch.setattr(module, "written", lambda df, name: tables.append(df.schema) or durable.written(df, name))
+    df = spark.createDataFrame([(i, [["the", "dog"]], [["te", "dog"], ["cat"]]) for i in range(9)], "image long, own array<array<string>>, other array<array<string>>")
+    got = sp.scene_scores(df, spark.createDataFrame([("the", "te"), ("te", "te")], "word string, key string"))
+    assert {r["spice"] for r in got.collect()} == {2 / 3}
+    assert all("array<array" not in f.dataType.simpleString() and f.name not in ("own", "other", "words") for t in tables for f in t)
+
+
+def test_windows_of_texts_equal_the_scenes(spark):
+    from lodestone import queries_semantic
+
+    rows = queries_semantic._scenes(spark, "/root/testdata/sf0.001").orderBy("image").collect()
+    pairs = queries_semantic._pairs(spark, "/root/testdata/sf0.001").selectExpr("doc_id", "lower(prediction) as own", "lower(reference) as other").orderBy("doc_id").collect()
+    for side in ("own", "other"):
+        words, at, n = queries_semantic._windows(pa.array([*(p[side] for p in pairs), None, ""], type=pa.string()), side == "own")
+        words, got = words.to_pylist(), []
+        for a, k in zip(np.cumsum(n) - n, n, strict=True):
+            got.append([[words[j] for j in t if j >= 0] for t in at[a : a + k].tolist()])
+        assert got[: len(rows)] == [r[side] for r in rows] and got[len(rows) :] == [[], [[""]]]
